@@ -1,0 +1,3 @@
+"""All registered queries and their SQL."""
+
+QUERIES, ORACLE_SQL = {}, {}
