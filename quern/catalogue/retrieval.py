@@ -11,7 +11,12 @@ from quern.config import DEFAULTS
 from quern.functions import documents, text as tx
 from quern.operators import dense, entities, fusion, lexical, select
 
-TEXT, K = F.col("text"), DEFAULTS.top_k
+K = DEFAULTS.top_k
+
+
+def text():
+    return F.col("text")
+
 
 
 def bm25_sql(docs: str = "SELECT doc_id, text FROM documents", queries: str = "SELECT item_id AS query_id, text FROM benchmark", cutoff: float = 0) -> str:
@@ -43,7 +48,7 @@ def questions(table):
 
 
 def scored(table):
-    return lexical.scores(table("documents").select("doc_id", "text"), questions(table), TEXT, TEXT)
+    return lexical.scores(table("documents").select("doc_id", "text"), questions(table), text(), text())
 
 
 @query(bm25_sql() + TOP_SQL)
@@ -54,26 +59,26 @@ def bm25_topk(table, spark):
 @query(f"""WITH w AS (SELECT doc_id, unnest({tok("text")}) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY term""")
 def bm25_stats(table, spark):
-    return lexical.term_stats(table("documents"), TEXT)
+    return lexical.term_stats(table("documents"), text())
 
 
 @query(bm25_sql() + "SELECT n, round(avgdl, 6) AS avgdl, round(avg(r), 6) AS avg_idf FROM raw GROUP BY n, avgdl")
 def bm25_corpus(table, spark):
     docs = table("documents")
-    found = lexical.corpus_stats(docs, TEXT, lexical.term_stats(docs, TEXT))
+    found = lexical.corpus_stats(docs, text(), lexical.term_stats(docs, text()))
     return found.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
 
 
 @query(bm25_sql(cutoff=0.2) + TOP_SQL)
 def bm25_df_filter(table, spark):
-    found = lexical.scores(table("documents").select("doc_id", "text"), questions(table), TEXT, TEXT, replace(DEFAULTS, df_cutoff=0.2))
+    found = lexical.scores(table("documents").select("doc_id", "text"), questions(table), text(), text(), replace(DEFAULTS, df_cutoff=0.2))
     return lexical.top(found, K)
 
 
 @query(bm25_sql("SELECT doc_id, source || ' ' || lang || ' ' || text AS text FROM documents") + TOP_SQL)
 def bm25_augmented(table, spark):
-    docs = table("documents").select("doc_id", documents.lexical_text(F.col("source"), F.col("lang"), F.lit(None).cast("string"), F.lit(""), TEXT).alias("text"))
-    return lexical.top(lexical.scores(docs, questions(table), TEXT, TEXT), K)
+    docs = table("documents").select("doc_id", documents.lexical_text(F.col("source"), F.col("lang"), F.lit(None).cast("string"), F.lit(""), text()).alias("text"))
+    return lexical.top(lexical.scores(docs, questions(table), text(), text()), K)
 
 
 #: Every vector whose id is divisible by 50 is a query against all vectors.
@@ -126,7 +131,7 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_sco
 
 def fused(table):
     wanted = questions(table).where("query_id % 50 = 0")
-    sparse = lexical.top(lexical.scores(table("documents").select("doc_id", "text"), wanted, TEXT, TEXT), DEFAULTS.sparse_k)
+    sparse = lexical.top(lexical.scores(table("documents").select("doc_id", "text"), wanted, text(), text()), DEFAULTS.sparse_k)
     near = dense.nearest(table("embeddings"), vector_queries(table).join(F.broadcast(wanted.select("query_id")), "query_id", "left_semi"), DEFAULTS.dense_k)
     return fusion.fuse(near.withColumnRenamed("vec_id", "key"), sparse.withColumnRenamed("doc_id", "key"), DEFAULTS.fused_k)
 
@@ -148,7 +153,7 @@ SCOPE_SQL = ", scope AS (SELECT DISTINCT query_id, source FROM (SELECT *, row_nu
 def scoped_hits(table):
     docs, hits = table("documents"), lexical.top(scored(table), 2)
     scopes = docs.select("doc_id", "source").join(F.broadcast(hits.select("query_id", "doc_id")), "doc_id").select("query_id", "source").distinct()
-    return lexical.scoped(docs.select("doc_id", "source", "text"), questions(table), scopes, TEXT, TEXT, DEFAULTS.entity_k)
+    return lexical.scoped(docs.select("doc_id", "source", "text"), questions(table), scopes, text(), text(), DEFAULTS.entity_k)
 
 
 @query(bm25_sql() + SCOPE_SQL + f""", hits AS (
@@ -171,9 +176,9 @@ LISTS_SQL = f""", lists AS (
 
 def lists(table):
     """The best documents of each sub-query."""
-    parts = F.slice(F.filter(F.transform(F.split(TEXT, "[.]"), F.trim), lambda x: x != ""), 1, DEFAULTS.max_subqueries)
+    parts = F.slice(F.filter(F.transform(F.split(text(), "[.]"), F.trim), lambda x: x != ""), 1, DEFAULTS.max_subqueries)
     subs = table("benchmark").select("item_id", F.posexplode(parts).alias("i", "text")).select((F.col("item_id") * 10 + F.col("i")).alias("query_id"), "text")
-    found = lexical.top(lexical.scores(table("documents").select("doc_id", "text"), subs, TEXT, TEXT), DEFAULTS.multi_fused_k)
+    found = lexical.top(lexical.scores(table("documents").select("doc_id", "text"), subs, text(), text()), DEFAULTS.multi_fused_k)
     return found.select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).cast("int").alias("sub_idx"), F.col("doc_id").alias("key"), "rank", "score", F.round(1 / (DEFAULTS.rrf_k + F.col("rank")), 9).alias("fusion_score"))
 
 
@@ -212,7 +217,7 @@ def coverage_quota(table, spark):
 @query()
 def fanin_retain(table, spark):
     docs = table("documents").select(F.col("doc_id").alias("key"), "source", "text")
-    keys = questions(table).select("query_id", select.fan_in_key(TEXT).alias("mention"))
+    keys = questions(table).select("query_id", select.fan_in_key(text()).alias("mention"))
     rows = pooled(table).join(docs, "key").join(F.broadcast(keys), "query_id")
     rows = rows.withColumn("mentions", F.coalesce(F.contains(F.lower("text"), F.lower("mention")), F.lit(False)))
     return select.fan_in(rows.select("query_id", "key", "pool_rank", "score", "source", "mentions"))
@@ -232,7 +237,7 @@ keys AS (SELECT query_id, doc_id AS key, min((hop, rank)) AS first_seen FROM (SE
 SELECT query_id, key, merged_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_seen, key) AS merged_rank FROM keys) WHERE merged_rank <= {DEFAULTS.hop_chunks}""")
 def multi_hop_merge(table, spark):
     docs = table("documents").select("doc_id", "text")
-    hops = [lexical.top(lexical.scores(docs, questions(table).withColumn("text", t), TEXT, TEXT), DEFAULTS.multi_k).withColumn("hop", F.lit(i)) for i, t in enumerate((TEXT, F.split(TEXT, "[.]")[0]))]
+    hops = [lexical.top(lexical.scores(docs, questions(table).withColumn("text", t), text(), text()), DEFAULTS.multi_k).withColumn("hop", F.lit(i)) for i, t in enumerate((text(), F.split(text(), "[.]")[0]))]
     return fusion.merge_hops(hops[0].unionByName(hops[1]).withColumnRenamed("doc_id", "key")).select("query_id", "key", "merged_rank")
 
 
@@ -288,4 +293,4 @@ def rerank_title(table, spark):
 
 @query("""SELECT doc_id, source || '::' || md5(text) AS chunk_key, md5(text) AS digest FROM documents""")
 def chunk_keys(table, spark):
-    return table("documents").select("doc_id", tx.chunk_key(F.col("source"), TEXT, True).alias("chunk_key"), F.md5("text").alias("digest"))
+    return table("documents").select("doc_id", tx.chunk_key(F.col("source"), text(), True).alias("chunk_key"), F.md5("text").alias("digest"))
