@@ -22,7 +22,8 @@ BUCKETS, DIM, GRAMS = 1 << 16, 16, (2, 3, 4)
 #: Training takes at most so many labelled rows of a language, of at most so many characters each, and
 #: of at most so many languages, the most frequent ones.
 ROWS_EACH, MOST_CHARS, MOST_LANGUAGES = 800, 20_000, 200
-EPOCHS, RATE, CALIBRATION_SHARE, REJECTED_SHARE = 4, 0.5, 0.25, 0.01
+#: At least so many passes over the sample, and so many steps.
+EPOCHS, STEPS, RATE, CALIBRATION_SHARE, REJECTED_SHARE = 4, 8_000, 0.5, 0.25, 0.01
 UNDETERMINED = "und"
 #: Bytes hashed at a time.
 AT_ONCE = 1 << 18
@@ -98,8 +99,9 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
     order = order[len(kept_out) :]
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype("f4")
     weights, bias = np.zeros((DIM, len(languages)), "f4"), np.zeros(len(languages), "f4")
-    steps, step = EPOCHS * max(len(order), 1), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // max(len(order), 1)))
+    steps, step = epochs * len(order), 0
+    for _ in range(epochs):
         for i in rng.permutation(order):
             y, ids, share = bags[i]
             rate = RATE * (1 - step / steps)
