@@ -25,7 +25,7 @@ BUCKETS, STARTS = 1 << 31, (4, 5)
 #: The bounds of the training sample: rows of label 1, of label 0, without a label; characters of each.
 TOXIC_ROWS, CLEAN_ROWS, OPEN_ROWS, MOST_CHARS = 1500, 3000, 1000, 20_000
 MINED, LEAST_RATIO = 200, 15.0
-LABEL_ACCURACY, ROUNDS, CORRELATED = 0.99, 15, 0.3
+LABEL_ACCURACY, ROUNDS, CORRELATED = 0.999, 15, 0.3
 EPOCHS, RATE, DECAY, CALIBRATION_SHARE = 12, 0.5, 1e-4, 0.25
 
 #: Common insults by language, one voter for each language.
@@ -109,15 +109,14 @@ def mine(ids: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def votes(texts: list[str | None], bags: list[set[str]], ids: list[np.ndarray], mined: np.ndarray) -> np.ndarray:
-    """1 where a voter says toxic, 0 where it abstains; the columns are lexicons, patterns, mined features."""
+    """1 where a voter fires, else 0; the columns are lexicons, patterns, mined features."""
     lexicons = [set(x) for x in LEXICONS.values()]
     fixed = [[bool(bag & x) for x in lexicons] + [bool(p.search(text or "")) for p in VOTES] for text, bag in zip(texts, bags)]
     return np.hstack([np.array(fixed, "f8"), np.array([np.isin(mined, x) for x in ids], "f8")])
 
 
 def label_model(v: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
-    """The posterior of label 1 for each row of votes; labels: 1, 0, or -1 for none. A voter that
-    abstains says nothing."""
+    """The posterior of label 1 for each row of votes; labels: 1, 0, or -1 for none."""
     told = np.where(labels < 0, 0, np.where(labels == 1, 1, -1)) * math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
     q = np.where(labels < 0, prior, np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY))
     for _ in range(ROUNDS):
@@ -127,7 +126,8 @@ def label_model(v: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
         correlation = np.abs(rest.T @ rest / len(v) / np.outer(scale, scale))
         np.fill_diagonal(correlation, 1)
         weight = 1 / (correlation * (correlation > CORRELATED)).sum(0)
-        z = v @ (weight * np.log(rate1 / rate0)) + told + math.log(prior / (1 - prior))
+        odds = v @ (weight * np.log(rate1 / rate0)) + (1 - v) @ (weight * np.log((1 - rate1) / (1 - rate0)))
+        z = odds + told + math.log(prior / (1 - prior))
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return q
 
