@@ -107,7 +107,7 @@ def session_window_turns(table, spark):
     return control.history(table("conversations").where("role <> 'system'"), DEFAULTS.history_turns)
 
 
-@query(f"""WITH v AS (SELECT conv_id, turn, text || chr(10) || '**Sources**: [1] x' AS a, trim(text, ' ') AS s FROM conversations WHERE role = 'assistant' AND text <> '' AND NOT regexp_matches(text, '(?i)\\n[ \\t*#]*sources'))
+@query(f"""WITH v AS (SELECT conv_id, turn, text || chr(10) || '**Sources**: [1] x' AS a, regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS s FROM conversations WHERE role = 'assistant' AND text <> '' AND NOT regexp_matches(text, '(?i)\\n[ \\t*#]*sources'))
 SELECT conv_id, turn, CASE WHEN s = '' THEN left(a, {DEFAULTS.history_answer_chars}) WHEN length(s) > {DEFAULTS.history_answer_chars} THEN left(s, {DEFAULTS.history_answer_chars}) || ' ...' ELSE s END AS view FROM v""")
 def history_view(table, spark):
     said = table("conversations").where((F.col("role") == "assistant") & (F.col("text") != "") & ~F.col("text").rlike(r"(?i)\n[ \t*#]*sources"))

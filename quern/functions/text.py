@@ -73,7 +73,7 @@ def cited_urls(answer: Column) -> Column:
 
 def history_view(answer: Column, most: int) -> Column:
     """An earlier answer as later turns see it: no closing list of sources, cut to length."""
-    stripped = F.trim(F.regexp_replace(answer, r"(?is)\n[ \t*#]*Sources[ \t*#]*:?.*\z", ""))
+    stripped = F.regexp_replace(F.regexp_replace(answer, r"(?is)\n[ \t*#]*Sources[ \t*#]*:?.*\z", ""), r"\A\s+|\s+\z", "")
     cut = F.when(F.length(stripped) > most, F.concat(F.substring(stripped, 1, most), F.lit(" ..."))).otherwise(stripped)
     return F.when(stripped == "", F.substring(answer, 1, most)).otherwise(cut)
 

@@ -14,7 +14,7 @@ LEAST_BODY = 80
 
 def corpus(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(path, category, filename, text) of all text files below path, without blank ones and NULs."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.translate("value", "\0", "").alias("text"))
     parts = F.split(F.replace("path", F.lit(path.rstrip("/") + "/"), F.lit("\1")), "\1")
     below = F.split(F.element_at(parts, -1), "/")
@@ -75,6 +75,8 @@ HEADINGS = {"h1": "## ", "h2": "## ", "h3": "### ", "h4": "### ", "h5": "### "}
 LINES = {*HEADINGS, "p", "li", "dt", "dd", "tr"}
 #: An opening tag of the key ends an open one of the values.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, **{h: {"p"} for h in HEADINGS}}
+#: A closing tag of the key ends an open one of the values.
+CLOSES = {"ul": {"li"}, "ol": {"li"}, "dl": {"dt", "dd"}, "table": {"tr"}, **{x: LINES for x in ("article", "section", "main", "body")}}
 
 
 class _Page(HTMLParser):
@@ -109,7 +111,7 @@ class _Page(HTMLParser):
             if tag in self.skipped:
                 while self.skipped.pop() != tag:
                     pass
-        elif tag == self.open:
+        elif tag == self.open or self.open in CLOSES.get(tag, ()):
             self.open = None
 
     def handle_data(self, data):
