@@ -57,20 +57,17 @@ def test_cited_urls_and_history(spark):
 # chunks
 
 
+PIECES = st.lists(st.sampled_from(["word ", "x", "\n", "\n\n", "Sentence one. ", "longer" * 9]), max_size=120).map("".join)
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["word{} ", "{}", "\n", "\n\n", "Sentence {}. ", "long"]), max_size=120), st.integers(20, 90), st.integers(0, 19))
-def test_split_text(kinds, size, overlap):
-    # of parts that don't repeat, so that each chunk has one place
-    text = "".join("".join(f"{i:03d}{j:02d}" for j in range(12)) if k == "long" else k.format(f"{i:03d}x") for i, k in enumerate(kinds))
+@given(PIECES, st.integers(20, 90), st.integers(0, 19))
+def test_split_text(text, size, overlap):
     chunks = chunk.split_text(text, size, overlap)
-    assert all(c and len(c) <= size and c == c.strip() for c in chunks)
-    at = 0
-    for c in chunks:  # in order, and nothing but white space is left out
-        found = text.rfind(c) if len(c) > 6 else text.find(c, max(0, at - overlap))
-        assert found >= 0
-        assert not text[at:found].strip()
-        at = max(at, found + len(c))
-    assert not text[at:].strip()
+    assert all(c and len(c) <= size and c == c.strip() and c in text for c in chunks)
+    bare = lambda x: "".join(x.split())
+    assert bare("".join(chunk.split_text(text, size, 0))) == bare(text)  # nothing but white space is left out
+    assert len(bare("".join(chunks))) >= len(bare(text))
 
 
 def test_merge_run():
