@@ -3,15 +3,14 @@
 A pre-token is a linked list of parts. Each adjacent pair whose bytes are in the vocabulary waits in
 the bucket of its merge rank; a two-level bitmap over the ranks finds the lowest bucket that holds
 anything by find-first-set. Entries whose pair has changed since are stale and skipped. A pre-token of
-n bytes costs O(n log n), however long it is.
+n bytes costs O(n log n), however long it is. Many short ones go through the queue at once.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -19,58 +18,57 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F
 
-from quern.llm.common import WordCache
-
 #: Bits of one word of the bitmap; its words have a bitmap of their own.
 FANOUT = 256
 
 
 class RankQueue:
     """Positions by merge rank. Bit r of the leaves says that bucket r holds something, bit w of the top
-    that leaf w isn't zero; the lowest rank is found by find-first-set in the top, then in one leaf. A
-    bucket is a heap of positions, so equal ranks leave from left to right."""
+    that leaf w isn't zero; the lowest rank is found by find-first-set in the top, then in one leaf."""
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
         self.leaves = [0] * (ranks // FANOUT + 1)
         self.top = 0
 
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
+    def open(self, rank: int, positions: list[int]) -> None:
+        """Start the bucket of a rank that has none."""
+        self.buckets[rank] = positions
         word = rank // FANOUT
         self.leaves[word] |= 1 << rank % FANOUT
         self.top |= 1 << word
 
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank and its leftmost position, while top isn't zero."""
+    def push(self, rank: int, at: int) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket is None:
+            self.open(rank, [at])
+        else:
+            bucket.append(at)
+
+    def pop(self) -> tuple[int, list[int]]:
+        """The lowest rank and its positions from left to right, while top isn't zero."""
         word = (self.top & -self.top).bit_length() - 1
         bits = self.leaves[word]
         rank = word * FANOUT + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heapq.heappop(bucket)
-        del self.buckets[rank]
         bits &= bits - 1
         self.leaves[word] = bits
         if not bits:
             self.top &= self.top - 1
-        return rank, bucket[0]
+        positions = self.buckets.pop(rank)
+        positions.sort()
+        return rank, positions
 
 
 class Bpe:
     """ranks: id by the bytes of a token. pattern: what splits a text into pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, most: int = 300_000):
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.pairs = {(a, b): ranks.get(bytes((a, b))) for a in range(256) for b in range(256)}
         self.tokens = {i: token for token, i in ranks.items()}
-        self.pieces = WordCache(self._piece)
-        self.chunks = WordCache(self._chunk)
+        self.pieces = Generations(most // 2)
+        self.chunks = Chunks(self.whole, most)
 
     @classmethod
     def from_file(cls, path: str, pattern: str = public_tokenizers.PATTERN) -> Bpe:
@@ -78,83 +76,152 @@ class Bpe:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, pattern)
 
-    def merge(self, data: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
-        if data in ranks:
-            return [ranks[data]]
-        n, rank_of, push, pop = len(data), ranks.get, queue.push, queue.pop
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each pre-token. They share one linked list, in which no pair reaches over the end of
+        a pre-token, and one queue: the lowest rank goes first in each of them, whatever the others do."""
+        ranks, queue, data = self.ranks, self.queue, b"".join(pieces)
+        n, rank_of, buckets = len(data), ranks.get, queue.buckets
         end, back = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at i
         waits = list(map(self.pairs.__getitem__, zip(data, data[1:])))  # the rank at which the part at i merges with the next
         waits.append(None)
+        edge = bytearray(n + 1)  # where pre-tokens begin
+        at = 0
+        for piece in pieces:
+            edge[at] = 1
+            at += len(piece)
+            waits[at - 1] = None
+        edge[n] = 1
         for i, rank in enumerate(waits):
             if rank is not None:
-                push(rank, i)
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    queue.open(rank, [i])
+                else:
+                    bucket.append(i)
         while queue.top:
-            rank, i = pop()
-            if waits[i] != rank:
-                continue  # stale: this pair has gone
-            j = end[i]
-            waits[j] = None
-            end[i] = after = end[j]
-            if after < n:
-                back[after] = i
-                waits[i] = rank = rank_of(data[i : end[after]])
-                if rank is not None:
-                    push(rank, i)
-            else:
-                waits[i] = None
-            if i:
-                j = back[i]
-                waits[j] = rank = rank_of(data[j:after])
-                if rank is not None:
-                    push(rank, j)
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[data[i : end[i]]])
-            i = end[i]
-        return ids
-
-    def _piece(self, piece: str) -> bytes:
-        return np.array(self.merge(piece.encode()), "<u4").tobytes()
-
-    def exact(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers, pre-token by pre-token."""
-        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
-
-    def _chunk(self, chunk: str) -> bytes | None:
-        return spaced(chunk, self.exact)
-
-    def encode_bytes(self, text: str) -> bytes:
-        return encode_spaced(text, self.chunks, self.exact)
+            now, positions = queue.pop()
+            for k, i in enumerate(positions):
+                if waits[i] != now:
+                    continue  # stale: this pair has gone
+                j = end[i]
+                waits[j] = None
+                end[i] = after = end[j]
+                lower = False
+                if edge[after]:
+                    waits[i] = None
+                else:
+                    back[after] = i
+                    waits[i] = rank = rank_of(data[i : end[after]])
+                    if rank is not None:
+                        lower = rank < now
+                        bucket = buckets.get(rank)
+                        if bucket is None:
+                            queue.open(rank, [i])
+                        else:
+                            bucket.append(i)
+                if not edge[i]:
+                    j = back[i]
+                    waits[j] = rank = rank_of(data[j:after])
+                    if rank is not None:
+                        lower = lower or rank < now
+                        bucket = buckets.get(rank)
+                        if bucket is None:
+                            queue.open(rank, [j])
+                        else:
+                            bucket.append(j)
+                if lower and k + 1 < len(positions):  # the new pair goes before the rest of this bucket
+                    queue.open(now, positions[k + 1 :])
+                    break
+        out, i = [], 0
+        for piece in pieces:
+            ids, until = [], i + len(piece)
+            while i < until:
+                ids.append(ranks[data[i : end[i]]])
+                i = end[i]
+            out.append(ids)
+        return out
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, pre-token by pre-token, as little-endian unsigned 32-bit numbers."""
+        split = [self.split.findall(t) for t in texts]
+        known = self.pieces.take({p for pieces in split for p in pieces})
+        new = {p: None for pieces in split for p in pieces if p not in known}
+        raw = {p: p.encode() for p in new}
+        known.update({p: self.ranks[b].to_bytes(4, "little") for p, b in raw.items() if b in self.ranks})
+        raw = {p: b for p, b in raw.items() if p not in known}
+        for piece, ids in zip(raw, self.merge(list(raw.values())) if raw else ()):
+            known[piece] = np.array(ids, "<u4").tobytes()
+        self.pieces.keep({p: known[p] for p in new})
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return self.chunks.encode(texts)
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def spaced(chunk: str, exact) -> bytes | None:
-    """The ids of a chunk of encode_spaced(), or None if its surroundings matter too."""
-    body = chunk[1:] if chunk[:1] == "\n" else chunk
-    if not body or body[0].isspace() or body[-1].isspace():
-        return None
-    return exact(chunk if body is not chunk else f" {chunk}")
-
+class Generations:
+    """What was encoded lately, by short text: entries that weren't asked for since the last turnover go.
+    It holds little more than twice `most` texts of at most `longest` characters."""
+
+    def __init__(self, most: int, longest: int = 48):
+        self.most, self.longest = most, longest
+        self.young, self.old = {}, {}
+
+    def take(self, keys: set[str]) -> dict:
+        """What is held of keys, which counts as asking for it."""
+        young, old = self.young, self.old
+        young.update({k: old[k] for k in filter(old.__contains__, keys) if k not in young})
+        return {k: young[k] for k in filter(young.__contains__, keys)}
+
+    def keep(self, found: dict) -> None:
+        self.young.update({k: v for k, v in found.items() if len(k) <= self.longest})
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+
+class Chunks:
+    """Encodes batches of texts from the ids of their chunks. The pattern never joins what comes before a
+    lone space or line feed with what follows it, so a chunk between two of them encodes by itself: after
+    a space (which belongs to it) or, marked by a leading line feed, after a line feed. A text with other
+    white space at a chunk's edge is encoded as a whole. whole: ids of each of a list of texts."""
+
+    def __init__(self, whole: Callable[[list[str]], list[bytes]], most: int = 500_000):
+        self.whole, self.held = whole, Generations(most)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        wanted = set()
+        for parts in split:
+            wanted.update(parts[1:])
+        known = self.held.take(wanted)
+        new = [c for c in wanted if c not in known]
+        apart = [c for c in new if self.apart(c)]
+        fresh = dict.fromkeys(new)  # None: its surroundings matter
+        fresh.update(zip(apart, self.whole([c if c[0] == "\n" else f" {c}" for c in apart])))
+        known.update(fresh)
+        self.held.keep(fresh)
+        out, odd = [], []
+        firsts = iter(self.whole([parts[0] for parts in split]))
+        for i, parts in enumerate(split):
+            first, ids = next(firsts), list(map(known.__getitem__, parts[1:]))
+            if not ids or None in ids or parts[0][-1:].isspace():
+                odd.append(i)
+                out.append(b"")
+            else:
+                out.append(first + b"".join(ids))
+        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
+            out[i] = ids
+        return out
 
-def encode_spaced(text: str, chunks: dict, exact) -> bytes:
-    """The ids of a text from those of its chunks. The pattern never joins what comes before a lone
-    space or line feed with what follows it, so a chunk between two of them encodes by itself: after a
-    space (which belongs to it) or, marked by a leading line feed, after a line feed. A text with
-    other white space at a chunk's edge is encoded as a whole."""
-    first, *rest = text.replace("\n", " \n").split(" ")
-    if not rest or (first and first[-1].isspace()):
-        return exact(text)
-    ids = list(map(chunks.__getitem__, rest))
-    if None in ids:
-        return exact(text)
-    return exact(first) + b"".join(ids) if first else b"".join(ids)
+    @staticmethod
+    def apart(chunk: str) -> bool:
+        body = chunk[1:] if chunk[:1] == "\n" else chunk
+        return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
 
 @functools.lru_cache(maxsize=2)
@@ -171,7 +238,7 @@ def encode(text: Column, path: str, pattern: str = public_tokenizers.PATTERN) ->
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _loaded(path, pattern)
         for texts in batches:
-            ids = [bpe.encode_bytes(t) if t else b"" for t in texts.to_pylist()]
+            ids = bpe.encode_batch([t or "" for t in texts.to_pylist()])
             ends = np.cumsum([0] + [len(x) // 4 for x in ids], dtype="i4")
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 

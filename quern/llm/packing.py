@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.bpe import encode_spaced, spaced
-from quern.llm.common import WordCache, free_name
+from quern.llm.bpe import Chunks
 
 #: Share of the capacity's k-th part that a piece of class k may leave empty.
 SLACK = 0.02
@@ -98,13 +97,13 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.closing = np.array([closing], "<u4").tobytes()
-        self.chunks = WordCache(lambda chunk: spaced(chunk, self.exact))
+        self.chunks = Chunks(self.whole)
 
-    def exact(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> np.ndarray:
-        return np.frombuffer((encode_spaced(text, self.chunks, self.exact) if text else b"") + self.closing, "<u4")
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(ids + self.closing, "<u4") for ids in self.chunks.encode(texts)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -132,8 +131,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 1
 
         for docs_ in batches:
             schema = schema or pa.schema([pa.field("doc_id", docs_.schema.field(0).type), *((n, pa.int64()) for n in ("start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
-            for key, words in zip(docs_.column(0).to_pylist(), docs_.column(1).to_pylist()):
-                for piece in packer.add(key, ids(words)):
+            for key, tokens in zip(docs_.column(0).to_pylist(), ids([t or "" for t in docs_.column(1).to_pylist()])):
+                for piece in packer.add(key, tokens):
                     ready.append(piece)
                     held += piece[2]
                     if held >= 1 << 20:

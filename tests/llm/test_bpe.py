@@ -1,5 +1,6 @@
 import base64
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -39,15 +40,37 @@ def test_queue_pops_by_rank_then_place():
     out = []
     while queue.top:
         out.append(queue.pop())
-    assert out == [(2, 3), (2, 9), (300, 1), (300, 5), (49_999, 0)]
+    assert out == [(2, [3, 9]), (300, [1, 5]), (49_999, [0])]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abc", min_size=1).map(str.encode), min_size=1), st.randoms())
+def test_merges_lowest_rank_first_in_each_piece(pieces, rng):
+    """With tokens in any order of ranks, so that a merge often makes a pair of lower rank."""
+    tokens = sorted({p[i:j] for p in pieces for i in range(len(p)) for j in range(i + 2, min(len(p), i + 6) + 1)})
+    rng.shuffle(tokens)
+    ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(tokens[: len(tokens) // 2])}
+
+    def by_hand(piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))] if piece not in ranks else [piece]
+        while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[p] for p in parts]
+
+    own = bpe.Bpe(ranks)
+    assert [own.merge([p])[0] for p in pieces] == own.merge(pieces)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.whole([p.decode() for p in pieces])] == [by_hand(p) for p in pieces]
 
 
 def test_cache_is_bounded_and_right():
-    small = bpe.Bpe(RANKS)
-    small.pieces = bpe.WordCache(small._piece, 3, 4)
-    text = " ".join(f"word{i} go{i % 5}" for i in range(200))
-    assert small.encode(text) == theirs.encode_ordinary(text)
-    assert len(small.pieces) <= 3 and len(small.pieces.older) <= 3
+    small = bpe.Bpe(RANKS, most=20)
+    for _ in range(3):
+        texts = [" ".join(f"word{i} go{i % 5} {'x' * 60}" for i in range(j, j + 7)) for j in range(40)]
+        for t in texts:
+            assert small.encode(t) == theirs.encode_ordinary(t)
+        assert max(map(len, (small.pieces.old, small.chunks.held.old))) <= 20 + 40
+    assert small.encode_batch(["a b", "", "a  b", "\n"]) == [np.array(theirs.encode_ordinary(t), "<u4").tobytes() for t in ("a b", "", "a  b", "\n")]
 
 
 def test_columns(odd, none):
