@@ -46,7 +46,8 @@ def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts:
     if clashing.limit(1).count():  # different texts of one digest
         apart = rows.join(clashing, "digest", "left_semi")
         found = found.unionByName(apart.join(groups(apart, salts), ["digest", "content"]).drop("content"))
-    again = F.row_number().over(Window.partitionBy("digest", "doc_id", "keep_id", "group_size").orderBy("doc_id"))
+    # by a struct, so that rows are dealt anew and the join before may split a hot digest
+    again = F.row_number().over(Window.partitionBy(F.struct("digest", "doc_id", "keep_id", "group_size")).orderBy("doc_id"))
     return found.select("doc_id", "digest", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (again == 1)).alias("kept"))
 
 
