@@ -65,7 +65,8 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, most: int = 300_000):
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.pairs = {(a, b): ranks.get(bytes((a, b))) for a in range(256) for b in range(256)}
+        self.bytes = [ranks.get(bytes((a,)), -1) for a in range(256)]
+        self.pairs = np.array([ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)])
         self.tokens = {i: token for token, i in ranks.items()}
         self.pieces = Generations(most // 2)
         self.chunks = Chunks(self.whole, most)
@@ -80,39 +81,37 @@ class Bpe:
         """The ids of each pre-token. They share one linked list, in which no pair reaches over the end of
         a pre-token, and one queue: the lowest rank goes first in each of them, whatever the others do."""
         ranks, queue, data = self.ranks, self.queue, b"".join(pieces)
-        n, rank_of, buckets = len(data), ranks.get, queue.buckets
+        n, rank_of, buckets, ids = len(data), ranks.get, queue.buckets, list(map(self.bytes.__getitem__, data))
         end, back = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at i
-        waits = list(map(self.pairs.__getitem__, zip(data, data[1:])))  # the rank at which the part at i merges with the next
-        waits.append(None)
+        code = np.frombuffer(data, "u1").astype("i8")
+        first = self.pairs[code << 8 | np.r_[code[1:], 0]]  # the rank at which the part at i merges with the next
+        starts = np.cumsum([0, *map(len, pieces)])
+        first[starts[1:] - 1] = -1
         edge = bytearray(n + 1)  # where pre-tokens begin
-        at = 0
-        for piece in pieces:
-            edge[at] = 1
-            at += len(piece)
-            waits[at - 1] = None
-        edge[n] = 1
-        for i, rank in enumerate(waits):
-            if rank is not None:
-                bucket = buckets.get(rank)
-                if bucket is None:
-                    queue.open(rank, [i])
-                else:
-                    bucket.append(i)
+        np.frombuffer(edge, "u1")[starts] = 1
+        (some,) = np.nonzero(first >= 0)
+        some = some[np.argsort(first[some], kind="stable")]
+        of, cuts = np.unique(first[some], return_index=True)
+        some = some.tolist()
+        for rank, i, j in zip(of.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(some)]):
+            queue.open(rank, some[i:j])
+        waits = first.tolist()
         while queue.top:
             now, positions = queue.pop()
             for k, i in enumerate(positions):
                 if waits[i] != now:
                     continue  # stale: this pair has gone
                 j = end[i]
-                waits[j] = None
+                waits[j] = -1
                 end[i] = after = end[j]
+                ids[i] = now
                 lower = False
                 if edge[after]:
-                    waits[i] = None
+                    waits[i] = -1
                 else:
                     back[after] = i
-                    waits[i] = rank = rank_of(data[i : end[after]])
-                    if rank is not None:
+                    waits[i] = rank = rank_of(data[i : end[after]], -1)
+                    if rank >= 0:
                         lower = rank < now
                         bucket = buckets.get(rank)
                         if bucket is None:
@@ -121,8 +120,8 @@ class Bpe:
                             bucket.append(i)
                 if not edge[i]:
                     j = back[i]
-                    waits[j] = rank = rank_of(data[j:after])
-                    if rank is not None:
+                    waits[j] = rank = rank_of(data[j:after], -1)
+                    if rank >= 0:
                         lower = lower or rank < now
                         bucket = buckets.get(rank)
                         if bucket is None:
@@ -134,25 +133,25 @@ class Bpe:
                     break
         out, i = [], 0
         for piece in pieces:
-            ids, until = [], i + len(piece)
+            own, until = [], i + len(piece)
             while i < until:
-                ids.append(ranks[data[i : end[i]]])
+                own.append(ids[i])
                 i = end[i]
-            out.append(ids)
+            out.append(own)
         return out
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, pre-token by pre-token, as little-endian unsigned 32-bit numbers."""
         split = [self.split.findall(t) for t in texts]
-        known = self.pieces.take({p for pieces in split for p in pieces})
-        new = {p: None for pieces in split for p in pieces if p not in known}
+        known, new = self.pieces.young, self.pieces.lacking({p for pieces in split for p in pieces})
         raw = {p: p.encode() for p in new}
         known.update({p: self.ranks[b].to_bytes(4, "little") for p, b in raw.items() if b in self.ranks})
         raw = {p: b for p, b in raw.items() if p not in known}
         for piece, ids in zip(raw, self.merge(list(raw.values())) if raw else ()):
             known[piece] = np.array(ids, "<u4").tobytes()
-        self.pieces.keep({p: known[p] for p in new})
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        self.pieces.settle(new)
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return self.chunks.encode(texts)
@@ -172,14 +171,18 @@ class Generations:
         self.most, self.longest = most, longest
         self.young, self.old = {}, {}
 
-    def take(self, keys: set[str]) -> dict:
-        """What is held of keys, which counts as asking for it."""
+    def lacking(self, keys: set[str]) -> list[str]:
+        """Those that aren't held; the others are in young from now until settle()."""
         young, old = self.young, self.old
-        young.update({k: old[k] for k in filter(old.__contains__, keys) if k not in young})
-        return {k: young[k] for k in filter(young.__contains__, keys)}
-
-    def keep(self, found: dict) -> None:
-        self.young.update({k: v for k, v in found.items() if len(k) <= self.longest})
+        left = [k for k in keys if k not in young]
+        young.update({k: old[k] for k in filter(old.__contains__, left)})
+        return [k for k in left if k not in old]
+
+    def settle(self, new: list[str]) -> None:
+        """new: what was put into young."""
+        for k in new:
+            if len(k) > self.longest:
+                del self.young[k]
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
 
@@ -198,13 +201,10 @@ class Chunks:
         wanted = set()
         for parts in split:
             wanted.update(parts[1:])
-        known = self.held.take(wanted)
-        new = [c for c in wanted if c not in known]
+        known, new = self.held.young, self.held.lacking(wanted)
         apart = [c for c in new if self.apart(c)]
-        fresh = dict.fromkeys(new)  # None: its surroundings matter
-        fresh.update(zip(apart, self.whole([c if c[0] == "\n" else f" {c}" for c in apart])))
-        known.update(fresh)
-        self.held.keep(fresh)
+        known.update(dict.fromkeys(new))  # None: its surroundings matter
+        known.update(zip(apart, self.whole([c if c[0] == "\n" else f" {c}" for c in apart])))
         out, odd = [], []
         firsts = iter(self.whole([parts[0] for parts in split]))
         for i, parts in enumerate(split):
@@ -216,6 +216,7 @@ class Chunks:
                 out.append(first + b"".join(ids))
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
+        self.held.settle(new)
         return out
 
     @staticmethod
@@ -252,6 +253,9 @@ def decode(ids: Column, path: str, pattern: str = public_tokenizers.PATTERN) ->
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _loaded(path, pattern)
         for lists in batches:
-            yield pa.array([bpe.decode(x or ()) for x in lists.to_pylist()], pa.binary())
+            lists = lists.fill_null([]) if lists.null_count else lists
+            at = lists.offsets.to_numpy()
+            ids = lists.values.to_numpy()
+            yield pa.array([bpe.decode(ids[i:j].tolist()) for i, j in zip(at[:-1], at[1:])], pa.binary())
 
     return run(ids)
