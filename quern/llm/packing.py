@@ -97,7 +97,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.closing = np.array([closing], "<u4").tobytes()
-        self.chunks = Chunks(self.whole)
+        self.chunks = Chunks(self.whole, 1_000_000)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
