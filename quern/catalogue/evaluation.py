@@ -23,6 +23,13 @@ def fact_match(table, spark):
     return docs.join(facts, "w").select("item_id", "doc_id", tx.fact_in(F.col("fact"), F.col("text")).alias("hit"))
 
 
+@query()
+def fact_search(table, spark):
+    """The first sentence of every passage in all documents; DuckDB's expressions have no look-around, and
+    its lower() isn't Spark's, so there is no SQL."""
+    return evaluate.fact_hits(table("benchmark").select("item_id", F.split("text", "[.]")[0].alias("fact")), table("documents").select("doc_id", "text"))
+
+
 #: Cases from labels: the facts of a document are its two labels, its answer says one.
 @query("""SELECT doc_id, (CASE WHEN quality = 1 THEN 1 ELSE 0 END + CASE WHEN toxic = 1 THEN 1 ELSE 0 END) / 2 AS fact_recall, CASE WHEN toxic = 1 THEN 0.0 ELSE 1.0 END AS avoidance,
   CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END AS url_hit, CASE WHEN toxic = 1 AND quality = 1 THEN 0.5 WHEN toxic = 1 THEN 0.0 WHEN quality = 1 THEN 1.0 END::DOUBLE AS citation_precision FROM labels""")

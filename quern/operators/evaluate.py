@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.functions.text import fact_in, normalise_url
+from quern.functions.text import fact_in, normalise_answer, normalise_url
+from quern.operators.lexical import bounded
 
 
 def groups(value: Column) -> Column:
@@ -17,6 +18,26 @@ def facts_found(facts: Column, answer: Column) -> Column:
     return F.transform(facts, lambda g: F.exists(g, lambda a: fact_in(a, answer)))
 
 
+def fact_keys(normalised: Column) -> Column:
+    """What an index of normalised texts has of each: its runs of a-z and 0-9, without the ending of an
+    ordinal as well, and any other character but the space. A fact at bounds has all its keys there."""
+    found = F.array_distinct(F.regexp_extract_all(normalised, F.lit("[a-z0-9]+|[^a-z0-9 ]"), F.lit(0)))
+    return F.array_union(found, F.transform(F.filter(found, lambda k: k.rlike("[0-9](st|nd|rd|th)$")), lambda k: F.substring(k, 1, F.length(k) - 2)))
+
+
+def fact_hits(facts: DataFrame, docs: DataFrame) -> DataFrame:
+    """facts (item_id, fact), docs (doc_id, text): (item_id, doc_id) for each fact and each row of docs
+    where fact_in() holds. The candidates are the documents that have the fact's rarest key, so that no
+    pair without it is made; texts are joined to candidates by doc_id, which may repeat or be null."""
+    keys = facts.select("item_id", "fact", F.explode(fact_keys(normalise_answer(F.col("fact")))).alias("key"))
+    postings = docs.select("doc_id", F.explode(fact_keys(normalise_answer(F.col("text")))).alias("key"))
+    df = postings.join(bounded(keys.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    rarest = keys.join(df, "key", "left").groupBy("item_id", "fact").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key"))["key"].alias("key"))
+    candidates = postings.join(bounded(rarest), "key").select("item_id", "fact", F.struct("doc_id").alias("own")).distinct()
+    pairs = docs.select(F.struct("doc_id").alias("own"), "text").join(candidates, "own")
+    return pairs.where(fact_in(F.col("fact"), F.col("text"))).select("item_id", "own.doc_id")
+
+
 def share(flags: Column) -> Column:
     """The share of true; null if there are none."""
     return F.when(F.size(flags) > 0, F.size(F.filter(flags, lambda x: x)) / F.size(flags))
