@@ -1,0 +1,138 @@
+"""Near-duplicates by the Jaccard similarity of 5-word shingles, verified on the shingles themselves.
+
+At a similarity of 0.8 the bits of SimHash prints differ at a rate of 0.15, so positions that would
+agree are too short to select; candidates come from MinHash bands instead: texts of similarity s agree
+in a band of ROWS minima with probability s ** ROWS, and in one of BANDS at 0.8 with 0.997. Bands give
+stars of candidates, components of these are sets of texts that may be similar, and within one all
+pairs are compared by their shingles (a text that is linked isn't compared again as a target).
+A set of candidates is compared in one task, which holds its shingles.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
+
+from quern.llm.common import free_name, materialise
+from quern.llm.components import components
+
+WIDTH, LEAST, ROWS, BANDS, SEED = 5, 0.8, 8, 32, 42
+#: Shingles that are permuted at a time, so that a text of any length takes bounded memory.
+AT_ONCE = 1 << 12
+#: Candidates are broadcast up to this number; beyond it texts are shuffled to them.
+BROADCAST_ROWS = 500_000
+
+FACTORS, SHIFTS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), "u8") * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of runs of width words; a shorter text is one run. None without words."""
+    words = (text or "").encode().lower().split()  # of bytes: A-Z only, and just the white space of ASCII
+    if not words:
+        return np.zeros(0, "u8")
+    runs = zip(*(words[i:] for i in range(width))) if len(words) >= width else [words]
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(b" ".join(run), SEED) for run in runs]), ">u8").astype("u8"))
+
+
+def node_of(found: np.ndarray) -> int:
+    """The identity of a set of shingles. Signed."""
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
+
+
+def bands_of(found: np.ndarray) -> list[int]:
+    """A key for each band. Signed."""
+    least = np.full(BANDS * ROWS, np.iinfo("u8").max, "u8")
+    for at in range(0, len(found), AT_ONCE):
+        np.minimum(least, (found[None, at : at + AT_ONCE] * FACTORS + SHIFTS).min(1), out=least)
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) - (1 << 63) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def keys(text: Column) -> Column:
+    """struct<node, bands> of whole texts."""
+
+    @F.arrow_udf("struct<node: long, bands: array<long>>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [shingles(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(map(node_of, found), pa.int64()), pa.array(map(bands_of, found), pa.list_(pa.int64()))], ["node", "bands"])
+
+    return run(text)
+
+
+def similar(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
+    """For distinct sets: the place of the first set in the component of each, by links of all pairs of
+    a similarity of at least `least`."""
+    sizes = np.array([len(s) for s in sets])
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    place, mark = np.full(len(sets), -1), np.zeros(len(vocabulary), bool)
+    rest, end, open_ = np.arange(len(sets)), np.cumsum(sizes), np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        if place[first] >= 0:
+            continue
+        place[first], frontier = first, [first]
+        while frontier:
+            open_ = place[rest] < 0
+            if 2 * open_.sum() < len(rest):
+                rest = rest[open_]
+                flat = np.concatenate([own[i] for i in rest]) if len(rest) else flat[:0]
+                end, open_ = np.cumsum(sizes[rest]), open_[open_]
+            if not len(rest):
+                return np.where(place < 0, first, place)
+            x = frontier.pop()
+            mark[own[x]] = True
+            upto = np.r_[0, np.cumsum(mark[flat])]
+            mark[own[x]] = False
+            shared = upto[end] - upto[end - sizes[rest]]
+            near = rest[open_ & (shared + 1e-9 >= least * (sizes[x] + sizes[rest] - shared))]
+            place[near] = first
+            frontier += near.tolist()
+    return place
+
+
+def verified(candidates: DataFrame) -> DataFrame:
+    """candidates (component, node, text): (node, group), group the same for the nodes that links reach."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = {}
+        for node, text in zip(table["node"].to_pylist(), table["text"].to_pylist()):
+            if node not in found and node_of(some := shingles(text)) == node:
+                found[node] = some
+        nodes = sorted(found)
+        first = similar([found[n] for n in nodes]) if nodes else []
+        return pa.table({"node": pa.array(nodes, pa.int64()), "group": pa.array([nodes[i] for i in first], pa.int64())})
+
+    return candidates.groupBy("component").applyInArrow(run, "node long, group long")
+
+
+def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, node, component_id) for each row of docs. component_id: the smallest doc_id that links of
+    a similarity of LEAST or more reach, itself included; null only where all ids are null. Texts of
+    equal shingles, and texts without words, are linked. Other columns aren't read."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = materialise(own.select("doc_id", keys(F.col("text")).alias("k")).select("doc_id", "k.*"), "near-keys")
+    classes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "near-classes")
+    postings = classes.select("node", F.explode("bands").alias("key"))
+    lists = postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("key", "a")
+    stars = postings.join(lists, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    found = components(materialise(stars, "near-stars"))
+    wanted = materialise(classes.select("node", "first_id").join(found, "node"), "near-wanted")
+    wanted_ids = wanted.where("first_id is not null").withColumnRenamed("first_id", "doc_id")
+    few = wanted_ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    candidates = own.join(F.broadcast(wanted_ids) if few else wanted_ids, "doc_id").select("component", "node", "text")
+    groups = materialise(verified(candidates), "near-groups")
+    named = classes.select("node", "first_id").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    ids = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    named = named.join(ids, "group").select("node", "component_id")
+    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id")
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose id is that of their component, with their columns as they are. doc_id is a
+    key: rows that repeat one stay or go together."""
+    key = free_name(docs, "_key")
+    keep = annotate(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = keep.select(F.struct(F.col("doc_id").alias("id")).alias(key)).distinct()
+    return docs.withColumn(key, F.struct(F.col(doc_id).alias("id"))).join(keep.hint("shuffle_hash"), key, "left_semi").select(*docs.columns)
