@@ -80,3 +80,12 @@ def test_query(spark, small):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
     good = [r["kept"] for r in got if labels.get(r["doc_id"]) == 1 and not r["base_failed"]]
     assert sum(good) == len(good)
+
+
+def test_wrapped_base64_goes():
+    import base64
+
+    for n in (3_000, 12_000, 40_000, 150_000):
+        blob = base64.encodebytes(random.Random(n).randbytes(n)).decode()
+        got = quality.measure(blob, ZSTD)
+        assert len(blob) > 4_000 and not got[5] and not got[6], n
