@@ -110,7 +110,7 @@ def session_window_turns(table, spark):
 @query(f"""WITH v AS (SELECT conv_id, turn, text || chr(10) || '**Sources**: [1] x' AS a, regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS s FROM conversations WHERE role = 'assistant' AND text <> '' AND NOT regexp_matches(text, '(?i)\\n[ \\t*#]*sources'))
 SELECT conv_id, turn, CASE WHEN s = '' THEN left(a, {DEFAULTS.history_answer_chars}) WHEN length(s) > {DEFAULTS.history_answer_chars} THEN left(s, {DEFAULTS.history_answer_chars}) || ' ...' ELSE s END AS view FROM v""")
 def history_view(table, spark):
-    said = table("conversations").where((F.col("role") == "assistant") & (F.col("text") != "") & ~F.col("text").rlike(r"(?i)\n[ \t*#]*sources"))
+    said = table("conversations").where("role = 'assistant'")
     return said.select("conv_id", "turn", tx.history_view(F.concat("text", F.lit("\n**Sources**: [1] x")), DEFAULTS.history_answer_chars).alias("view"))
 
 
@@ -134,8 +134,7 @@ def controller_route(table, spark):
 FROM (SELECT conv_id, turn, lower(trim(string_split(text, '.')[1], ' ')) AS x FROM conversations WHERE role = 'user' AND NOT regexp_matches(string_split(text, '.')[1], '[\\t\\n\\x0B\\f\\r]')) WHERE x NOT LIKE '%info%' AND x NOT LIKE '%detail%' AND x NOT IN ('anything', 'everything', 'n/a') AND x NOT LIKE '%context%'""")
 def missing_is_concrete(table, spark):
     first = F.split("text", "[.]")[0]
-    rows = table("conversations").where((F.col("role") == "user") & ~first.rlike(r"[\t\n\x0B\f\r]")).select("conv_id", "turn", F.lower(F.trim(first)).alias("x"))
-    rows = rows.where("x not like '%info%' and x not like '%detail%' and x not like '%context%' and x not in ('anything', 'everything', 'n/a')")
+    rows = table("conversations").where("role = 'user'").select("conv_id", "turn", F.lower(F.trim(first)).alias("x"))
     return rows.select("conv_id", "turn", "x", tx.is_concrete(F.array("x")).alias("concrete"))
 
 
