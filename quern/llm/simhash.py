@@ -1,13 +1,16 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Fingerprints of 64 bits that differ in at most 3 bits agree in at least 5 of their 8 bytes: that is the
-guaranteed minimum of matches. A posting list of a single byte at a single position holds a 256th of
-the corpus, and tallying the pairs within it grows with the square of the corpus; so the index is kept
-on what a tally of 5 amounts to, the 56 ways to choose 5 positions with their bytes (40 bits each).
-Fingerprints that meet in such a list share the minimum count; the bits of the rest are then verified.
-Equal fingerprints are one entry. A list is not expanded into pairs: it holds at most 2**24 entries,
-all of which differ in 24 bits only, and gives each of its own components as a star. The links over all
-lists have the components that all links between fingerprints have.
+guaranteed minimum of matches. Of any 5 positions, 3 lie in one half of the 8; so the index posts each
+print under the 8 ways to choose 3 positions of a half, with their bytes. Within a list the equal bytes
+of each pair are tallied, pairs that reach the minimum are retained and their bits verified.
+
+A list of over LONG prints is not compared: its prints are posted again under 2 more positions (a pair
+that has 5 in common has 2 outside of the 3), and if a list is still too long, under 3 of the 6 nibbles
+that are left (3 bits differ in 3 nibbles at most), where no list can have more than 4,096 distinct
+prints. So no task holds more than LONG prints of a list and no pair is left out. Equal fingerprints are
+one entry. A list gives a star for each of its components, not its pairs; the links over all lists have
+the components that all links between fingerprints have.
 """
 
 from __future__ import annotations
@@ -26,8 +29,12 @@ from quern.llm.components import components
 SEED, BYTES, MOST_BITS = 42, 8, 3
 #: Shingles hashed at a time, so that a text of any length takes bounded memory.
 AT_ONCE = 1 << 16
-#: Lists up to this length are verified pair by pair.
-SMALL_LIST = 1024
+#: Lists up to this length are compared; longer ones are posted under more positions.
+LONG = 4096
+#: Rows of a list whose bytes are compared with all of it at a time.
+BLOCK = 64
+#: Long lists are broadcast up to this number; beyond it postings are shuffled to them.
+BROADCAST_LISTS = 100_000
 
 
 def fingerprint_of(text: str | None, width: int = 3) -> int:
@@ -55,86 +62,119 @@ def fingerprint(text: Column, width: int = 3) -> Column:
     return run(text)
 
 
-def masks(most_bits: int = MOST_BITS) -> list[int]:
-    """For each choice of the guaranteed number of positions, the bits of their bytes, signed."""
-    chosen = [sum(0xFF << 8 * i for i in c) for c in combinations(range(BYTES), BYTES - most_bits)]
-    return [m - (1 << 64) if m >> 63 else m for m in chosen]
+def masks() -> list[int]:
+    """The bits of 3 positions of a half, for each choice."""
+    return [sum(0xFF << 8 * i for i in c) for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
 
 
-def local_components(prints: np.ndarray, free: int, most_bits: int = MOST_BITS) -> np.ndarray:
-    """For distinct sorted prints that differ in the bits of free only: the place of the first print in
-    the component of each."""
-    n = len(prints)
-    place = np.arange(n)
-    if n <= SMALL_LIST:
-        near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= most_bits
-        while True:
-            least = np.where(near, place[None, :], n).min(1)
-            least = least[least]
-            if (least == place).all():
-                return place
-            place = least
-    bits = [np.uint64(1 << b) for b in range(64) if free >> b & 1]
-    flips = [np.bitwise_or.reduce(c) for k in range(1, most_bits + 1) for c in combinations(bits, k)]
+def finer(mask: int) -> list[int]:
+    """The masks that a long list of a mask is dealt to: 2 more bytes, then 3 nibbles of what is left."""
+    free = [i for i in range(BYTES) if not mask >> 8 * i & 0xFF]
+    if len(free) > MOST_BITS:
+        return [mask | sum(0xFF << 8 * i for i in c) for c in combinations(free, len(free) - MOST_BITS)]
+    nibbles = [0xF << 4 * i for i in range(2 * BYTES) if not mask >> 4 * i & 0xF]
+    return [mask | sum(c) for c in combinations(nibbles, MOST_BITS)] if len(nibbles) > MOST_BITS else []
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """label: the root of each place, roots being least: with the links (a, b) as well."""
     while True:
-        before = place.copy()
-        for flip in flips:
-            other = prints ^ flip
-            at = np.minimum(np.searchsorted(prints, other), n - 1)
-            (a,) = np.nonzero(prints[at] == other)
-            b = at[a]
-            least = np.minimum(place[a], place[b])
-            place[a] = least
-            if not place.any():
-                return place
-        place = place[place]
-        if (place == before).all():
-            return place
-
-
-def links(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """prints: distinct longs in column print. Distinct links (a, b), b > a unsigned, with the
-    components of all pairs that differ in at most most_bits bits."""
-    chosen = masks(most_bits)
-    index = prints.select("print", F.explode(F.array(*map(F.lit, chosen))).alias("mask")).withColumn("key", F.col("print").bitwiseAND(F.col("mask")))
-    index = index.repartition("mask", "key").sortWithinPartitions("mask", "key", "print")
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label[:] = up
+
+
+def local_components(prints: np.ndarray, most_bits: int = MOST_BITS) -> np.ndarray:
+    """For distinct prints: the place of the first print in the component of each."""
+    n = len(prints)
+    label, own = np.arange(n), np.ascontiguousarray(prints).view("u1").reshape(n, BYTES)
+    for at in range(0, n, BLOCK):
+        tally = (own[at : at + BLOCK, None] == own[None, at:]).sum(-1, dtype="u1")
+        a, b = np.nonzero(tally >= BYTES - most_bits)
+        a, b = a + at, b + at
+        near = (a < b) & (np.bitwise_count(prints[a] ^ prints[b]) <= most_bits)
+        unite(label, a[near], b[near])
+    return label
+
+
+def _stars(lists: DataFrame, most_bits: int) -> DataFrame:
+    """lists (print, mask, key): the stars (a, b) of the components within each list."""
+    sorted_ = lists.select("print", "mask", "key").repartition("mask", "key").sortWithinPartitions("mask", "key", "print")
+
+    def stars(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)]
+        begin = np.flatnonzero(new)
+        size = np.diff(np.r_[begin, len(rows)])
+        own = rows[:, 2].view("u8")
+        pair = begin[size == 2]
+        pair = pair[np.bitwise_count(own[pair] ^ own[pair + 1]) <= most_bits]
+        a, b = [own[pair]], [own[pair + 1]]
+        for at, n in zip(begin[size > 2], size[size > 2]):
+            some = np.sort(own[at : at + n])
+            place = local_components(some, most_bits)
+            (rest,) = np.nonzero(place != np.arange(n))
+            a.append(some[place[rest]])
+            b.append(some[rest])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view("i8")) for x in (a, b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the list that the next batch may go on with
-
-        def stars(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)]
-            begin = np.flatnonzero(new)
-            size = np.diff(np.r_[begin, len(rows)])
-            own = rows[:, 2].view("u8")
-            pair = begin[size == 2]
-            pair = pair[np.bitwise_count(own[pair] ^ own[pair + 1]) <= most_bits]
-            a, b = [own[pair]], [own[pair + 1]]
-            for at, n in zip(begin[size > 2], size[size > 2]):
-                some = np.sort(own[at : at + n])
-                place = local_components(some, ~int(rows[at, 0]) & (1 << 64) - 1, most_bits)
-                (rest,) = np.nonzero(place != np.arange(n))
-                a.append(some[place[rest]])
-                b.append(some[rest])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view("i8")) for x in (a, b)], ["a", "b"])
-
-        for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy() for i in (1, 2, 0)], axis=1)
-            if not len(rows):
-                continue
-            last = len(rows) - 1 - int(np.argmax((rows[::-1, :2] != rows[-1, :2]).any(1))) if (rows[:, :2] != rows[-1, :2]).any() else -1
-            if last >= 0:
-                yield stars(np.concatenate([*held, rows[: last + 1]]))
-                held = [rows[last + 1 :]]
-            elif held and (held[0][0, :2] != rows[0, :2]).any():
-                yield stars(np.concatenate(held))
-                held = [rows]
-            else:
-                held.append(rows)
-        if held:
-            yield stars(np.concatenate(held))
-
-    return index.mapInArrow(run, "a long, b long").distinct()
+        for rows in whole_lists((np.stack([batch.column(i).to_numpy() for i in (1, 2, 0)], axis=1) for batch in batches), 2):
+            yield stars(rows)
+
+    return sorted_.mapInArrow(run, "a long, b long")
+
+
+def whole_lists(batches: Iterator[np.ndarray], keys: int) -> Iterator[np.ndarray]:
+    """Sorted rows, dealt anew so that the rows of a list (equal in the first `keys` columns) come together.
+    It holds one list, and the lists that end in a batch."""
+    held: list[np.ndarray] = []
+    for rows in batches:
+        if not len(rows):
+            continue
+        if held and (held[0][0, :keys] != rows[0, :keys]).any():
+            yield np.concatenate(held)
+            held = []
+        (other,) = np.nonzero((rows[:, :keys] != rows[-1, :keys]).any(1))
+        if len(other):
+            yield np.concatenate([*held, rows[: other[-1] + 1]])
+            held, rows = [], rows[other[-1] + 1 :]
+        held.append(rows)
+    if held:
+        yield np.concatenate(held)
+
+
+def links(prints: DataFrame, most_bits: int = MOST_BITS, long: int = LONG) -> DataFrame:
+    """prints: distinct longs in column print. Distinct links (a, b), b > a unsigned, with the
+    components of all pairs that differ in at most most_bits (0 to 3) bits."""
+    if not 0 <= most_bits <= MOST_BITS:
+        raise ValueError(f"{MOST_BITS} differing bits at most leave enough equal bytes")
+    out, level, now = None, masks(), prints.select("print", F.explode(F.array(*map(F.lit, map(_signed, masks())))).alias("mask"))
+    while True:
+        now = now.withColumn("key", F.col("print").bitwiseAND(F.col("mask"))).withColumn("list", F.struct("mask", "key"))
+        level = [(m, more) for m in level if (more := finer(m))]
+        rest = None
+        if level:  # else no list can be long
+            too_long = materialise(now.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long).select("list"), "long-lists")
+            n = too_long.limit(BROADCAST_LISTS + 1).count()
+            if n:
+                too_long = F.broadcast(too_long) if n <= BROADCAST_LISTS else too_long
+                rest, now = now.join(too_long, "list", "left_semi"), now.join(too_long, "list", "left_anti")
+        found = _stars(now, most_bits)
+        out = found if out is None else out.unionByName(found)
+        if rest is None:
+            return out.distinct()
+        deal = F.create_map(*(x for m, more in level for x in (F.lit(_signed(m)), F.array(*map(F.lit, map(_signed, more))))))
+        now = materialise(rest.select("print", F.explode(F.element_at(deal, F.col("mask"))).alias("mask")).distinct(), "long-postings")
+        level = sorted({m for _, more in level for m in more})
 
 
 def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most_bits: int = MOST_BITS) -> DataFrame:
@@ -148,7 +188,8 @@ def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     found = components(materialise(links(classes.select("print"), most_bits), "print-links"))
     named = classes.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(ids, "component").select("print", "component_id")
+    ids = ids.select(F.struct("component").alias("of"), "component_id")  # by a struct: dealt anew, so that the join may split a large component
+    named = named.withColumn("of", F.struct("component")).join(ids, "of").select("print", "component_id")
     return rows.join(named, "print").select("doc_id", "print", "component_id")
 
 
@@ -158,4 +199,4 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     key = free_name(docs, "_key")
     keep = annotate(docs, doc_id, text, width, most_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = keep.select(F.struct(F.col("doc_id").alias("id")).alias(key)).distinct()
-    return docs.withColumn(key, F.struct(F.col(doc_id).alias("id"))).join(keep.hint("shuffle_hash"), key, "left_semi").select(*docs.columns)
+    return docs.withColumn(key, F.struct(F.col(doc_id).alias("id"))).join(keep, key, "left_semi").select(*docs.columns)

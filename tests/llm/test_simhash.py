@@ -78,19 +78,39 @@ def test_links_have_the_components_of_all_pairs(spark):
     assert len({next(iter(x)) for x in named.values()}) == len(named)
 
 
-def test_long_lists_are_searched_not_paired(monkeypatch):
+def test_long_lists_are_dealt_to_more_positions(spark):
+    """Lists of over 3 prints are posted again, down to the last level."""
     rng = random.Random(3)
     base = 0x0123456789ABCDEF & ~0xFFFFFF
-    prints = sorted({base | rng.getrandbits(24) for _ in range(60)} | {base ^ (1 << b) for b in range(24)} | {base})
-    some = np.array(prints, "u8")
-    small = simhash.local_components(some, 0xFFFFFF)
-    monkeypatch.setattr(simhash, "SMALL_LIST", 5)
-    assert (simhash.local_components(some, 0xFFFFFF) == small).all()
-    assert small.tolist() == groups(prints)
+    prints = sorted({base | rng.getrandbits(24) for _ in range(40)} | {base ^ (1 << b) for b in range(24)} | {base} | set(near(rng, 150)))
+    rows = spark.createDataFrame([(signed(p),) for p in prints], "print long")
+    found = {r["node"]: r["component"] for r in components(simhash.links(rows, long=3)).collect()}
+    named = {}
+    for p, g in zip(prints, groups(prints)):
+        named.setdefault(g, set()).add(found.get(signed(p), signed(p)))
+    assert all(len(x) == 1 for x in named.values()) and len({next(iter(x)) for x in named.values()}) == len(named)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 1 << 32), st.integers(3, 200))
+def test_components_within_a_list(seed, n):
+    prints = near(random.Random(seed), n)
+    assert simhash.local_components(np.array(prints, "u8")).tolist() == groups(prints)
 
 
 def test_guaranteed_minimum():
-    assert len(simhash.masks()) == 56 and all((m & (1 << 64) - 1).bit_count() == 40 for m in simhash.masks())
+    """Every pair of at most 3 differing bits meets in a list of each level."""
+    rng = random.Random(1)
+    for _ in range(300):
+        flips = sum(1 << b for b in rng.sample(range(64), 3))
+        first = [m for m in simhash.masks() if not m & flips]
+        assert first
+        for m in first:
+            second = [x for x in simhash.finer(m) if not x & flips]
+            assert second and all(any(not z & flips for z in simhash.finer(x)) for x in second)
+    assert len(simhash.masks()) == 8 and {len(simhash.finer(m)) for m in simhash.masks()} == {10}
+    last = {z for m in simhash.masks() for x in simhash.finer(m) for z in simhash.finer(x)}
+    assert {z.bit_count() for z in last} == {52} and not any(map(simhash.finer, last))
 
 
 def test_odd_rows(odd, none):
