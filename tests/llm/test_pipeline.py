@@ -2,7 +2,7 @@ import __spark_entry__
 import corpus_pipeline
 from quern.llm import quality, secret_scan
 from quern.llm.exact_dedup import normalised  # noqa: F401  the stage's own rule
-from tests.llm import test_exact_dedup, test_packing, test_quality, test_secret_scan, test_simhash
+from tests.llm import test_exact_dedup, test_packing, test_quality, test_secret_scan, test_simhash_long
 
 import zstandard
 
@@ -24,7 +24,7 @@ def by_hand(docs):
     for i in sorted(docs):
         first.setdefault(test_exact_dedup.plain(docs[i]), i)
     ids = sorted(first.values())
-    of = test_simhash.groups([test_simhash.by_hand(docs[i]) for i in ids])
+    of, _ = test_simhash_long.first_of_each([test_simhash_long.shingled(docs[i]) for i in ids])
     return {i: clean(docs[i]) for k, i in enumerate(ids) if of[k] == k}
 
 
