@@ -89,3 +89,38 @@ def test_wrapped_base64_goes():
         blob = base64.encodebytes(random.Random(n).randbytes(n)).decode()
         got = quality.measure(blob, ZSTD)
         assert len(blob) > 4_000 and not got[5] and not got[6], n
+
+
+def limits_by_hand(size):
+    """The least and greatest ratio, linear in log2 of the size between entries."""
+    import math
+
+    if size < quality.BANDS[0][0]:
+        return 0, math.inf
+    for (a, low, high), (b, low_, high_) in zip(quality.BANDS, quality.BANDS[1:]):
+        if size <= b:
+            w = (math.log2(size) - math.log2(a)) / (math.log2(b) - math.log2(a))
+            return low + w * (low_ - low), high + w * (high_ - high)
+    return quality.BANDS[-1][1:]
+
+
+def kept_by_hand(text):
+    """The verdict from the compressed sizes of the text and of its chunks."""
+    raw = (text or "").encode()
+    if by_hand(text)[5]:
+        return False
+    inside = lambda part: limits_by_hand(len(part))[0] - 1e-9 <= len(part) / len(ZSTD.compress(part)) <= limits_by_hand(len(part))[1] + 1e-9
+    chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)] if len(raw) > 4096 else []
+    return inside(raw) and 2 * sum(len(c) for c in chunks if not inside(c)) <= len(raw)
+
+
+def test_bands_decide_over_the_tables(spark):
+    """Besides what the base rules reject, most documents labelled as bad go, and those labelled as good stay."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.op9_quality(spark, folder).collect()}
+    assert {i: r["kept"] for i, r in got.items()} == {i: kept_by_hand(t) for i, t in texts.items()}
+    by = {y: [got[i]["kept"] for i in got if labels.get(i) == y and not got[i]["base_failed"]] for y in (0, 1)}
+    print("kept of bad", sum(by[0]), len(by[0]), "of good", sum(by[1]), len(by[1]))
+    assert sum(by[0]) <= 0.5 * len(by[0]) and sum(by[1]) >= 0.99 * len(by[1])
