@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F
 
+from quern.llm.common import parts
+
 #: Bits of one word of the bitmap; its words have a bitmap of their own.
 FANOUT = 256
 
@@ -226,7 +228,7 @@ class Chunks:
 
 
 @functools.lru_cache(maxsize=2)
-def _loaded(path: str, pattern: str) -> Bpe:
+def loaded(path: str, pattern: str) -> Bpe:
     """One for each Python worker."""
     return Bpe.from_file(path, pattern)
 
@@ -237,9 +239,9 @@ def encode(text: Column, path: str, pattern: str = public_tokenizers.PATTERN) ->
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = _loaded(path, pattern)
+        bpe = loaded(path, pattern)
         for texts in batches:
-            ids = bpe.encode_batch([t or "" for t in texts.to_pylist()])
+            ids = [x for part in parts(texts) for x in bpe.encode_batch([t or "" for t in part.to_pylist()])]
             ends = np.cumsum([0] + [len(x) // 4 for x in ids], dtype="i4")
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
@@ -251,7 +253,7 @@ def decode(ids: Column, path: str, pattern: str = public_tokenizers.PATTERN) ->
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = _loaded(path, pattern)
+        bpe = loaded(path, pattern)
         for lists in batches:
             lists = lists.fill_null([]) if lists.null_count else lists
             at = lists.offsets.to_numpy()

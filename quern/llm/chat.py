@@ -1,10 +1,11 @@
 """Chat formatting into budgeted windows.
 
-A conversation's rows, ordered by turn, are dealt into blocks of BLOCK consecutive turn numbers, so that
+A conversation's rows, numbered in the order of their turns, are dealt into blocks of BLOCK rows, so that
 no task holds an unbounded conversation. Within a block, prefix sums of the turns' tokens choose the
 longest run of whole turns that fits the budget. Each window after the first repeats the conversation's
 system turn and as many of the turns before it as the history budget holds, those of the block before
-included; of what is repeated, nothing is under the loss mask.
+included; of what is repeated, nothing is under the loss mask. A turn's tokens are those of its rendered
+form; as turns begin with < and end with one line feed, the sums are the windows' token counts.
 
 The template is <|im_start|>role, a line feed, the text, <|im_end|> and a line feed. Within texts, a
 control string's first < gets a backslash after it, and a run of backslashes there gets one more, which
@@ -19,15 +20,14 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.llm import bpe
-from quern.llm.common import small_batches
+from quern.llm.common import materialise, parts
 
 BLOCK, BUDGET, HISTORY = 1024, 1024, 256
-#: Tokens that the template adds to a turn.
-FRAME = 5
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 WINDOWS = "conv_id {kind}, block long, window int, formatted string, loss array<struct<start: int, end: int>>, context_turns int, turns int, tokens long, over_budget boolean"
@@ -55,11 +55,29 @@ def read(formatted: str) -> list[tuple[str, str]]:
     return [(unescape_role(role), unescape(text)) for role, text in turns]
 
 
+def turn_of(role: str, text: str) -> tuple[str, str]:
+    """A turn's rendered form: what stands before its escaped text, and from there on."""
+    return f"{OPEN}{escape_role(role)}\n", escape(text)
+
+
+def turn_tokens(role: Column, text: Column, ranks: str) -> Column:
+    """int: the tokens of a rendered turn."""
+
+    @F.arrow_udf("int")
+    def run(roles: pa.Array, texts: pa.Array) -> pa.Array:
+        encoder, out = bpe.loaded(ranks, public_tokenizers.PATTERN), []
+        for some, of in zip(parts(roles), parts(texts)):
+            out += [len(ids) // 4 for ids in encoder.encode_batch(["".join((*turn_of(r, t), CLOSE)) for r, t in zip(some.to_pylist(), of.to_pylist())])]
+        return pa.array(out, pa.int32())
+
+    return run(role, text)
+
+
 def render(context: list[tuple[str, str]], turns: list[tuple[str, str]]) -> tuple[str, list[dict]]:
     """The formatted window and its loss spans: the texts of the assistant's turns that aren't context."""
     out, loss, at = [], [], 0
     for i, (role, text) in enumerate([*context, *turns]):
-        head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
+        head, body = turn_of(role, text)
         if role == "assistant" and i >= len(context):
             loss.append({"start": at + len(head), "end": at + len(head) + len(body)})
         out += head, body, CLOSE
@@ -79,62 +97,66 @@ def spans(tokens: np.ndarray, room: int, first_room: int) -> list[tuple[int, int
     return out
 
 
-def _place(row: dict) -> tuple:
-    return row["turn"], row["role"], row["text"]
-
-
 def _windows(rows: list[dict], budget: int, history: int) -> Iterator[dict]:
     """Of one block: its system row, the history that the block before hands on, then its turns."""
-    system = [r for r in rows if r["part"] == 0][:1]
+    system = [r for r in rows if r["part"] == 0]
     past, own = ([r for r in rows if r["part"] == p] for p in (1, 2))
     system_tokens = sum(r["tokens"] for r in system)
     room = max(1, budget - history - system_tokens)
     turns = [*past, *own]
     tokens = np.array([r["tokens"] for r in turns], "i8")
     sums = np.r_[0, np.cumsum(tokens)]
-    opening = not past and rows[0]["opening"]
-    for k, (a, b) in enumerate(spans(tokens[len(past) :], room, budget if opening else room)):
+    for k, (a, b) in enumerate(spans(tokens[len(past) :], room, room if rows[0]["block"] else budget)):
         a, b = a + len(past), b + len(past)
         since = int(np.searchsorted(sums, sums[a] - history, "left"))
         repeated = turns[since:a]
-        held = any(r["is_system"] for r in turns[since:b])
-        lead = [r for r in system if not held and _place(r) < _place(turns[a])]
+        lead = [r for r in system if r["place"] < turns[since]["place"]]
         context = [(r["role"], r["text"]) for r in [*lead, *repeated]]
         formatted, loss = render(context, [(r["role"], r["text"]) for r in turns[a:b]])
         total = int(sums[b] - sums[since]) + system_tokens * len(lead)
         yield {"conv_id": rows[0]["conv_id"], "block": rows[0]["block"], "window": k, "formatted": formatted, "loss": loss, "context_turns": len(context), "turns": b - a, "tokens": total, "over_budget": total > budget}
 
 
+def numbered(rows: DataFrame, ranks: str) -> DataFrame:
+    """rows (conv_id, turn, role, text): written with tokens and place, the number of a row in its
+    conversation from 0, in the order of turn, role and text. Rows are sorted over all partitions; a row's
+    place is its place in the partition and what partitions before have of the conversation, so that one
+    conversation may be spread over many tasks. Rows that tie on turn and role share a task, which sorts them."""
+    order = ["turn", "role", "text"]
+    turns = rows.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")))
+    sorted_ = turns.repartitionByRange("conv_id", "turn", "role").sortWithinPartitions("conv_id", *order)
+    at = sorted_.withColumn("at", F.monotonically_increasing_id())
+    at = materialise(at.withColumn("tokens", turn_tokens(F.col("role"), F.col("text"), ranks).cast("long")), "turns")
+    own = F.struct("conv_id", F.shiftright("at", 33).alias("partition")).alias("own")  # a struct joins null to null
+    counts = at.groupBy(own).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("own.conv_id").orderBy("own.partition")) - F.col("n")
+    starts = counts.select("own", (before - F.col("first")).alias("shift"))
+    return at.withColumn("own", own).join(starts, "own").select("conv_id", (F.col("at") + F.col("shift")).alias("place"), "role", "text", "tokens")
+
+
 def windows(rows: DataFrame, ranks: str, budget: int = BUDGET, history: int = HISTORY, block: int = BLOCK) -> DataFrame:
     """rows (conv_id, turn, role, text): -> WINDOWS, which by (conv_id, block, window) hold every turn
     once besides what they repeat. Turns are ordered by turn, then role and text: rows that tie on all
-    are alike. Null roles and texts are empty; a null conv_id is a conversation and a null turn comes
-    first. A block grows beyond its bound only where rows share turn numbers. ranks: a file of bpe.py,
-    for counting tokens. Other columns aren't read."""
-    small_batches(rows.sparkSession)
+    are alike, and repeated rows are turns of their own. Null roles and texts are empty; a null conv_id is
+    a conversation and a null turn comes first. A turn over the budget, however long, is a window by
+    itself, marked as such. ranks: a file of bpe.py, for counting tokens. Other columns aren't read,
+    whatever their names; an empty table has no windows."""
     kind = rows.schema["conv_id"].dataType.simpleString()
-    turns = rows.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")))
-    turns = turns.withColumn("block", F.floor(F.col("turn") / block)).withColumn("tokens", F.size(bpe.encode(F.col("text"), ranks)) + FRAME)
-    order = ["turn", "role", "text"]
-    conv = F.struct("conv_id").alias("conv")  # a struct joins null to null
-    system = turns.where("role = 'system'").groupBy("conv_id").agg(F.min(F.struct(*order, "tokens")).alias("system"))
-    blocks = turns.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("next", F.lead("block").over(Window.partitionBy("conv_id").orderBy("block")))
-    blocks = blocks.withColumn("opening", F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) == 1)
-    blocks = blocks.withColumn("conv", conv).join(system.select(conv, "system"), "conv", "left").drop("conv")
-    where = F.struct("conv_id", "block").alias("where")
-    local = Window.partitionBy("conv_id", "block").orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
-    marked = turns.withColumn("to_end", F.sum("tokens").over(local)).withColumn("where", where)
-    marked = marked.join(blocks.select(where, "next", "opening", "system"), "where").drop("where")
-    first = F.col("system")
-    is_system = F.coalesce((F.struct(*order) == F.struct(*(first[c] for c in order))), F.lit(False))
-    fields = lambda block, part, opening: ["conv_id", F.col(block).alias("block"), F.lit(part).alias("part"), *order, F.col("tokens").cast("long").alias("tokens"), is_system.alias("is_system"), opening.alias("opening")]
-    own = marked.select(*fields("block", 2, F.col("opening")))
-    past = marked.where((F.col("to_end") <= history) & F.col("next").isNotNull()).select(*fields("next", 1, F.lit(False)))
-    lead = blocks.where("system is not null").select("conv_id", "block", F.lit(0).alias("part"), *(first[c].alias(c) for c in order), first["tokens"].cast("long").alias("tokens"), F.lit(True).alias("is_system"), "opening")
-    sorted_ = own.unionByName(past).unionByName(lead).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", *order)
+    turns = materialise(numbered(rows, ranks).withColumn("block", F.floor(F.col("place") / block)), "placed")
+    conv = F.struct("conv_id").alias("conv")
+    convs = turns.groupBy(conv).agg(F.max("block").alias("last"), F.min(F.when(F.col("role") == "system", F.col("place"))).alias("system"))
+    local = Window.partitionBy("conv_id", "block").orderBy(F.desc("place"))
+    marked = turns.withColumn("to_end", F.sum("tokens").over(local)).withColumn("conv", conv).join(convs, "conv")
+    goes_on = (F.col("to_end") <= history) & (F.col("block") < F.col("last"))
+    to = lambda of, part: F.struct(of.cast("long").alias("block"), F.lit(part).alias("part"))
+    first = F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda i: to(i, 0))
+    where = F.concat(F.array(to(F.col("block"), 2)), F.when(goes_on, F.array(to(F.col("block") + 1, 1))).otherwise(F.array()), F.when(F.col("place") == F.col("system"), first).otherwise(F.array()))
+    fields = ["place", "role", "text", "tokens"]
+    dealt = marked.select("conv_id", F.explode(where).alias("to"), *fields).select("conv_id", "to.block", "to.part", *fields)
+    sorted_ = dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_ = (r for batch in batches for r in batch.to_pylist())
+        rows_ = (r for batch in batches for part in parts(batch) for r in part.to_pylist())
         ready: list[dict] = []
         for _, group in groupby(rows_, key=lambda r: (r["conv_id"], r["block"])):
             for w in _windows(list(group), budget, history):
@@ -174,7 +196,8 @@ def digests(formatted: DataFrame) -> DataFrame:
             nonlocal schema
             for batch in batches:
                 schema = schema or _digest_schema(batch.schema.field("conv_id").type)
-                yield from batch.to_pylist()
+                for part in parts(batch):
+                    yield from part.to_pylist()
 
         for conv, group in groupby(rows(), key=lambda r: r["conv_id"]):
             turns, loss, n, chars, size, count = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0

@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch. A batch of very long texts must fit in a Python worker.
-ROWS_PER_BATCH = 256
+#: Rows that are taken from an Arrow batch at a time. The batch itself is bounded by Spark, in bytes too.
+ROWS_AT_ONCE = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,11 +48,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession, path: str) -> None:
-    """Drop a table of new_path() before the process ends."""
-    _delete(spark, path)
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back. It cuts the lineage: a lost executor costs no
     more than the tasks that it ran."""
@@ -60,16 +56,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for texts of any length."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+def parts(batch, rows: int = ROWS_AT_ONCE) -> Iterator:
+    """An Arrow array or batch, a few rows at a time, so that what is made of them stays small."""
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+def each(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of an array, a few of them as Python objects at a time."""
+    for part in parts(texts):
+        yield from part.to_pylist()
 
 
 def free_name(df: DataFrame, base: str) -> str:

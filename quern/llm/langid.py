@@ -14,14 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.common import small_batches
+from quern.llm.common import each
 
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (2, 3, 4)
-#: Training takes at most so many labelled rows of a language, of at most so many characters each, and
-#: of at most so many languages, the most frequent ones.
-ROWS_EACH, MOST_CHARS, MOST_LANGUAGES = 800, 20_000, 200
+#: Training takes at most so many labelled rows of a language and so many of all languages (but one of
+#: each at least), and of a longer text so many characters, in PARTS parts from all over it.
+ROWS_EACH, ROWS_OF_ALL, MOST_CHARS, PARTS = 800, 40_000, 20_000, 10
 #: At least so many passes over the sample, and so many steps.
 EPOCHS, STEPS, RATE, CALIBRATION_SHARE, REJECTED_SHARE = 4, 8_000, 0.5, 0.25, 0.01
 UNDETERMINED = "und"
@@ -32,14 +32,14 @@ EDGES = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def subwords(text: str) -> Iterator[np.ndarray]:
-    """The buckets of a text's subwords, repeats included, in blocks."""
+    """The buckets of a text's subwords, repeats included, in blocks of places where they begin."""
     data = b" " + b" ".join(text.lower().encode().translate(EDGES).split()) + b" "
     for at in range(0, len(data), AT_ONCE):
         raw = np.frombuffer(data[at : at + AT_ONCE + max(GRAMS) - 1], "u1").astype("u4")
         inner = raw == 32
         out = []
         for n in GRAMS:
-            size = len(raw) - n + 1
+            size = min(AT_ONCE, len(raw) - n + 1)
             if size < 1:
                 continue
             code = np.full(size, n, "u4")
@@ -136,16 +136,36 @@ def _calibrate(model: Model, bags: list[tuple]) -> None:
     model.least = float(np.quantile(p[rows, truth][right], REJECTED_SHARE)) if right.any() else 0.0
 
 
+def sampled(text: Column, most: int = MOST_CHARS, parts: int = PARTS) -> Column:
+    """The text, or parts from all over it if it has more than `most` characters."""
+    n, each = F.length(text), most // parts
+    pieces = [text.substr((F.floor((n - each) * i / (parts - 1)) + 1).cast("int"), F.lit(each)) for i in range(parts)]
+    return F.when(n <= most, text).otherwise(F.concat_ws(" ", *pieces))
+
+
 def training_rows(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> list[tuple[str, str]]:
-    """The bounded sample: of each language, the rows with the smallest hashes of their ids among those
-    where learn holds."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) <= MOST_CHARS))
-    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("at"), F.col(text).alias("text"))
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    chosen = rows.select("lang", "at", F.xxhash64("text").alias("own")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "own"))).where(F.col("n") <= ROWS_EACH)
-    level = chosen.groupBy("lang").agg(F.max("at").alias("level")).join(F.broadcast(frequent), "lang", "left_semi")
-    found = rows.join(F.broadcast(level), "lang").where(F.col("at") <= F.col("level")).select("lang", "text").limit(2 * ROWS_EACH * MOST_LANGUAGES).collect()
-    return sorted((r["lang"], r["text"]) for r in found)
+    """The bounded sample: of each language, the different rows (by id and text) with the smallest hashes
+    among those where learn holds. The hashes that can be among them are chosen by the number of different
+    rows, which is estimated over the whole table by partial aggregates, so that no task gets the rows
+    of a language."""
+    spark = docs.sparkSession
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), text).alias("at"), sampled(F.col(text)).alias("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).collect()  # a row for each class
+    if not sizes:
+        return []
+    each = max(1, min(ROWS_EACH, ROWS_OF_ALL // len(sizes)))
+
+    def level(share: float) -> int:  # of the range of hashes
+        return int((min(share, 1.0) - 0.5) * 2.0**64) if share < 1 else (1 << 63) - 1
+
+    wide = spark.createDataFrame([(r["lang"], level(2 * (each + 8) / r["n"])) for r in sizes], "lang string, level long")
+    hashes = rows.select("lang", "at").join(F.broadcast(wide), "lang").where("at <= level").select("lang", "at").distinct().collect()  # about twice the sample
+    by: dict[str, list[int]] = {}
+    for r in sorted(hashes):
+        by.setdefault(r["lang"], []).append(r["at"])
+    narrow = spark.createDataFrame([(k, v[:each][-1]) for k, v in by.items()], "lang string, level long")
+    found = rows.join(F.broadcast(narrow), "lang").where("at <= level").dropDuplicates(["lang", "at"])
+    return sorted((r["lang"], r["text"]) for r in found.select("lang", "text").collect())
 
 
 def predict(text: Column, model: Model) -> Column:
@@ -154,15 +174,17 @@ def predict(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("struct<lang: string, score: double, rejected: boolean>")
     def run(texts: pa.Array) -> pa.Array:
-        rows = [model.predict(t) for t in texts.to_pylist()]
+        rows = [model.predict(t) for t in each(texts)]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))], ["lang", "score", "rejected"])
 
     return run(text)
 
 
 def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> tuple[Column, Model]:
-    """The column of predict() after training on the rows of docs where learn holds and lang isn't null;
-    the model goes along with it. Without such rows all is undetermined."""
-    small_batches(docs.sparkSession)
+    """The column of predict() after training on the rows of docs where learn holds and lang and text aren't
+    null; the model goes along with it. Without such rows, as in an empty table, all is undetermined. Of
+    rows that repeat id and text one is learned from; equal hashes stand together, so that ties don't
+    depend on the layout; of very long texts sampled() parts are learned from, whole texts are judged.
+    Other columns aren't read, whatever their names."""
     model = train(training_rows(docs, learn, text, lang, doc_id))
     return predict(F.col(text), model), model

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.bpe import Chunks
+from quern.llm.common import parts
 
 #: Share of the capacity's k-th part that a piece of class k may leave empty.
 SLACK = 0.02
@@ -129,7 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 1
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-        for docs_ in batches:
+        for docs_ in (part for batch in batches for part in parts(batch)):
             schema = schema or pa.schema([pa.field("doc_id", docs_.schema.field(0).type), *((n, pa.int64()) for n in ("start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
             for key, tokens in zip(docs_.column(0).to_pylist(), ids([t or "" for t in docs_.column(1).to_pylist()])):
                 for piece in packer.add(key, tokens):

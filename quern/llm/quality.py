@@ -16,6 +16,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, functions as F
 
+from quern.llm.common import each
+
 LEVEL, CHUNK = 3, 4096
 #: (bytes, least ratio, greatest ratio): the limits of a text of that size, linear in the logarithm of the
 #: size between two entries. Texts under the first size aren't judged; beyond the last its limits hold.
@@ -89,7 +91,7 @@ def verdict(text: Column, bands=BANDS) -> Column:
     @F.arrow_udf(VERDICT)
     def run(texts: pa.Array) -> pa.Array:
         zstd = zstandard.ZstdCompressor(level=LEVEL)
-        rows = [measure(t or "", zstd, bands) for t in texts.to_pylist()]
+        rows = [measure(t or "", zstd, bands) for t in each(texts)]
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int64()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.llm import bpe, chat, exact_dedup, langid, packing, quality, secret_scan, sharding, simhash, toxicity
-from quern.llm.common import new_path, small_batches
+from quern.llm.common import new_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,7 +41,6 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     found = simhash.annotate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -52,14 +51,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), RANKS).alias("ids"))
     both = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), RANKS).alias("decoded"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return pieces(table(spark, sf_dir, "documents"))
 
 
@@ -76,7 +73,6 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     rows = table(spark, sf_dir, "documents").select("doc_id", quality.verdict(F.col("text")).alias("v"))
     return rows.select("doc_id", "v.*")
 

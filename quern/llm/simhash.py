@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.common import free_name, materialise
+from quern.llm.common import each, free_name, materialise
 from quern.llm.components import components
 
 SEED, BYTES, MOST_BITS = 42, 8, 3
@@ -57,7 +57,7 @@ def fingerprint(text: Column, width: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_of(t, width) for t in texts.to_pylist()], pa.int64())
+        return pa.array([fingerprint_of(t, width) for t in each(texts)], pa.int64())
 
     return run(text)
 

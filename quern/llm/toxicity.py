@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.common import WordCache, small_batches
+from quern.llm.common import WordCache, each
 
 BUCKETS, STARTS = 1 << 31, (4, 5)
 #: The bounds of the training sample: rows of label 1, of label 0, without a label; characters of each.
@@ -201,7 +201,7 @@ def score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
+        return pa.array([model.score(t) for t in each(texts)], pa.float64())
 
     return run(text)
 
@@ -209,6 +209,5 @@ def score(text: Column, model: Model) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Model:
     """learn: a condition on doc_id, for docs and labels alike. Without labelled rows, the lexicons alone
     are learned."""
-    small_batches(docs.sparkSession)
     rows, prior = training_rows(docs, labels, learn, text, doc_id, label)
     return train(rows if any(y is not None for _, y in rows) else [], prior)

@@ -1,7 +1,11 @@
+import base64
 import hashlib
 
 import numpy as np
+import public_tokenizers
+import tiktoken
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import chat, queries
 
@@ -56,12 +60,15 @@ ROWS = (
 
 def test_windows_hold_each_turn_once(spark):
     rows = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.RANKS, "rb"))}
+    encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for block in (1024, 16):
         made = chat.windows(rows, queries.RANKS, budget=200, history=60, block=block)
         assert read(chat.digests(made)) == by_hand(ROWS)
         for w in made.collect():
             assert w["over_budget"] == (w["tokens"] > 200)
             assert not w["over_budget"] or w["turns"] == 1
+            assert w["tokens"] == len(encoder.encode_ordinary(w["formatted"]))
             turns = chat.read(w["formatted"])
             assert len(turns) == w["context_turns"] + w["turns"]
             if w["conv_id"] == 1:
@@ -70,6 +77,22 @@ def test_windows_hold_each_turn_once(spark):
                 assert (w["block"], w["window"]) == (0, 0) or w["context_turns"] > 1  # history is repeated
 
 
+def test_blocks_are_of_rows_whatever_the_turn_numbers(spark):
+    """Times as turns; a conversation of one turn number; clashing columns; a very long text."""
+    rows = [(1, 1_700_000_000_000 + 977 * i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(90)]
+    rows += [(2, 5, "user", f"{i:04d}") for i in range(200)] + [(3, 1, "assistant", "word " * 300_000), (3, 2, "user", "then")]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    docs = docs.withColumns({c: F.lit("own") for c in ("block", "place", "tokens", "part", "window", "conv", "own", "at", "to")})
+    made = chat.windows(docs, queries.RANKS, budget=100, history=30, block=16)
+    assert read(chat.digests(made)) == by_hand(rows)
+    blocks = {}
+    for w in made.collect():
+        blocks.setdefault((w["conv_id"], w["block"]), []).append(w["turns"])
+        assert w["conv_id"] != 1 or (w["block"], w["window"]) == (0, 0) or w["context_turns"]  # history is handed on
+    assert {k: sum(v) for k, v in blocks.items() if k[0] == 1} == {(1, b): min(16, 90 - 16 * b) for b in range(6)}
+    assert max(sum(v) for v in blocks.values()) == 16
+
+
 def test_a_late_system_turn_does_not_come_early(spark):
     rows = spark.createDataFrame([r for r in ROWS if r[0] == 4], "conv_id long, turn long, role string, text string")
     first = chat.windows(rows, queries.RANKS, budget=20, history=7).orderBy("block", "window").first()

@@ -1,6 +1,8 @@
 import random
+import zlib
 
 import numpy as np
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quern.llm import langid, queries, toxicity
@@ -46,7 +48,65 @@ def test_subwords_of_blocks_are_those_of_the_whole(monkeypatch):
     whole = np.sort(np.concatenate(list(langid.subwords(text))))
     monkeypatch.setattr(langid, "AT_ONCE", 64)
     parts = np.sort(np.concatenate(list(langid.subwords(text))))
-    assert set(whole) <= set(parts) and len(parts) >= len(whole)
+    assert (whole == parts).all()
+
+
+def subwords_by_hand(text):
+    """Within words and their edges: byte n-grams of 2 to 4."""
+    plain = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower())
+    out = []
+    for n in (2, 3, 4):
+        data = (" " + " ".join(plain.split(" ")) + " ").encode()
+        data = b" " + b" ".join(data.split()) + b" "
+        for i in range(len(data) - n + 1):
+            gram = data[i : i + n]
+            if 32 in gram[1:-1]:
+                continue
+            code = n
+            for c in gram:
+                code = (code * 0x01000193 ^ c) % (1 << 32)
+            out.append((code * 0x9E3779B1) % (1 << 32) >> 16)
+    return sorted(out)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abc éß,.1\n\tЖ日"))
+def test_subwords_by_hand(text):
+    assert np.sort(np.concatenate(list(langid.subwords(text)))).tolist() == subwords_by_hand(text)
+
+
+def test_langid_prediction_by_hand():
+    """The mean of the subwords' embeddings through the softmax, with its temperature."""
+    model = langid.train([(lang, text) for _, text, lang in corpus(120)])
+    for _, text, _ in corpus(20):
+        z = (np.mean([model.table[i] for i in subwords_by_hand(text)], 0, dtype="f8") + model.bias) / model.temperature
+        p = np.exp(z) / np.exp(z).sum()
+        lang, score, rejected = model.predict(text)
+        assert lang == model.languages[int(p.argmax())] and abs(score - p.max()) < 1e-6 and rejected == (score < model.least)
+
+
+def test_langid_sample(spark, monkeypatch):
+    """Repeated and null ids, one text that most rows have, very long texts, more languages than rows are wanted of."""
+    rows = [(i, f"text {i}", "aa") for i in range(300)] + [(None, "same", "bb")] * 500 + [(7, "other", "bb"), (7, None, "bb")] + [(1000 + i, "word " * 9_000 + str(i), "cc") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_rows(docs, F.lit(True))
+    assert len(got) == 305 and [t for lang, t in got if lang == "bb"] == ["other", "same"]
+    assert all(len(t) <= langid.MOST_CHARS + langid.PARTS for lang, t in got if lang == "cc") and sum(lang == "cc" for lang, _ in got) == 3
+    monkeypatch.setattr(langid, "ROWS_EACH", 40)
+    some = langid.training_rows(docs.repartition(7), F.lit(True))
+    assert sum(lang == "aa" for lang, _ in some) == 40 and some == langid.training_rows(docs, F.lit(True))
+    monkeypatch.setattr(langid, "ROWS_OF_ALL", 3)
+    assert sorted(lang for lang, _ in langid.training_rows(docs, F.lit(True))) == ["aa", "bb", "cc"]
+
+
+def test_langid_on_odd_rows(spark, odd, none):
+    """Fitting on nulls, empty and very long texts, clashing names; on nothing."""
+    docs = odd.withColumn("lang", F.when(F.col("doc_id") == 10, "jp").when(F.col("doc_id").isNotNull(), "xx"))
+    told, model = langid.identify(docs, F.lit(True))
+    assert model.languages == ["jp", "xx"]
+    assert docs.select(told.alias("p")).count() == len(ROWS)
+    told, model = langid.identify(none.withColumn("lang", F.lit("xx")), F.lit(True))
+    assert model.languages == []
 
 
 def test_langid_query(spark, small):
@@ -54,6 +114,7 @@ def test_langid_query(spark, small):
     got = queries.op8_langid(spark, small).collect()
     assert len(got) == len(docs)
     held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
     right = [docs[r["doc_id"]]["lang"] == r["lang_pred"] for r in held]
     assert sum(right) >= 0.9 * len(right)
 
