@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows that are taken from an Arrow batch at a time. The batch itself is bounded by Spark, in bytes too.
 ROWS_AT_ONCE = 256
@@ -76,6 +76,18 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def sampled(text: Column, most: int, pieces: int = 10) -> Column:
+    """The text, or pieces from all over it if it has more than `most` characters."""
+    n, size = F.length(text), most // pieces
+    some = [text.substr((F.floor((n - size) * i / (pieces - 1)) + 1).cast("int"), F.lit(size)) for i in range(pieces)]
+    return F.when(n <= most, text).otherwise(F.concat_ws(" ", *some))
+
+
+def hash_level(share: float) -> int:
+    """What about so large a share of signed 64-bit hashes don't exceed."""
+    return int((share - 0.5) * 2.0**64) if share < 1 else (1 << 63) - 1
+
+
 class WordCache(dict):
     """Values by short key in two generations: entries not asked for since the last turnover go.
     It holds at most twice `most` keys of at most `longest` characters, whatever the corpus has."""

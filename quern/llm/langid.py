@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.common import each
+from quern.llm.common import each, hash_level, sampled
 
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (2, 3, 4)
 #: Training takes at most so many labelled rows of a language and so many of all languages (but one of
-#: each at least), and of a longer text so many characters, in PARTS parts from all over it.
-ROWS_EACH, ROWS_OF_ALL, MOST_CHARS, PARTS = 800, 40_000, 20_000, 10
+#: each at least), and of a longer text so many characters, in parts from all over it.
+ROWS_EACH, ROWS_OF_ALL, MOST_CHARS = 800, 40_000, 20_000
 #: At least so many passes over the sample, and so many steps.
 EPOCHS, STEPS, RATE, CALIBRATION_SHARE, REJECTED_SHARE = 4, 8_000, 0.5, 0.25, 0.01
 UNDETERMINED = "und"
@@ -136,34 +136,24 @@ def _calibrate(model: Model, bags: list[tuple]) -> None:
     model.least = float(np.quantile(p[rows, truth][right], REJECTED_SHARE)) if right.any() else 0.0
 
 
-def sampled(text: Column, most: int = MOST_CHARS, parts: int = PARTS) -> Column:
-    """The text, or parts from all over it if it has more than `most` characters."""
-    n, each = F.length(text), most // parts
-    pieces = [text.substr((F.floor((n - each) * i / (parts - 1)) + 1).cast("int"), F.lit(each)) for i in range(parts)]
-    return F.when(n <= most, text).otherwise(F.concat_ws(" ", *pieces))
-
-
 def training_rows(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> list[tuple[str, str]]:
     """The bounded sample: of each language, the different rows (by id and text) with the smallest hashes
     among those where learn holds. The hashes that can be among them are chosen by the number of different
     rows, which is estimated over the whole table by partial aggregates, so that no task gets the rows
     of a language."""
     spark = docs.sparkSession
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), text).alias("at"), sampled(F.col(text)).alias("text"))
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), text).alias("at"), sampled(F.col(text), MOST_CHARS).alias("text"))
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).collect()  # a row for each class
     if not sizes:
         return []
-    each = max(1, min(ROWS_EACH, ROWS_OF_ALL // len(sizes)))
-
-    def level(share: float) -> int:  # of the range of hashes
-        return int((min(share, 1.0) - 0.5) * 2.0**64) if share < 1 else (1 << 63) - 1
+    each_ = max(1, min(ROWS_EACH, ROWS_OF_ALL // len(sizes)))
 
-    wide = spark.createDataFrame([(r["lang"], level(2 * (each + 8) / r["n"])) for r in sizes], "lang string, level long")
+    wide = spark.createDataFrame([(r["lang"], hash_level(2 * (each_ + 8) / r["n"])) for r in sizes], "lang string, level long")
     hashes = rows.select("lang", "at").join(F.broadcast(wide), "lang").where("at <= level").select("lang", "at").distinct().collect()  # about twice the sample
     by: dict[str, list[int]] = {}
     for r in sorted(hashes):
         by.setdefault(r["lang"], []).append(r["at"])
-    narrow = spark.createDataFrame([(k, v[:each][-1]) for k, v in by.items()], "lang string, level long")
+    narrow = spark.createDataFrame([(k, v[:each_][-1]) for k, v in by.items()], "lang string, level long")
     found = rows.join(F.broadcast(narrow), "lang").where("at <= level").dropDuplicates(["lang", "at"])
     return sorted((r["lang"], r["text"]) for r in found.select("lang", "text").collect())
 

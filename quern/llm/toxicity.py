@@ -1,11 +1,18 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: fixed lexicons, patterns, and lexicon entries mined from a bounded sample of
-labelled rows (whole words and word beginnings). A generative label model with a rate of firing for
-each voter and class is fitted by expectation maximisation; correlations between voters, given the
-class, are estimated from what the model leaves over, and a voter counts the less the more others repeat
-it. Labels are one more voter of a given accuracy. A linear classifier over hashed words and word
-beginnings is trained on the posterior labels, so that it also scores texts on which no voter fires.
+Many voters look at a text: fixed lexicons (one for each language and kind of insult), patterns, and
+lexicon entries mined from a bounded sample of labelled rows (whole words and word beginnings). Mined
+entries vote only on rows of a part of the sample, and come from the labels of all other parts. The given
+label of a row is one more voter, which may err.
+
+A generative label model is fitted by expectation maximisation: for each voter and class its rate of
+firing, for the labels their accuracy in each class, and the share of the classes. A voter that doesn't
+fire abstains, as a text of one language or kind of insult can't fire those of others; that all are silent
+is a vote of its own, with its rate in each class. Correlations between
+voters, given the class, are estimated from what the model leaves over, and a voter counts the less the
+more others repeat it. So voters that agree can overrule a label, and decide where there is none. A linear
+classifier over hashed words and word beginnings is trained on the posterior labels, so that it also
+scores texts on which no voter fires.
 """
 
 from __future__ import annotations
@@ -19,27 +26,44 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quern.llm.common import WordCache, each
+from quern.llm.common import WordCache, each, hash_level, sampled
 
 BUCKETS, STARTS = 1 << 31, (4, 5)
 #: The bounds of the training sample: rows of label 1, of label 0, without a label; characters of each.
 TOXIC_ROWS, CLEAN_ROWS, OPEN_ROWS, MOST_CHARS = 1500, 3000, 1000, 20_000
 MINED, LEAST_RATIO = 200, 15.0
-LABEL_ACCURACY, ROUNDS, CORRELATED = 0.999, 15, 0.3
+#: Expectation maximisation: log odds up to which all voters together count as silent, rounds, the correlation from which voters repeat each other, what a label's
+#: accuracy starts from and how many rows that start counts; parts of the sample for mining.
+QUIET, ROUNDS, CORRELATED, FIRST_ACCURACY, FIRST_ROWS, FOLDS = 1.0, 25, 0.3, 0.75, 10, 4
 EPOCHS, RATE, DECAY, CALIBRATION_SHARE = 12, 0.5, 1e-4, 0.25
 
-#: Common insults by language, one voter for each language.
+#: Common insults by language and kind, one voter for each.
 LEXICONS = {
-    "en": "idiot idiots moron morons stupid dumb loser losers pathetic worthless disgusting trash scum clown jerk fool filth imbecile".split(),
-    "de": "idiot idioten dumm dummkopf blöd versager wertlos ekelhaft abschaum trottel arschloch depp widerlich".split(),
-    "fr": "idiot idiote imbécile stupide crétin nul minable dégoûtant ordure salaud connard débile abruti".split(),
-    "es": "idiota imbécil estúpido estúpida inútil asqueroso basura tonto patético escoria cabrón payaso".split(),
+    "en wit": "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass fool fools imbecile brainless dimwit halfwit",
+    "en worth": "worthless pathetic loser losers useless failure nobody coward lowlife",
+    "en filth": "trash scum filth filthy garbage vermin disgusting vile sickening repulsive",
+    "en name": "clown clowns jerk jerks creep freak bastard bitch pig swine rat",
+    "de wit": "idiot idioten dumm dummkopf blöd blödmann trottel depp schwachkopf hirnlos",
+    "de worth": "versager wertlos nutzlos jämmerlich erbärmlich feigling nichtsnutz",
+    "de filth": "abschaum ekelhaft widerlich dreck müll ungeziefer",
+    "de name": "arschloch mistkerl schwein clown hurensohn",
+    "fr wit": "idiot idiote imbécile stupide crétin débile abruti bête",
+    "fr worth": "nul nulle minable inutile pathétique raté lâche",
+    "fr filth": "ordure dégoûtant répugnant déchet vermine racaille",
+    "fr name": "salaud salope connard clown porc bouffon",
+    "es wit": "idiota imbécil estúpido estúpida tonto tonta bobo",
+    "es worth": "inútil patético patética perdedor cobarde fracasado",
+    "es filth": "basura escoria asqueroso asquerosa repugnante alimaña",
+    "es name": "cabrón payaso cerdo bastardo",
 }
+LEXICONS = {kind: x.split() for kind, x in LEXICONS.items()}
 #: Patterns, one voter for each.
 PATTERNS = {
     "addressed": r"(?i)\b(you|your|du|ihr|tu|vous|tú)\W+(are|re|bist|seid|es|êtes|eres)\W+(such\W+)?(an?|ein|une?|una?)\b",
     "wish": r"(?i)\b(shut up|get lost|go away|drop dead|hate you|halt die klappe|ta gueule|cállate)\b",
     "masked": r"\b\w\*{2,}\w*",
+    "wished ill": r"(?i)\b(i hope you|you should|you deserve to|nobody (likes|wants)) (die|rot|suffer|fail|you)\b",
+    "all of them": r"(?i)\b(they|you|those people|these people) (all )?(are|re) (all )?(animals|vermin|parasites|criminals|subhuman)\b",
     "shouted": r"\b[A-Z]{3,}(\W+[A-Z]{3,}){4,}\s*!",
     "exclaimed": r"!{3,}",
 }
@@ -108,28 +132,59 @@ def mine(ids: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return found[np.lexsort((found, -ratio))][:MINED]
 
 
-def votes(texts: list[str | None], bags: list[set[str]], ids: list[np.ndarray], mined: np.ndarray) -> np.ndarray:
-    """1 where a voter fires, else 0; the columns are lexicons, patterns, mined features."""
+def votes(texts: list[str | None], bags: list[set[str]], ids: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """1 where a voter fires, else 0, and 1 where it votes at all; the columns are lexicons, patterns, what
+    is mined for each part from the rows of the others. Mined voters abstain on the rows they come from."""
     lexicons = [set(x) for x in LEXICONS.values()]
-    fixed = [[bool(bag & x) for x in lexicons] + [bool(p.search(text or "")) for p in VOTES] for text, bag in zip(texts, bags)]
-    return np.hstack([np.array(fixed, "f8"), np.array([np.isin(mined, x) for x in ids], "f8")])
-
-
-def label_model(v: np.ndarray, labels: np.ndarray, prior: float) -> np.ndarray:
-    """The posterior of label 1 for each row of votes; labels: 1, 0, or -1 for none."""
-    told = np.where(labels < 0, 0, np.where(labels == 1, 1, -1)) * math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    q = np.where(labels < 0, prior, np.where(labels == 1, LABEL_ACCURACY, 1 - LABEL_ACCURACY))
-    for _ in range(ROUNDS):
-        rate1, rate0 = ((w @ v + 0.1) / (w.sum() + 1) for w in (q, 1 - q))  # of firing: the voters' accuracies
-        rest = v - np.outer(q, rate1) - np.outer(1 - q, rate0)
-        scale = np.sqrt((rest**2).mean(0)) + 1e-9
-        correlation = np.abs(rest.T @ rest / len(v) / np.outer(scale, scale))
+    fixed = np.array([[bool(bag & x) for x in lexicons] + [bool(p.search(text or "")) for p in VOTES] for text, bag in zip(texts, bags)], "f8")
+    fires, present = [fixed], [np.ones_like(fixed)]
+    for k in range(FOLDS):
+        mined = mine(ids, np.where(fold == k, -1, labels))
+        fires.append(np.array([np.isin(mined, x) for x in ids], "f8").reshape(len(ids), -1))
+        present.append(np.repeat((fold == k).astype("f8")[:, None], len(mined), 1))
+    present = np.hstack(present)
+    return np.hstack(fires) * present, present
+
+
+@dataclass
+class LabelModel:
+    """posterior: of label 1, by row; accuracy: of the given labels among rows of class 1 and of class 0;
+    rates: of firing of each voter in class 1 and class 0; weight: what correlations leave of a voter."""
+
+    posterior: np.ndarray
+    accuracy: tuple[float, float]
+    rates: tuple[np.ndarray, np.ndarray]
+    weight: np.ndarray
+
+
+def label_model(v: np.ndarray, labels: np.ndarray, prior: float, present: np.ndarray | None = None) -> LabelModel:
+    """v: votes; labels: 1, 0, or -1 for none; prior: the share of class 1 to start from; present: where a
+    voter votes (everywhere, if not given). It starts from labels of FIRST_ACCURACY; without any, from the
+    number of voters that fire."""
+    seen = np.ones_like(v) if present is None else present
+    told, ones, zeros = labels >= 0, labels == 1, labels == 0
+    right = np.array([FIRST_ACCURACY, FIRST_ACCURACY])
+    taught = ones.any() and zeros.any()
+    fired = np.where(v.sum(1) >= 2, 0.8, np.where(v.sum(1) == 1, 0.5, prior / 2))
+    q = np.where(ones, FIRST_ACCURACY, np.where(zeros, 1 - FIRST_ACCURACY, fired))
+    for i in range(ROUNDS):
+        share = (q.sum() + prior * FIRST_ROWS) / (len(q) + FIRST_ROWS) if i else prior
+        if i:
+            right = np.array([(w[hit].sum() + FIRST_ACCURACY * FIRST_ROWS) / (w[told].sum() + FIRST_ROWS) for w, hit in ((q, ones), (1 - q, zeros))])
+        of = told if taught and not i else 1.0  # the first rates are those of labelled rows
+        rate1, rate0 = (((w * of) @ v + 0.1) / ((w * of) @ seen + 1) for w in (q, 1 - q))  # of firing: the voters' accuracies
+        rest = (v - np.outer(q, rate1) - np.outer(1 - q, rate0)) * seen
+        scale = np.sqrt((rest**2).sum(0)) + 1e-9
+        correlation = np.abs(rest.T @ rest / np.outer(scale, scale))
         np.fill_diagonal(correlation, 1)
-        weight = 1 / (correlation * (correlation > CORRELATED)).sum(0)
-        odds = v @ (weight * np.log(rate1 / rate0)) + (1 - v) @ (weight * np.log((1 - rate1) / (1 - rate0)))
-        z = odds + told + math.log(prior / (1 - prior))
+        weight = (rate1 > rate0) / (correlation * (correlation > CORRELATED)).sum(0)  # what fires speaks for class 1 or not at all
+        z = v @ (weight * np.log(rate1 / rate0))
+        silent = z < QUIET
+        z += silent * math.log((q @ silent + 1) / (q.sum() + 2) / ((1 - q) @ silent + 1) * ((1 - q).sum() + 2))
+        z += np.where(ones, math.log(right[0] / (1 - right[1])), np.where(zeros, math.log((1 - right[0]) / right[1]), 0))
+        z += math.log(share / (1 - share))
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return q
+    return LabelModel(q, (float(right[0]), float(right[1])), (rate1, rate0), weight)
 
 
 def train(rows: list[tuple[str | None, int | None]], prior: float, seed: int = 1) -> Model:
@@ -144,7 +199,9 @@ def train(rows: list[tuple[str | None, int | None]], prior: float, seed: int = 1
     ids = [np.array([f for w in sorted(bag) for f in of[w]], "i8") for bag in bags]
     kept_out = (rng.random(len(rows)) < CALIBRATION_SHARE) & (labels >= 0) & (len(rows) > 100)
     known = np.where(kept_out, -1, labels)
-    target = label_model(votes(texts, bags, ids, mine(ids, known)), known, prior)
+    fires, present = votes(texts, bags, ids, known, rng.integers(0, FOLDS, len(rows)))
+    share = float(np.clip((known == 1).sum() / max((known >= 0).sum(), 1), 0.001, 0.999))
+    target = label_model(fires, known, share, present).posterior
     useful, _ = telling(ids, target)
     fixed = {f for x in LEXICONS.values() for word in x for f in of[word][:1]}
     useful = np.union1d(useful, np.array(sorted(fixed), "i8"))
@@ -182,18 +239,28 @@ def _calibrate(model: Model, texts: list[str | None], truth: np.ndarray, prior:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> tuple[list[tuple[str | None, int | None]], float]:
-    """The bounded sample (rows with the smallest hashes of their ids where learn holds) and the share of
-    label 1 among all labelled rows there. A doc_id that is labelled twice counts as toxic if any is."""
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label)).alias("y"))
-    ids = docs.where(learn & (F.length(text) <= MOST_CHARS)).select(F.col(doc_id).alias("id")).join(known, "id", "left")
-    sample = None
-    for part, n in ((F.col("y") == 1, TOXIC_ROWS), (F.col("y") == 0, CLEAN_ROWS), (F.col("y").isNull(), OPEN_ROWS)):
-        some = ids.where(part).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(n)
-        sample = some if sample is None else sample.unionByName(some)
-    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length("text") <= MOST_CHARS).join(F.broadcast(sample), "id").select("id", "text", "y")
-    rows = found.limit(2 * (TOXIC_ROWS + CLEAN_ROWS + OPEN_ROWS)).collect()
+    """The bounded sample and the share of label 1 among all labelled rows where learn holds. A doc_id that
+    is labelled twice counts as toxic if any is. Of each part (label 1, label 0, none) the different rows,
+    by id and text, with the smallest hashes; which hashes can be among them is told by the number of
+    different rows, estimated over the whole table by partial aggregates."""
+    spark = docs.sparkSession
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.struct(F.col(doc_id).alias("id")).alias("of")).agg(F.max(F.col(label)).alias("y"))
+    rows = docs.where(learn).select(F.struct(F.col(doc_id).alias("id")).alias("of"), F.xxhash64(F.col(doc_id).cast("string"), text).alias("at"), sampled(F.col(text), MOST_CHARS).alias("text"))
+    part = F.when(F.col("y") == 1, 1).when(F.col("y").isNull() | F.col("of.id").isNull(), -1).otherwise(0)
+    ids = rows.select("of", "at").join(known, "of", "left").select("at", part.alias("part"))
+    most = {1: TOXIC_ROWS, 0: CLEAN_ROWS, -1: OPEN_ROWS}
+    sizes = ids.groupBy("part").agg(F.approx_count_distinct("at").alias("n")).collect()
+    level = F.lit(None).cast("long")
+    for r in sizes:
+        level = F.when(F.col("part") == r["part"], hash_level(2 * (most[r["part"]] + 8) / r["n"])).otherwise(level)
+    by: dict[int, set[int]] = {1: set(), 0: set(), -1: set()}
+    for r in ids.where(F.col("at") <= level).distinct().collect():  # about twice the sample
+        by[r["part"]].add(r["at"])
+    chosen = [(at, y) for y, found in by.items() for at in sorted(found)[: most[y]]]
+    sample = spark.createDataFrame(chosen, "at long, y int")
+    found = rows.join(F.broadcast(sample), "at").dropDuplicates(["at", "y"]).select("at", "text", "y").collect()
     share = labels.where(learn & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (str(r["id"]), r["text"]))], share if share is not None else 0.1
+    return [(r["text"], None if r["y"] < 0 else r["y"]) for r in sorted(found)], share if share is not None else 0.1
 
 
 def score(text: Column, model: Model) -> Column:
@@ -207,7 +274,10 @@ def score(text: Column, model: Model) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Model:
-    """learn: a condition on doc_id, for docs and labels alike. Without labelled rows, the lexicons alone
-    are learned."""
+    """learn: a condition on doc_id, for docs and labels alike. Without labelled rows, as in empty tables,
+    the lexicons alone are learned. Null and empty texts are texts without words. Of rows that repeat id
+    and text one is learned from; ties of hashes don't depend on the layout; of very long texts sampled()
+    parts are learned from, whole texts are scored. Rows without an id have no label. Other columns
+    aren't read, whatever their names."""
     rows, prior = training_rows(docs, labels, learn, text, doc_id, label)
     return train(rows if any(y is not None for _, y in rows) else [], prior)
