@@ -240,8 +240,8 @@ def encode(text: Column, path: str, pattern: str = public_tokenizers.PATTERN) ->
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(path, pattern)
-        for texts in batches:
-            ids = [x for part in parts(texts) for x in bpe.encode_batch([t or "" for t in part.to_pylist()])]
+        for texts in (part for batch in batches for part in parts(batch)):
+            ids = bpe.encode_batch([t or "" for t in texts.to_pylist()])
             ends = np.cumsum([0] + [len(x) // 4 for x in ids], dtype="i4")
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
@@ -254,7 +254,7 @@ def decode(ids: Column, path: str, pattern: str = public_tokenizers.PATTERN) ->
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(path, pattern)
-        for lists in batches:
+        for lists in (part for batch in batches for part in parts(batch)):
             lists = lists.fill_null([]) if lists.null_count else lists
             at = lists.offsets.to_numpy()
             ids = lists.values.to_numpy()

@@ -80,7 +80,7 @@ def sampled(text: Column, most: int, pieces: int = 10) -> Column:
     """The text, or pieces from all over it if it has more than `most` characters."""
     n, size = F.length(text), most // pieces
     some = [text.substr((F.floor((n - size) * i / (pieces - 1)) + 1).cast("int"), F.lit(size)) for i in range(pieces)]
-    return F.when(n <= most, text).otherwise(F.concat_ws(" ", *some))
+    return F.when(n > most, F.concat_ws(" ", *some)).otherwise(text)
 
 
 def hash_level(share: float) -> int:

@@ -246,7 +246,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, text: str =
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull()).groupBy(F.struct(F.col(doc_id).alias("id")).alias("of")).agg(F.max(F.col(label)).alias("y"))
     rows = docs.where(learn).select(F.struct(F.col(doc_id).alias("id")).alias("of"), F.xxhash64(F.col(doc_id).cast("string"), text).alias("at"), sampled(F.col(text), MOST_CHARS).alias("text"))
-    part = F.when(F.col("y") == 1, 1).when(F.col("y").isNull() | F.col("of.id").isNull(), -1).otherwise(0)
+    part = F.when(F.col("y").isNull() | F.col("of.id").isNull(), -1).when(F.col("y") == 1, 1).otherwise(0)
     ids = rows.select("of", "at").join(known, "of", "left").select("at", part.alias("part"))
     most = {1: TOXIC_ROWS, 0: CLEAN_ROWS, -1: OPEN_ROWS}
     sizes = ids.groupBy("part").agg(F.approx_count_distinct("at").alias("n")).collect()
