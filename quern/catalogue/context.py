@@ -141,8 +141,8 @@ def missing_is_concrete(table, spark):
 @query()
 def controller_loop(table, spark):
     """All passages as questions, in passes: those whose evidence lacks a word of theirs go on."""
-    docs = table("documents").select("doc_id", "text")
-    return control.run(spark, questions(table), lambda asked: lexical.top(lexical.scores(docs, asked, F.col("text"), F.col("text")), DEFAULTS.top_k))
+    index = lexical.build(table("documents"), F.col("text"))
+    return control.run(spark, questions(table), lambda asked: lexical.top(lexical.score(index, asked, F.col("text")), DEFAULTS.top_k))
 
 
 @query()

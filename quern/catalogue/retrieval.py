@@ -59,13 +59,12 @@ def bm25_topk(table, spark):
 @query(f"""WITH w AS (SELECT doc_id, unnest({tok("text")}) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY term""")
 def bm25_stats(table, spark):
-    return lexical.term_stats(table("documents"), text())
+    return lexical.build(table("documents"), text()).stats
 
 
 @query(bm25_sql() + "SELECT n, round(avgdl, 6) AS avgdl, round(avg(r), 6) AS avg_idf FROM raw GROUP BY n, avgdl")
 def bm25_corpus(table, spark):
-    docs = table("documents")
-    found = lexical.corpus_stats(docs, text(), lexical.term_stats(docs, text()))
+    found = lexical.build(table("documents"), text()).corpus
     return found.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
 
 
@@ -115,10 +114,10 @@ def dense_mmr(table, spark):
 
 
 #: Fusion of the lexical arm over documents and a dense arm whose keys are vec_ids taken as doc_ids: the
-#: queries are the passages whose id is divisible by 50, with the vector of that id.
+#: queries are all passages that have a vector of their id.
 FUSED_SQL = (
-    bm25_sql(queries="SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 50 = 0")
-    + f""", {DENSE_SQL.strip().removeprefix("WITH ")},
+    bm25_sql(queries="SELECT item_id AS query_id, text FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)")
+    + f""", {DENSE_SQL.strip().removeprefix("WITH ").replace("q.vec_id % 50 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)")},
 arms AS (
   SELECT query_id, vec_id AS key, rank, 0.48 AS w, true AS dense FROM near WHERE rank <= {DEFAULTS.dense_k} AND query_id IN (SELECT query_id FROM q)
   UNION ALL SELECT query_id, doc_id, rank, 0.52, false FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {DEFAULTS.sparse_k}
@@ -130,9 +129,10 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_sco
 
 
 def fused(table):
-    wanted = questions(table).where("query_id % 50 = 0")
+    own = table("embeddings").select(F.col("vec_id").alias("query_id"), "embedding").join(F.broadcast(questions(table).select("query_id")), "query_id", "left_semi")
+    wanted = questions(table).join(F.broadcast(own.select("query_id")), "query_id", "left_semi")
     sparse = lexical.top(lexical.scores(table("documents").select("doc_id", "text"), wanted, text(), text()), DEFAULTS.sparse_k)
-    near = dense.nearest(table("embeddings"), vector_queries(table).join(F.broadcast(wanted.select("query_id")), "query_id", "left_semi"), DEFAULTS.dense_k)
+    near = dense.nearest(table("embeddings"), own, DEFAULTS.dense_k)
     return fusion.fuse(near.withColumnRenamed("vec_id", "key"), sparse.withColumnRenamed("doc_id", "key"), DEFAULTS.fused_k)
 
 
@@ -151,9 +151,11 @@ SCOPE_SQL = ", scope AS (SELECT DISTINCT query_id, source FROM (SELECT *, row_nu
 
 
 def scoped_hits(table):
-    docs, hits = table("documents"), lexical.top(scored(table), 2)
-    scopes = docs.select("doc_id", "source").join(F.broadcast(hits.select("query_id", "doc_id")), "doc_id").select("query_id", "source").distinct()
-    return lexical.scoped(docs.select("doc_id", "source", "text"), questions(table), scopes, text(), text(), DEFAULTS.entity_k)
+    docs = table("documents")
+    index = lexical.build(docs, text())
+    hits = lexical.top(lexical.score(index, questions(table), text()), 2)
+    scopes = docs.select("doc_id", "source").join(lexical.bounded(hits.select("query_id", "doc_id")), "doc_id").select("query_id", "source").distinct()
+    return lexical.scoped(docs, index, questions(table), scopes, text(), DEFAULTS.entity_k)
 
 
 @query(bm25_sql() + SCOPE_SQL + f""", hits AS (
@@ -236,8 +238,8 @@ def score_threshold(table, spark):
 keys AS (SELECT query_id, doc_id AS key, min((hop, rank)) AS first_seen FROM (SELECT *, 0 AS hop FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY ALL)
 SELECT query_id, key, merged_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_seen, key) AS merged_rank FROM keys) WHERE merged_rank <= {DEFAULTS.hop_chunks}""")
 def multi_hop_merge(table, spark):
-    docs = table("documents").select("doc_id", "text")
-    hops = [lexical.top(lexical.scores(docs, questions(table).withColumn("text", t), text(), text()), DEFAULTS.multi_k).withColumn("hop", F.lit(i)) for i, t in enumerate((text(), F.split(text(), "[.]")[0]))]
+    index = lexical.build(table("documents"), text())
+    hops = [lexical.top(lexical.score(index, questions(table).withColumn("text", t), text()), DEFAULTS.multi_k).withColumn("hop", F.lit(i)) for i, t in enumerate((text(), F.split(text(), "[.]")[0]))]
     return fusion.merge_hops(hops[0].unionByName(hops[1]).withColumnRenamed("doc_id", "key")).select("query_id", "key", "merged_rank")
 
 

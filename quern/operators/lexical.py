@@ -2,24 +2,79 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.config import DEFAULTS, Config
-from quern.functions.text import tokens
+from quern.sources.tables import materialise
 
 #: Queries are broadcast up to this many distinct terms; beyond it they are shuffled.
 BROADCAST_TERMS = 100_000
+#: Bytes for each core under which a table is spread over all cores.
+SMALL_SHARE = 4 << 20
+#: Documents whose terms are held at a time.
+AT_ONCE = 256
+
+WORD = re.compile("[a-z0-9]+")
+
+
+def words(text: str) -> list[str]:
+    """The same tokens as functions.text.tokens()."""
+    return WORD.findall(text.lower())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, which may be a single task, over all cores; a large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+
+
+def postings(docs: DataFrame, text: Column, tokenise: Callable[[str], list[str]] = words) -> DataFrame:
+    """docs (doc_id, ...): -> (doc_id, head, dl, term, tf), a row for each term of a document, counted where
+    the document is, with no shuffle; head marks one row of each document, one without terms included."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                index, head, dl, term, tf = [], [], [], [], []
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    found = tokenise(t or "")
+                    counts = Counter(found) or {None: 0}
+                    index += [i] * len(counts)
+                    head += [True] + [False] * (len(counts) - 1)
+                    dl += [len(found)] * len(counts)
+                    term += counts.keys()
+                    tf += counts.values()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index, pa.int32())), pa.array(head, pa.bool_()), pa.array(dl, pa.int32()), pa.array(term, pa.string()), pa.array(tf, pa.int32())], ["doc_id", "head", "dl", "term", "tf"])
 
+    return spread(docs).select("doc_id", text.alias("text")).mapInArrow(run, f"doc_id {kind}, head boolean, dl int, term string, tf int")
 
-def term_stats(docs: DataFrame, text: Column) -> DataFrame:
-    """(term, df): the number of documents that have each term."""
-    return docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
+@dataclass
+class Index:
+    """postings: a written table; stats (term, df): of all terms; corpus: one row (n, avgdl, avg_idf)."""
 
-def corpus_stats(docs: DataFrame, text: Column, stats: DataFrame) -> DataFrame:
-    """One row (n, avgdl, avg_idf)."""
-    sizes = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(text))).alias("avgdl"))
-    return stats.crossJoin(F.broadcast(sizes)).groupBy("n", "avgdl").agg(F.avg(raw_idf(F.col("n"), F.col("df"))).alias("avg_idf"))
+    postings: DataFrame
+    stats: DataFrame
+    corpus: DataFrame
+    tokenise: Callable[[str], list[str]] = words
+
+
+def build(docs: DataFrame, text: Column, tokenise: Callable[[str], list[str]] = words) -> Index:
+    """Texts are read and split once; all else is made of the written postings."""
+    rows = materialise(postings(docs, text, tokenise), "postings")
+    stats = rows.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sizes = rows.where("head").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    corpus = stats.crossJoin(F.broadcast(sizes)).groupBy("n", "avgdl").agg(F.avg(raw_idf(F.col("n"), F.col("df"))).alias("avg_idf"))
+    return Index(rows, stats, materialise(corpus, "corpus"), tokenise)
 
 
 def raw_idf(n: Column, df: Column) -> Column:
@@ -32,10 +87,10 @@ def idf(n: Column, df: Column, avg_idf: Column, config: Config = DEFAULTS) -> Co
     return F.when(raw < 0, config.negative_idf_share * avg_idf).otherwise(raw)
 
 
-def query_terms(queries: DataFrame, text: Column) -> DataFrame:
+def query_terms(queries: DataFrame, text: Column, tokenise: Callable[[str], list[str]] = words) -> DataFrame:
     """(query_id, term, weight): weight is the term's multiplicity, which counts."""
-    exploded = queries.select("query_id", F.explode(tokens(text)).alias("term"))
-    return exploded.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
+    found = postings(queries.withColumn("doc_id", F.col("query_id")), text, tokenise).where("term is not null")
+    return found.groupBy(F.col("doc_id").alias("query_id"), "term").agg(F.sum("tf").alias("weight"))
 
 
 def is_small(df: DataFrame, most: int = BROADCAST_TERMS) -> bool:
@@ -48,26 +103,28 @@ def bounded(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if is_small(df, most) else df
 
 
-def scores(docs: DataFrame, queries: DataFrame, text: Column, query_text: Column, config: Config = DEFAULTS) -> DataFrame:
-    """docs (doc_id, ...), queries (query_id, ...): -> (query_id, doc_id, score), a row for each document
-    that has a term of the query, scores rounded to 6 places. A row's terms are counted where the row is;
-    only terms that queries have, leave it. The query side is broadcast if its count allows it."""
-    stats = term_stats(docs, text)
-    terms = query_terms(queries, query_text)
-    corpus = corpus_stats(docs, text, stats)
-    weighted = terms.join(stats, "term").crossJoin(F.broadcast(corpus))
+def score(index: Index, queries: DataFrame, query_text: Column, config: Config = DEFAULTS) -> DataFrame:
+    """queries (query_id, ...): -> (query_id, doc_id, score), a row for each document that has a term of the
+    query, scores rounded to 6 places. The weighted query terms are broadcast if their count allows it; a
+    document's parts are then added where its postings are before anything is shuffled."""
+    terms = materialise(query_terms(queries, query_text, index.tokenise), "query-terms")
+    small = is_small(terms)
+    wanted = terms.select("term").distinct()
+    df = index.postings.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = terms.join(df, "term").crossJoin(F.broadcast(index.corpus))
     weighted = weighted.select("query_id", "term", "weight", "avgdl", idf(F.col("n"), F.col("df"), F.col("avg_idf"), config).alias("idf"), (F.col("df") / F.col("n")).alias("share"))
     if config.df_cutoff:
         common = F.col("share") >= config.df_cutoff
         rare = F.max(~common).over(Window.partitionBy("query_id"))
         weighted = weighted.withColumn("rare", rare).where(~common | ~F.col("rare")).drop("rare")
-    wanted = terms.select("term").distinct()
-    if is_small(terms):
-        weighted, wanted = F.broadcast(weighted), F.broadcast(wanted)
-    found = docs.select("doc_id", tokens(text).alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    postings = found.join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     gain = F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
-    return postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * gain), 6).alias("score"))
+    found = index.postings.where("term is not null").join(F.broadcast(weighted) if small else weighted, "term")
+    return found.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * gain), 6).alias("score"))
+
+
+def scores(docs: DataFrame, queries: DataFrame, text: Column, query_text: Column, config: Config = DEFAULTS) -> DataFrame:
+    """score() of an index that is built for these queries."""
+    return score(build(docs, text), queries, query_text, config)
 
 
 def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), rank: str = "rank") -> DataFrame:
@@ -76,13 +133,15 @@ def top(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), rank: st
     return scored.withColumn(rank, place).where(F.col(rank) <= k)
 
 
-def scoped(docs: DataFrame, queries: DataFrame, scopes: DataFrame, text: Column, query_text: Column, k: int, config: Config = DEFAULTS) -> DataFrame:
-    """docs (doc_id, source), scopes (query_id, source): the k best documents of each source in scope
-    by the statistics of the whole corpus, without a filter on terms. Documents without a score count
-    as 0. The sources take turns: scoped_rank goes through their firsts, their seconds, ..."""
+def scoped(docs: DataFrame, index: Index, queries: DataFrame, scopes: DataFrame, query_text: Column, k: Column | int, config: Config = DEFAULTS, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """docs (doc_id, source), scopes (query_id, source, and what `by` and k name): the k best documents of
+    each source in scope by the statistics of the whole corpus, without a filter on terms. Documents
+    without a score count as 0. The sources of a scope take turns: scoped_rank goes through their firsts,
+    their seconds, ..."""
     plain = Config(k1=config.k1, b=config.b)
-    inside = docs.select("doc_id", "source").join(bounded(scopes), "source").select("query_id", "source", "doc_id")
-    scored = inside.join(scores(docs, queries, text, query_text, plain), ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    best = top(scored, k, ("query_id", "source"), "depth")
-    turn = F.row_number().over(Window.partitionBy("query_id").orderBy("depth", "source", "doc_id"))
+    inside = docs.select("doc_id", "source").join(bounded(scopes), "source")
+    scored = inside.join(score(index, queries, query_text, plain), ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    depth = F.row_number().over(Window.partitionBy(*by, "source").orderBy(F.desc("score"), "doc_id"))
+    best = scored.withColumn("depth", depth).where(F.col("depth") <= k)
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy("depth", "source", "doc_id"))
     return best.withColumn("scoped_rank", turn).withColumn("fusion_score", F.round(1 / (config.rrf_k + F.col("scoped_rank")), 6))

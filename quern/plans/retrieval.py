@@ -35,7 +35,7 @@ def retrieve(index: Index, questions: DataFrame, config: Config = DEFAULTS) -> D
     subs = questions.select("query_id", F.posexplode(models.subqueries(F.col("text"), config.max_subqueries)).alias("sub_idx", "text"))
     subs = materialise(subs.select((F.col("query_id") * config.max_subqueries + F.col("sub_idx")).alias("query_id"), "text"), "subqueries")
     text = F.col("page_content")
-    sparse = lexical.top(lexical.scores(index.chunks, subs, text, F.col("text"), config), config.multi_k).withColumnRenamed("doc_id", "key")
+    sparse = lexical.top(lexical.score(lexical.build(index.chunks, text), subs, F.col("text"), config), config.multi_k).withColumnRenamed("doc_id", "key")
     near = dense.nearest(index.vectors, subs.select("query_id", models.embed(F.col("text")).alias("embedding")), config.multi_k).withColumnRenamed("vec_id", "key")
     fused = fusion.fuse(near, sparse, config.multi_fused_k, config)
     lists = fused.withColumn("sub_idx", (F.col("query_id") % config.max_subqueries).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / config.max_subqueries))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,9 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has stopped: the folder is left to the cluster's own cleaning
+        pass
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
+    """Write df to the shared folder and read it back, which cuts its lineage. The table is dropped when
+    this process ends."""
     path = f"{shared_dir(df.sparkSession)}/quern/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

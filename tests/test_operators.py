@@ -101,7 +101,7 @@ def test_scoped_search_keeps_unscored_documents_and_takes_turns(spark):
     docs = spark.createDataFrame([(1, "a", "cat dog"), (2, "a", "cat"), (3, "b", "bird"), (4, "b", "cat cat fish"), (5, "c", "cat")], "doc_id long, source string, text string")
     queries = spark.createDataFrame([(1, "cat")], "query_id long, text string")
     scopes = spark.createDataFrame([(1, "a"), (1, "b")], "query_id long, source string")
-    got = lexical.scoped(docs, queries, scopes, F.col("text"), F.col("text"), 2).orderBy("scoped_rank").collect()
+    got = lexical.scoped(docs, lexical.build(docs, F.col("text")), queries, scopes, F.col("text"), 2).orderBy("scoped_rank").collect()
     assert [r["source"] for r in got] == ["a", "b", "a", "b"]
     assert {r["doc_id"]: r["score"] for r in got}[3] == 0.0 and len(got) == 4
 
