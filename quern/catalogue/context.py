@@ -121,7 +121,7 @@ def feedback_question(table, spark):
     return table("conversations").withColumn("question", asked).where("role = 'assistant'").select("conv_id", "turn", "question")
 
 
-SIMPLE_SQL = """len(string_split_regex(trim(text, ' '), '[ \\t\\n\\x0B\\f\\r]+')) < 12 AND length(text) - length(replace(text, '?', '')) <= 1 AND NOT regexp_matches(' ' || lower(trim(text, ' ')) || ' ', ' and | or | vs | versus |;| also ')"""
+SIMPLE_SQL = """len(string_split_regex(regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+')) < 12 AND length(text) - length(replace(text, '?', '')) <= 1 AND NOT regexp_matches(lower(text), ',|;| and | or | vs | versus ')"""
 
 
 @query(f"SELECT conv_id, turn, {SIMPLE_SQL} AS simple, CASE WHEN text = '' THEN 'refuse' WHEN {SIMPLE_SQL} THEN 'single' ELSE 'decompose' END AS route FROM conversations WHERE role = 'user'")
@@ -130,12 +130,23 @@ def controller_route(table, spark):
     return table("conversations").where("role = 'user'").select("conv_id", "turn", simple.alias("simple"), F.when(F.col("text") == "", "refuse").when(simple, "single").otherwise("decompose").alias("route"))
 
 
-@query("""SELECT conv_id, turn, x, length(x) >= 3 AND x NOT IN ('more', 'details', 'context', 'none', 'information') AND (regexp_matches(x, '[0-9]') OR strpos(x, ' ') > 0) AS concrete
-FROM (SELECT conv_id, turn, lower(trim(string_split(text, '.')[1], ' ')) AS x FROM conversations WHERE role = 'user' AND NOT regexp_matches(string_split(text, '.')[1], '[\\t\\n\\x0B\\f\\r]')) WHERE x NOT LIKE '%info%' AND x NOT LIKE '%detail%' AND x NOT IN ('anything', 'everything', 'n/a') AND x NOT LIKE '%context%'""")
+#: What is missing: a user's first sentence, one of the vague phrases, the two with blanks around, none.
+MISSING_SQL = f"""SELECT conv_id, turn, i, x, length(y) >= 3 AND y NOT IN ({", ".join(f"'{v}'" for v in tx.VAGUE)}) AND (regexp_matches(y, '[0-9]') OR regexp_matches(y, '[^ \\t\\n\\x0B\\f\\r][ \\t\\n\\x0B\\f\\r]+[^ \\t\\n\\x0B\\f\\r]')) AS concrete
+FROM (SELECT *, lower(regexp_replace(x, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) AS y FROM (
+  SELECT conv_id, turn, 0 AS i, string_split(text, '.')[1] AS x FROM conversations WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, 1, (list_value({", ".join(f"'{v}'" for v in tx.VAGUE)}))[(turn % {len(tx.VAGUE)} + 1)::BIGINT] FROM conversations WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, 2, '  The Rest ' || CASE WHEN turn % 2 = 0 THEN '' ELSE 'of COMP ' || turn END FROM conversations WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, 3, '' FROM conversations WHERE role = 'user'))"""
+
+
+@query(MISSING_SQL)
 def missing_is_concrete(table, spark):
-    first = F.split("text", "[.]")[0]
-    rows = table("conversations").where("role = 'user'").select("conv_id", "turn", F.lower(F.trim(first)).alias("x"))
-    return rows.select("conv_id", "turn", "x", tx.is_concrete(F.array("x")).alias("concrete"))
+    asked = table("conversations").where("role = 'user'")
+    vague = F.array(*map(F.lit, tx.VAGUE))
+    rest = F.concat(F.lit("  The Rest "), F.when(F.col("turn") % 2 == 0, "").otherwise(F.concat(F.lit("of COMP "), F.col("turn").cast("string"))))
+    items = F.array(F.split("text", "[.]")[0], F.element_at(vague, (F.col("turn") % len(tx.VAGUE) + 1).cast("int")), rest, F.lit(""))
+    rows = asked.select("conv_id", "turn", F.posexplode(items).alias("i", "x"))
+    return rows.select("conv_id", "turn", "i", "x", tx.is_concrete(F.array("x")).alias("concrete"))
 
 
 @query()

@@ -19,38 +19,77 @@ def named(table):
     return table("documents").withColumn("filename", F.when(doc % 3 == 0, outline).when(doc % 3 == 1, F.concat(source, F.lit("_"), lang, F.lit("_"), text(doc), F.lit(".txt"))).otherwise(F.concat(source, F.lit("-"), lang, F.lit(".txt"))))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {NAME_SQL} AS f FROM documents), s AS (SELECT doc_id, f, replace(f, '.txt', '') AS stem FROM d)
-SELECT doc_id, f AS filename, CASE doc_id % 3 WHEN 0 THEN 'outline' WHEN 1 THEN 'program' ELSE 'page' END AS file_kind,
-  CASE doc_id % 3 WHEN 0 THEN lower(string_split(stem, '_')[1]) || ', ' || lower(string_split(stem, '_')[2]) || ', course, outline' WHEN 1 THEN lower(replace(stem, '_', ', ')) ELSE lower(replace(stem, '-', ', ')) END AS keywords,
-  CASE doc_id % 3 WHEN 0 THEN string_split(stem, '_')[3] END AS term_code FROM s""")
+PARSED_SQL = f"""d AS (SELECT *, {NAME_SQL} AS f, doc_id % 3 AS k FROM documents), s AS (SELECT *, replace(f, '.txt', '') AS stem FROM d),
+p AS (SELECT *, CASE k WHEN 0 THEN 'course_outline' ELSE 'program' END AS file_kind, CASE k WHEN 0 THEN string_split(stem, '_')[3] END AS term_code,
+  CASE k WHEN 0 THEN string_split(stem, '_')[1] || ' ' || string_split(stem, '_')[2] WHEN 1 THEN replace(stem, '_', ' ') ELSE replace(stem, '-', ' ') END AS readable FROM s)"""
+
+
+@query(f"""WITH {PARSED_SQL}
+SELECT doc_id, f AS filename, file_kind, readable,
+  CASE k WHEN 0 THEN lower(string_split(stem, '_')[1]) || ', ' || string_split(stem, '_')[2] || ', course, outline' WHEN 1 THEN lower(replace(stem, '_', ', ')) ELSE lower(replace(stem, '-', ', ')) END AS keywords, term_code FROM p""")
 def filename_parse(table, spark):
     f = F.col("filename")
     m = documents.metadata(f, F.col("text"))
-    return named(table).select("doc_id", "filename", m["file_kind"].alias("file_kind"), m["filename_keywords"].alias("keywords"), m["term_code"].alias("term_code"))
+    return named(table).select("doc_id", "filename", m["file_kind"].alias("file_kind"), documents.readable_name(f).alias("readable"), m["filename_keywords"].alias("keywords"), m["term_code"].alias("term_code"))
 
 
-HEADED_SQL = "'URL: http://x/' || doc_id || chr(10) || 'Title: ' || source || chr(10) || 'Course: ' || upper(lang) || ' ' || doc_id || chr(10) || 'Level ' || (doc_id % 4) || ' full-time diploma Credits: ' || (doc_id % 9) || '.5' || chr(10) || 'Prerequisites: ' || lang || chr(10) || chr(10) || text"
+#: Headers and a line of facts before each text: modes, levels, years and numbers by doc_id.
+FACTS = {
+    "mode": ["full-time", "Full Time", "part-time", "FLEX", "evenings"],
+    "level": ["Diploma", "certificate", "Bachelor", "degree", "course", "Level 2 diploma", "TERM  3"],
+    "year": ["First Year", "second year", "third year"],
+}
+HEADED_SQL = "'URL: http://x/' || doc_id || chr(10) || 'Title: first' || chr(10) || 'Title:  ' || source || ' ' || chr(10) || 'Course: ' || upper(lang) || ' ' || doc_id || chr(10) || 'Course: other' || chr(10)" + "".join(
+    f" || (list_value({', '.join(repr(x) for x in found)}))[(doc_id % {len(found)} + 1)::BIGINT] || ' '" for found in FACTS.values()) + " || CASE WHEN doc_id % 2 = 0 THEN 'Credits: ' || (doc_id % 9) || '.5' ELSE 'Credit:' || (doc_id % 9) END || chr(10) || 'PREREQUISITES:' || chr(10) || ' ' || lang || ' ' || chr(10) || chr(10) || text"
 
 
 def headed(table):
     doc = F.col("doc_id").cast("string")
-    text = F.concat(F.lit("URL: http://x/"), doc, F.lit("\nTitle: "), "source", F.lit("\nCourse: "), F.upper("lang"), F.lit(" "), doc, F.lit("\nLevel "), (F.col("doc_id") % 4).cast("string"), F.lit(" full-time diploma Credits: "), (F.col("doc_id") % 9).cast("string"), F.lit(".5\nPrerequisites: "), "lang", F.lit("\n\n"), "text")
+    pick = lambda found: F.element_at(F.array(*map(F.lit, found)), (F.col("doc_id") % len(found) + 1).cast("int"))
+    facts = F.concat(*(x for found in FACTS.values() for x in (pick(found), F.lit(" "))))
+    n = (F.col("doc_id") % 9).cast("string")
+    credits_ = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Credits: "), n, F.lit(".5"))).otherwise(F.concat(F.lit("Credit:"), n))
+    text = F.concat(F.lit("URL: http://x/"), doc, F.lit("\nTitle: first\nTitle:  "), "source", F.lit(" \nCourse: "), F.upper("lang"), F.lit(" "), doc, F.lit("\nCourse: other\n"), facts, credits_, F.lit("\nPREREQUISITES:\n "), "lang", F.lit(" \n\n"), "text")
     return named(table).withColumn("text", text)
 
 
-@query(f"""WITH h AS (SELECT doc_id, {NAME_SQL} AS f, {HEADED_SQL} AS t, lang, source FROM documents)
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN upper(lang) || 'SC ' || (1000 + doc_id % 9000) ELSE upper(lang) || ' ' || doc_id END AS course_code, 'http://x/' || doc_id AS url, source AS title,
- 'full-time' AS program_type, 'diploma' AS program_level, (doc_id % 4)::VARCHAR AS level, (doc_id % 9) + 0.5::DOUBLE AS credits, lang AS prerequisites FROM h""")
+METADATA_SQL = f"""{PARSED_SQL}, h AS (SELECT *, {HEADED_SQL} AS t FROM p), l AS (SELECT *, lower(t) AS low, nullif(regexp_extract(t, '(?i)(level|term)[ \\t\\n\\x0B\\f\\r]+([0-9]+)', 2), '') AS num FROM h),
+m AS (SELECT *, CASE k WHEN 0 THEN readable ELSE upper(lang) || ' ' || doc_id END AS course_code, 'http://x/' || doc_id AS url,
+  CASE WHEN contains(low, 'full-time') OR contains(low, 'full time') THEN 'full-time' WHEN contains(low, 'part-time') OR contains(low, 'flex') THEN 'part-time' ELSE 'unknown' END AS program_type,
+  CASE WHEN contains(low, 'diploma') THEN 'diploma' WHEN contains(low, 'certificate') THEN 'certificate' WHEN contains(low, 'bachelor') OR contains(low, 'degree') THEN 'degree' END AS program_level,
+  'Level ' || num AS level, 'Term ' || num AS term,
+  CASE WHEN contains(t, 'First Year') OR contains(t, 'first year') THEN 'First Year' WHEN contains(t, 'Second Year') OR contains(t, 'second year') THEN 'Second Year' END AS year,
+  (doc_id % 9) + CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0 END::DOUBLE AS credits, lang AS prerequisites, length(t) AS file_size FROM l)"""
+METADATA = ("course_code", "url", "title", "program_type", "program_level", "level", "term", "year", "credits", "prerequisites", "file_size")
+
+
+@query(f"WITH {METADATA_SQL} SELECT doc_id, {', '.join('source AS title' if c == 'title' else c for c in METADATA)} FROM m")
 def metadata_regex(table, spark):
     m = documents.metadata(F.col("filename"), F.col("text"))
-    return headed(table).select("doc_id", *(m[c].alias(c) for c in ("course_code", "url", "title", "program_type", "program_level", "level", "credits", "prerequisites")))
+    return headed(table).select("doc_id", *(m[c].alias(c) for c in METADATA))
+
 
+#: The tags, and the text after them in which the first "Level n" is replaced.
+TAGS_SQL = """CASE k WHEN 0 THEN '[COURSE: ' || readable || '] [TERM: ' || term_code || ']' ELSE '[DOCUMENT: ' || readable || ']' END || CASE WHEN program_type <> 'unknown' THEN ' [' || upper(program_type) || ']' ELSE '' END
+  || coalesce(' [' || upper(program_level) || ']', '') || coalesce(' [' || upper(level) || ']', '')"""
 
-@query(f"""WITH h AS (SELECT doc_id, {HEADED_SQL} AS t, upper(lang) AS l FROM documents)
-SELECT doc_id, md5('[Course: ' || CASE doc_id % 3 WHEN 0 THEN l || 'SC ' || (1000 + doc_id % 9000) ELSE l || ' ' || doc_id END || ']' || CASE doc_id % 3 WHEN 0 THEN ' [Term: 202430]' ELSE '' END || ' [Mode: full-time] [Credential: diploma] [Level: ' || (doc_id % 4) || ']' || chr(10) || chr(10) || regexp_replace(t, 'Level ([0-9]+)', 'Level \\1 (Term \\1)')) AS digest FROM h""")
+
+@query(f"""WITH {METADATA_SQL}, g AS (SELECT *, {TAGS_SQL} AS tags FROM m), w AS (SELECT *, tags || chr(10) || chr(10) || t AS whole FROM g)
+SELECT doc_id, tags, md5(CASE WHEN level IS NULL OR strpos(whole, level) = 0 THEN whole ELSE left(whole, strpos(whole, level) - 1) || level || ' (also known as Term ' || num || ', Term-' || num || ')' || substr(whole, strpos(whole, level) + length(level)) END) AS digest FROM w""")
 def enhance_content(table, spark):
     m = documents.metadata(F.col("filename"), F.col("text"))
-    return headed(table).select("doc_id", F.md5(documents.enhanced(documents.prefix(m), F.col("text"))).alias("digest"))
+    tags = documents.prefix(F.col("filename"), m)
+    return headed(table).select("doc_id", tags.alias("tags"), F.md5(documents.enhanced(tags, F.col("text"), m["level"])).alias("digest"))
+
+
+SIGNED_SQL = "text || chr(10) || 'I verify that this is right ' || (list_value('Program Head', 'Associate Dean', 'Faculty', 'Dean', 'Clerk'))[(doc_id % 5 + 1)::BIGINT] || ' ' || (list_value('May', 'January', 'may'))[(doc_id % 3 + 1)::BIGINT] || ' ' || (doc_id % 28 + 1) || ', 2024 ' || chr(10) || 'after'"
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace(t, '(?m)^I verify that .*?(?:Program Head|Associate Dean|Faculty|Dean)[ \\t\\n\\x0B\\f\\r]+[A-Z][a-z]+ [0-9]{{1,2}}, [0-9]{{4}}[ \\t\\n\\x0B\\f\\r]*$', '', 'g')) AS digest FROM (SELECT doc_id, {SIGNED_SQL} AS t FROM documents)""")
+def signature_strip(table, spark):
+    pick = lambda *found: F.element_at(F.array(*map(F.lit, found)), (F.col("doc_id") % len(found) + 1).cast("int"))
+    line = F.concat(F.lit("\nI verify that this is right "), pick(*tx.SIGNERS, "Clerk"), F.lit(" "), pick("May", "January", "may"), F.lit(" "), (F.col("doc_id") % 28 + 1).cast("string"), F.lit(", 2024 \nafter"))
+    return table("documents").select("doc_id", F.md5(tx.strip_signature(F.concat("text", line))).alias("digest"))
 
 
 @query(f"SELECT doc_id, len({tok('text')}) AS n_tokens, len(list_distinct({tok('text')})) AS n_distinct, md5(array_to_string({tok('text')}, ' ')) AS digest FROM documents")
@@ -113,12 +152,11 @@ def slugs(table, spark):
     return table("part").select("p_partkey", tx.slug(F.concat("p_name", F.lit(" & "), "p_brand")).alias("slug"))
 
 
-@query("""SELECT p_partkey, upper(string_split(p_name, ' ')[1][1:4]) || (1000 + p_partkey % 9000)::VARCHAR AS code FROM part WHERE length(string_split(p_name, ' ')[1]) >= 2""")
+@query("""SELECT p_partkey, upper(string_split(p_name, ' ')[1][1:4]) || ' ' || (1000 + p_partkey % 9000)::VARCHAR AS code FROM part WHERE length(string_split(p_name, ' ')[1]) >= 2""")
 def course_code_from_slug(table, spark):
     slug = F.concat(F.lit("some-course-"), F.substring(F.split("p_name", " ")[0], 1, 4), F.lit("-"), (1000 + F.col("p_partkey") % 9000).cast("string"))
     found = table("part").select("p_partkey", F.split("p_name", " ")[0].alias("w"), slug.alias("slug")).where(F.length("w") >= 2)
-    part = lambda i: F.regexp_extract("slug", "-([a-z]{2,4})-([0-9]{4}[a-z]?)$", i)
-    return found.select("p_partkey", F.upper(F.concat(part(1), part(2))).alias("code"))
+    return found.select("p_partkey", documents.course_code_of_slug(F.col("slug")).alias("code"))
 
 
 #: A term's catalogue as JSON: orders of a year are a term, a customer's segment the subject, the customer

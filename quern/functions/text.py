@@ -78,10 +78,20 @@ def history_view(answer: Column, most: int) -> Column:
     return F.when(stripped == "", F.substring(answer, 1, most)).otherwise(cut)
 
 
+#: Who signs a page.
+SIGNERS = ("Program Head", "Associate Dean", "Faculty", "Dean")
+SIGNATURE = r"(?dm)^I verify that .*?(?:" + "|".join(SIGNERS) + r")\s+[A-Z][a-z]+ [0-9]{1,2}, [0-9]{4}\s*$"
+
+
 def strip_signature(text: Column) -> Column:
-    """Without the lines that approve a page with a date at their end."""
-    months = "January|February|March|April|May|June|July|August|September|October|November|December"
-    return F.regexp_replace(text, rf"(?dm)^.*\bI verify that.*({months}) [0-9]{{1,2}}, [0-9]{{4}}[ \t]*$\n?", "")
+    """Without the lines in which one of SIGNERS approves a page, with a date at their end."""
+    return F.regexp_replace(text, SIGNATURE, "")
+
+
+def replace_first(text: Column, what: Column, by: Column) -> Column:
+    """text with its first occurrence of what replaced; both are taken literally."""
+    at = F.position(what, text)
+    return F.when(at > 0, F.concat(text.substr(F.lit(1), at - 1), by, text.substr(at + F.length(what), F.length(text)))).otherwise(text)
 
 
 def escape_regex(needle: Column) -> Column:
@@ -102,21 +112,58 @@ def message_text(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.coalesce(p, F.lit(""))), "")
 
 
+def message_of_json(content: Column) -> Column:
+    """The text of a message as JSON: a text, or a list of texts and of objects with a text."""
+    one = lambda p: F.coalesce(F.get_json_object(p, "$.text"), F.when(F.startswith(F.ltrim(p), F.lit("{")), F.lit("")).otherwise(p))
+    parts = F.from_json(content, "array<string>")
+    return F.when(F.startswith(F.ltrim(content), F.lit("[")), F.array_join(F.transform(parts, one), "")).otherwise(content)
+
+
+#: Words of a capitalised run that name nothing.
+NOISE = (
+    "what which who whose when where how does do did is are the a an and or of for in at to i he she they "
+    "teach teaches taught course courses class classes instructor instructors program programs"
+).split()
+#: A code of 2 to 4 letters and 4 or 5 characters that begin with a digit; a run of up to four capitalised words.
+CODE = r"\b([A-Za-z]{2,4})\s*-?\s*([0-9][A-Za-z0-9]{3,4})\b"
+NAME_RUN = r"\b([A-Z][a-z]+(?:[-'’][A-Za-z]+)*(?:\s+[A-Z][a-z]*\.?(?:[-'’][A-Za-z]+)*){0,3})"
+
+
+def codes(text: Column) -> Column:
+    """array<string>: the codes in a text as "DEPT NUM", in order, repeats included."""
+    return F.transform(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)), lambda c: F.upper(F.concat_ws(" ", F.regexp_extract(c, CODE, 1), F.regexp_extract(c, CODE, 2))))
+
+
+def name_runs(text: Column, site: tuple[str, ...] = ()) -> Column:
+    """array<array<string>>: the words of each capitalised run without NOISE (and the words of the site's
+    own name)."""
+    noise = F.array(*map(F.lit, (*NOISE, *site)))
+    plain = lambda w: F.lower(F.regexp_replace(w, r"^\.+|\.+$", ""))
+    return F.transform(F.regexp_extract_all(text, F.lit(NAME_RUN), F.lit(1)), lambda r: F.filter(F.split(r, r"\s+"), lambda w: ~F.array_contains(noise, plain(w))))
+
+
+#: What joins questions.
+JOINTS = (",", ";", " and ", " or ", " vs ", " versus ")
+
+
 def is_simple_question(question: Column, most_words: int = 12) -> Column:
-    """Few words, at most one question mark, nothing that joins questions."""
-    plain = F.concat(F.lit(" "), F.lower(F.trim(question)), F.lit(" "))
+    """Fewer words than most_words, at most one question mark, nothing that joins questions."""
+    plain = F.lower(F.regexp_replace(question, r"(?U)^\s+|\s+$", ""))
     joined = F.lit(False)
-    for joint in (" and ", " or ", " vs ", " versus ", ";", " also "):
+    for joint in JOINTS:
         joined = joined | plain.contains(joint)
-    marks = F.length(question) - F.length(F.replace(question, F.lit("?"), F.lit("")))
-    return (F.size(F.split(F.trim(question), r"\s+")) < most_words) & (marks <= 1) & ~joined
+    marks = F.length(plain) - F.length(F.replace(plain, F.lit("?"), F.lit("")))
+    return (F.size(F.split(plain, r"(?U)\s+")) < most_words) & (marks <= 1) & ~joined
 
 
 #: What isn't a concrete piece of missing information.
-VAGUE = ("more", "more info", "more information", "more details", "details", "additional details", "additional information", "further details", "further information", "information", "context", "more context", "additional context", "anything", "everything", "none", "n/a")
+VAGUE = (
+    "more information", "more info", "more detail", "more details", "additional information", "additional details", "further information",
+    "details", "information", "data", "specifics", "context", "everything", "other courses", "other programs", "anything else", "the rest",
+)
 
 
 def is_concrete(missing: Column) -> Column:
     """Does any item name something: three characters or more, not vague, a digit or two words?"""
-    item = lambda x: F.trim(F.lower(F.coalesce(x, F.lit(""))))
-    return F.coalesce(F.exists(missing, lambda x: (F.length(item(x)) >= 3) & ~item(x).isin(*VAGUE) & (item(x).rlike("[0-9]") | (F.size(F.split(item(x), r"\s+")) >= 2))), F.lit(False))
+    item = lambda x: F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    return F.coalesce(F.exists(missing, lambda x: (F.length(item(x)) >= 3) & ~item(x).isin(*VAGUE) & (item(x).rlike(r"\p{Nd}") | (F.size(F.split(item(x), r"(?U)\s+")) >= 2))), F.lit(False))
