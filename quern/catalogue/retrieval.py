@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 from quern.catalogue.registry import query, tok
 from quern.config import DEFAULTS
 from quern.functions import documents, text as tx
-from quern.operators import dense, entities, fusion, lexical, select
+from quern.operators import dense, fusion, lexical, select
 
 K = DEFAULTS.top_k
 
@@ -243,46 +243,6 @@ def multi_hop_merge(table, spark):
     return fusion.merge_hops(hops[0].unionByName(hops[1]).withColumnRenamed("doc_id", "key")).select("query_id", "key", "merged_rank")
 
 
-# entities: suppliers and customers are people, part names are programs
-
-
-@query("""WITH names AS (SELECT 'person' AS kind, lower(s_name) AS key, s_name AS label FROM supplier UNION ALL SELECT 'person', lower(c_name), c_name FROM customer),
-q AS (SELECT o_orderkey AS query_id, 'Ask Customer#' || lpad(o_custkey::VARCHAR, 9, '0') || ' about Supplier#' || lpad((o_orderkey % 10)::VARCHAR, 9, '0') AS question FROM orders),
-runs AS (SELECT query_id, unnest(regexp_extract_all(question, '[A-Z][a-z]+#[0-9]{9}')) AS run, question FROM q)
-SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY strpos(question, run)) AS entity_rank FROM runs JOIN names ON lower(run) = key""")
-def entity_detect(table, spark):
-    names = table("supplier").select(F.lower("s_name").alias("key"), F.col("s_name").alias("label")).unionByName(table("customer").select(F.lower("c_name").alias("key"), F.col("c_name").alias("label")))
-    pad = lambda c: F.lpad(c.cast("string"), 9, "0")
-    asked = table("orders").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("Ask Customer#"), pad(F.col("o_custkey")), F.lit(" about Supplier#"), pad(F.col("o_orderkey") % 10)).alias("question"))
-    return entities.detect(asked, names, "[A-Z][a-z]+#[0-9]{9}")
-
-
-#: People of three words: a first word, the brand, the type; an alias is the first two, or first and last.
-PEOPLE_SQL = "SELECT DISTINCT string_split(p_name, ' ')[1] || ' ' || p_brand || ' ' || p_type AS name FROM part"
-
-
-@query(f"""WITH p AS ({PEOPLE_SQL}), a AS (
-  SELECT lower(w[1] || ' ' || w[2]) AS alias, name FROM (SELECT name, string_split(name, ' ') AS w FROM p) UNION SELECT lower(w[1] || ' ' || w[3]), name FROM (SELECT name, string_split(name, ' ') AS w FROM p))
-SELECT alias, min(name) AS name FROM a WHERE alias NOT IN (SELECT lower(name) FROM p) GROUP BY alias HAVING count(DISTINCT name) = 1""")
-def entity_alias(table, spark):
-    people = table("part").select(F.concat_ws(" ", F.split("p_name", " ")[0], "p_brand", "p_type").alias("name")).distinct()
-    return entities.aliases(people)
-
-
-@query("""WITH t AS (SELECT DISTINCT p_name FROM part), pt AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS tok FROM t), pn AS (SELECT p_name, count(DISTINCT tok) AS n FROM pt GROUP BY ALL),
-q AS (SELECT p_partkey AS query_id, p_name || ' ' || lower(p_type) || ' ring bolt' AS question FROM part), qt AS (SELECT DISTINCT query_id, unnest(string_split(question, ' ')) AS tok FROM q)
-SELECT query_id, p_name AS program FROM (SELECT query_id, p_name, count(DISTINCT tok) AS hit FROM qt JOIN pt USING (tok) GROUP BY ALL) JOIN pn USING (p_name) WHERE hit = n AND n >= 2""")
-def program_containment(table, spark):
-    programs = table("part").select(F.col("p_name").alias("program")).distinct()
-    asked = table("part").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", F.lower("p_type"), F.lit("ring bolt")).alias("question"))
-    return entities.contained(asked, programs)
-
-
-@query("""SELECT item_id AS query_id, nullif(regexp_extract(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'), '') AS mention FROM benchmark""")
-def fanin_key(table, spark):
-    return questions(table).select("query_id", F.nullif(F.regexp_extract("text", "[A-Z][a-z]+(?: [A-Z][a-z]+)+", 0), F.lit("")).alias("mention"))
-
-
 @query("""SELECT p_partkey, p_size::INT AS size, p_name || ' (' || p_brand || '). ' || p_type AS text FROM part""")
 def embed_text(table, spark):
     return table("part").select("p_partkey", F.col("p_size").alias("size"), documents.embedding_text(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("text"))

@@ -31,8 +31,8 @@ class Config:
     # diversity
     mmr_fetch: int = 50
     mmr_lambda: float = 0.87
-    # reranking
-    rerank_in: int = 25
+    # reranking: "pooled" (all of a pool against the question), "per_subquery" or "none"
+    rerank_mode: str = "pooled"
     score_threshold: float = 0.0
     min_kept: int = 3
     consensus_skip: float = 0.0
@@ -61,6 +61,8 @@ class Config:
     history_answer_chars: int = 1_500
     cache_entries: int = 1_000
     cache_seconds: int = 86_400
+    #: words of the site's own name, which name nothing in questions and titles
+    site_words: tuple[str, ...] = ()
     # service
     question_chars: int = 2_000
     session_idle: str = "30 minutes"

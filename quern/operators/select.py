@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quern.config import DEFAULTS
+from quern.config import DEFAULTS, Config
+from quern.functions.text import codes, name_runs
 
 
 def score_threshold(ranked: DataFrame, least: float, min_kept: int = DEFAULTS.min_kept) -> DataFrame:
@@ -56,31 +57,37 @@ def _frame(pdf, rows):
     return out[["query_id", "key", "score", "final_rank"]]
 
 
-def fan_in_key(question: Column) -> Column:
-    """What several sources may mention: a course code, else the longest capitalised run of two words or
-    more; null if there is neither."""
-    code = F.regexp_extract(question, r"\b([A-Z]{2,4} ?[0-9]{4})\b", 1)
-    runs = F.regexp_extract_all(question, F.lit(r"(?U)\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+"), F.lit(0))
+def fan_in_key(question: Column, site: tuple[str, ...] = ()) -> Column:
+    """What several sources may mention: the first code, else the longest capitalised run of two words or
+    more that aren't noise (the first, if several are as long); null if there is neither."""
+    runs = F.transform(F.filter(name_runs(question, site), lambda w: F.size(w) >= 2), lambda w: F.array_join(w, " "))
     longest = F.aggregate(runs, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    return F.coalesce(F.nullif(code, F.lit("")), F.nullif(longest, F.lit("")))
+    return F.coalesce(F.get(codes(question), F.lit(0)), F.nullif(longest, F.lit("")))
 
 
-def _fan_in(rows: list[dict], top_k: int, sources: int) -> list[dict]:
+def _fan_in(rows: list[dict], top_k: int, sources: int) -> tuple[list[dict], int]:
+    """The chosen rows and the number of swaps. A source that is held already, whether by a row that
+    mentions the key or not, gets no other row."""
     chosen, rest = rows[:top_k], rows[top_k:]
-    held = {r["source"] for r in chosen if r["mentions"]}
+    held, swaps = {r["source"] for r in chosen}, 0
+    found = len({r["source"] for r in chosen if r["mentions"]})
     for candidate in [r for r in rest if r["mentions"]]:
-        if len(held) >= sources:
+        if found >= sources:
             break
         if candidate["source"] in held:
             continue
         idle = [i for i in range(len(chosen) - 1, -1, -1) if not chosen[i]["mentions"]]
-        many = [i for i in idle if sum(r["source"] == chosen[i]["source"] for r in chosen) > 1]
         if not idle:
             break
-        chosen[(many or idle)[0]] = candidate
+        many = [i for i in idle if sum(r["source"] == chosen[i]["source"] for r in chosen) > 1]
+        out = (many or idle)[0]
+        held.discard(chosen[out]["source"])
+        del chosen[out]
+        chosen.append(candidate)
         held.add(candidate["source"])
+        found, swaps = found + 1, swaps + 1
         chosen.sort(key=lambda r: -r["score"])
-    return chosen
+    return chosen, swaps
 
 
 def fan_in(pool: DataFrame, top_k: int = DEFAULTS.top_k, sources: int = DEFAULTS.fan_in_sources) -> DataFrame:
@@ -90,6 +97,6 @@ def fan_in(pool: DataFrame, top_k: int = DEFAULTS.top_k, sources: int = DEFAULTS
 
     def pick(pdf):
         rows = pdf.sort_values(["score", "pool_rank"], ascending=[False, True]).to_dict("records")
-        return _frame(pdf, _fan_in(rows, top_k, sources))
+        return _frame(pdf, _fan_in(rows, top_k, sources)[0])
 
     return pool.groupBy("query_id").applyInPandas(pick, "query_id long, key long, score double, final_rank int")

@@ -164,9 +164,10 @@ def test_quota_covers_each_sub_query(drawn):
 def test_fan_in_brings_sources_that_mention_the_key():
     rows = [{"key": i, "source": "s0", "mentions": False, "score": 100 - i} for i in range(10)]
     rows += [{"key": 20 + i, "source": f"m{i % 4}", "mentions": True, "score": 50 - i} for i in range(8)]
-    chosen = select._fan_in(list(rows), 10, 6)
+    chosen, swaps = select._fan_in(list(rows), 10, 6)
+    assert swaps == 4
     assert len(chosen) == 10 and {r["source"] for r in chosen if r["mentions"]} == {"m0", "m1", "m2", "m3"}
-    assert select._fan_in(rows[:10], 10, 6) == rows[:10]
+    assert select._fan_in(rows[:10], 10, 6) == (rows[:10], 0)
 
 
 def test_threshold(spark):
@@ -178,16 +179,23 @@ def test_threshold(spark):
 
 
 def test_names(spark):
-    names = spark.createDataFrame([("ann lee", "Ann Lee"), ("ann lee smith", "Ann Lee Smith")], "key string, label string")
-    asked = spark.createDataFrame([(1, "Does Ann Lee Smith Jones teach?"), (2, "Where is Ann Lee now")], "query_id long, question string")
-    assert {r["query_id"]: r["label"] for r in entities.detect_longest(asked, names).collect()} == {1: "Ann Lee Smith", 2: "Ann Lee"}
+    people = spark.createDataFrame([(n.lower(), n, f"s{i}", i) for i, n in enumerate(("Ann Lee", "Ann Lee Smith", "Sean O'Brien", "Bo Alards-Tomalin"))], "key string, name string, source string, seq long")
+    index = entities.Entities(spark.createDataFrame([("AATE 1GAP", "s9", 9)], "key string, source string, seq long"), spark.createDataFrame([("civil science", ["civil", "science"], "s8", 8)], "label string, words array<string>, source string, seq long"), people)
+    questions = ["Does Ann Lee Smith Jones teach?", "Where is Ann Lee now", "What Does Sean O'Brien say of aate 1gap, top 1000", "Who is Bo Alards-Tomalin", "the science of a civil war, Ann", "AATE-1GAP, Ann Lee, Sean O'Brien and civil science"]
+    found = entities.detect(spark.createDataFrame(list(enumerate(questions)), "query_id long, question string"), index).orderBy("query_id", "entity_rank").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], []).append(r["label"])
+    assert got == {0: ["Ann Lee Smith"], 1: ["Ann Lee"], 2: ["AATE 1GAP", "Sean O'Brien"], 3: ["Bo Alards-Tomalin"], 4: ["civil science"], 5: ["AATE 1GAP", "Ann Lee", "Sean O'Brien"]}
     people = spark.createDataFrame([("Ann Lee Smith",), ("Bo Lee Smith",), ("Ann Lee Fox",), ("Bo Smith",)], "name string")
     assert {tuple(r) for r in entities.aliases(people).collect()} == {("ann smith", "Ann Lee Smith"), ("ann fox", "Ann Lee Fox"), ("bo lee", "Bo Lee Smith")}
 
 
 def test_person_index(spark):
-    rows = spark.createDataFrame([("a", 0, "x\n### Instructor\n\nAnn Lee\n"), ("b", 0, "### Instructor Details\nann lee\n### Instructor\nANN LEE\n")], "source string, seq int, text string")
-    assert [tuple(r) for r in entities.person_index(rows, F.col("text")).collect()] == [("ann lee", "Ann Lee", ["a", "b"])]
+    texts = [("a", 0, "x\n### Instructor\nAnn Lee\n"), ("b", 1, "### Instructor Details\nName | ANN LEE | x\n### Instructor\nann lee"), ("c", 2, "### Instructor Details \nName |  Bo De Vries \n"), ("d", 3, "Program Head Ann Lee"), ("e", 4, "### Instructor\nInstructor to provide")]
+    rows = spark.createDataFrame(texts, "source string, seq int, text string")
+    got = sorted(tuple(r) for r in entities.person_index(rows, F.col("text")).collect())
+    assert got == [("ann lee", "Ann Lee", "a", 0), ("ann lee", "Ann Lee", "b", 1), ("bo de vries", "Bo De Vries", "c", 2)]
 
 
 # control and evaluation
