@@ -69,26 +69,62 @@ def context_budget(table, spark):
     return found.select("doc_id", "source", F.length("cut").cast("long").alias("n"), "so_far")
 
 
+def chosen(table):
+    rows = chunks(table).join(lexical.bounded(hits(table)), "doc_id")
+    return rows.select("query_id", "rank", "source", "page_content", F.concat(F.lit("https://x.org/"), "source").alias("url"), F.lit("a title").alias("title"), F.concat(F.lit("file"), F.regexp_extract("source", "([0-9]+)", 1)).alias("filename"), F.lit("page").alias("category"))
+
+
 @query()
 def context_render(table, spark):
-    rows = chunks(table)
-    chosen = rows.join(F.broadcast(hits(table)), "doc_id").select("query_id", "rank", "source", "page_content")
-    return context.render(chosen, rows)
+    return context.render(chosen(table), chunks(table))
+
+
+#: Without a limit that binds: blocks of sources in the order in which they are first chosen, runs of neighbours in each.
+#: Neighbours are whole documents between marks of their own, so that they share no text at their ends.
+RENDER_SQL = HITS_SQL + NEAR_SQL + """, firsts AS (SELECT query_id, source, min(rank) AS first_rank FROM hits JOIN chunks USING (doc_id) GROUP BY ALL),
+isles AS (SELECT query_id, source, chunk_index, '<' || doc_id || '>' || page_content || '<' || doc_id || '>' AS page_content, chunk_index - row_number() OVER (PARTITION BY query_id, source ORDER BY chunk_index) AS island FROM near JOIN chunks USING (source, chunk_index)),
+bodies AS (SELECT query_id, source, min(chunk_index) AS pos, string_agg(page_content, chr(10) ORDER BY chunk_index) AS body FROM isles GROUP BY query_id, source, island),
+texts AS (SELECT query_id, source, string_agg(body, chr(10) || '[...]' || chr(10) ORDER BY pos) AS body FROM bodies GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) AS i FROM texts JOIN firsts USING (query_id, source))
+SELECT query_id, md5(chr(10) || chr(10) || string_agg('Document ' || i || ': [URL: https://x.org/' || source || ']' || chr(10) || 'Filename: file' || regexp_extract(source, '([0-9]+)', 1) || chr(10) || 'Category: page' || chr(10) || chr(10) || body, chr(10) || chr(10) || repeat('-', 60) || chr(10) || chr(10) ORDER BY i)) AS digest, count(*) AS sources FROM numbered GROUP BY query_id"""
+
 
+@query(RENDER_SQL)
+def context_render_whole(table, spark):
+    own = F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit(">"))
+    rows = chunks(table).withColumn("page_content", F.concat(own, "page_content", own))
+    names = [F.concat(F.lit("https://x.org/"), "source").alias("url"), F.concat(F.lit("file"), F.regexp_extract("source", "([0-9]+)", 1)).alias("filename"), F.lit("page").alias("category")]
+    picked = rows.join(lexical.bounded(hits(table)), "doc_id").select("query_id", "rank", "source", "page_content", *names)
+    found = context.render(picked, rows, limit=1 << 30)
+    return found.select("query_id", F.md5("context").alias("digest"), F.col("sources").cast("long").alias("sources"))
 
-@query(HITS_SQL + """, s AS (SELECT DISTINCT query_id, source FROM hits JOIN chunks USING (doc_id)), t AS (SELECT source, min(lang) AS text FROM documents GROUP BY ALL)
-SELECT query_id, string_agg(source || chr(10) || text, chr(10) || repeat('-', 40) || chr(10) ORDER BY source) AS context FROM s JOIN t USING (source) GROUP BY ALL""")
+
+@query(HITS_SQL + """, s AS (SELECT DISTINCT query_id, 's' || doc_id AS source, lang, source AS url, text FROM hits JOIN documents USING (doc_id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source) AS i FROM s)
+SELECT query_id, chr(10) || chr(10) || repeat('-', 60) || chr(10) || chr(10) || string_agg('Document ' || i || ': [URL: ' || url || ']' || chr(10) || 'Filename: ' || source || '.txt' || chr(10) || 'Category: ' || lang || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY i) AS context FROM n WHERE text <> '' GROUP BY query_id""")
 def context_full_documents(table, spark):
-    chosen = chunks(table).join(F.broadcast(hits(table)), "doc_id").select("query_id", "source")
-    return context.full_documents(chosen, table("documents").groupBy("source").agg(F.min("lang").alias("text")))
+    """The whole texts of the best documents, each a file of its own."""
+    source = F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source")
+    files = table("documents").select(source, "text", F.col("source").alias("url"), F.lit(None).cast("string").alias("title"), F.concat(source, F.lit(".txt")).alias("filename"), F.col("lang").alias("category"))
+    return context.full_documents(hits(table).select("query_id", source), files)
+
+
+#: Two of the fields that a controller looks for stand before each text, one of them in every second twice.
+FIELDS = "'Course Credits | ' || (doc_id % 5) || chr(10) || 'Name |  A  B' || (doc_id % 2) || chr(10) || 'Other | x' || chr(10)"
 
 
-@query(HITS_SQL + f""", f AS (SELECT query_id, source, min(rank) AS first_rank, count(*) AS chunks, arg_min(page_content, rank) AS t FROM hits JOIN chunks USING (doc_id) GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_rank, source) AS place FROM f)
-SELECT query_id, source, place, chunks, left(trim(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), {DEFAULTS.digest_chars}) AS head FROM p WHERE place <= {DEFAULTS.digest_sources}""")
+@query(HITS_SQL + f""", t AS (SELECT query_id, rank, source, {FIELDS} || page_content AS t, doc_id FROM hits JOIN chunks USING (doc_id)),
+f AS (SELECT query_id, source, min(rank) AS first_rank, count(*) AS chunks, arg_min(t, rank) AS t FROM t GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_rank, source) AS place FROM f),
+v AS (SELECT query_id, source, field, min(pos) AS pos FROM (
+  SELECT query_id, source, 'Course Credits | ' || (doc_id % 5) AS field, rank * 10 AS pos FROM t UNION ALL SELECT query_id, source, 'Name | A B' || (doc_id % 2), rank * 10 + 1 FROM t) GROUP BY ALL),
+g AS (SELECT query_id, source, string_agg(field, '; ' ORDER BY pos) AS fields FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY pos) AS n FROM v) WHERE n <= {DEFAULTS.digest_fields} GROUP BY ALL)
+SELECT query_id, source, place, chunks, left(trim(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), {DEFAULTS.digest_chars}) AS head, fields FROM p JOIN g USING (query_id, source) WHERE place <= {DEFAULTS.digest_sources}""")
 def evidence_digest(table, spark):
-    rows = chunks(table).join(F.broadcast(hits(table)), "doc_id")
-    return context.digest(rows, F.col("page_content"), ["Credits", "Term", "Cost"]).drop("fields")
+    d = F.col("doc_id")
+    rows = chunks(table).join(lexical.bounded(hits(table)), "doc_id")
+    text = F.concat(F.lit("Course Credits | "), (d % 5).cast("string"), F.lit("\nName |  A  B"), (d % 2).cast("string"), F.lit("\nOther | x\n"), "page_content")
+    return context.digest(rows, text)
 
 
 @query("""SELECT source, count(*) AS chunks, count(DISTINCT k) AS short_keys, count(DISTINCT f) AS full_keys FROM (SELECT source, source || '::' || left(text, 200) AS k, source || '::' || md5(text) AS f FROM documents) GROUP BY source""")
@@ -107,8 +143,12 @@ def session_window_turns(table, spark):
     return control.history(table("conversations").where("role <> 'system'"), DEFAULTS.history_turns)
 
 
-@query(f"""WITH v AS (SELECT conv_id, turn, text || chr(10) || '**Sources**: [1] x' AS a, regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS s FROM conversations WHERE role = 'assistant' AND text <> '' AND NOT regexp_matches(text, '(?i)\\n[ \\t*#]*sources'))
-SELECT conv_id, turn, CASE WHEN s = '' THEN left(a, {DEFAULTS.history_answer_chars}) WHEN length(s) > {DEFAULTS.history_answer_chars} THEN left(s, {DEFAULTS.history_answer_chars}) || ' ...' ELSE s END AS view FROM v""")
+VIEW_SQL = """WITH v AS (SELECT conv_id, turn, text || chr(10) || '**Sources**: [1] x' AS a FROM conversations WHERE role = 'assistant'),
+s AS (SELECT *, regexp_replace(regexp_replace(a, '(?is)\\n[ \\t*#]*Sources[ \\t*#]*:?.*\\z', ''), '[ \\t\\n\\x0B\\f\\r]+\\z', '') AS s FROM v)"""
+
+
+@query(f"""{VIEW_SQL}
+SELECT conv_id, turn, CASE WHEN s = '' THEN left(a, {DEFAULTS.history_answer_chars}) WHEN length(s) > {DEFAULTS.history_answer_chars} THEN regexp_replace(left(s, {DEFAULTS.history_answer_chars}), '[ \\t\\n\\x0B\\f\\r]+\\z', '') || ' ...' ELSE s END AS view FROM s""")
 def history_view(table, spark):
     said = table("conversations").where("role = 'assistant'")
     return said.select("conv_id", "turn", tx.history_view(F.concat("text", F.lit("\n**Sources**: [1] x")), DEFAULTS.history_answer_chars).alias("view"))

@@ -30,10 +30,10 @@ def normalise_question(text: Column) -> Column:
 
 
 def normalise_answer(text: Column) -> Column:
-    """For matching facts: lower case, one kind of dash, no commas, a hyphen between digit and letter
-    is a space, single spaces."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "‐‑–,", "---")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "([0-9])-([a-z])", "$1 $2"), r"[ \t\n\x0B\f\r]+", " "))
+    """For matching facts: lower case, one kind of dash for three, no commas, a hyphen between digit and
+    letter is a space, single spaces (also at the ends)."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "–—‑,", "---")
+    return F.regexp_replace(F.regexp_replace(plain, "(?<=[0-9])-(?=[a-z])", " "), r"(?U)\s+", " ")
 
 
 def normalise_url(url: Column) -> Column:
@@ -73,8 +73,9 @@ def cited_urls(answer: Column) -> Column:
 
 def history_view(answer: Column, most: int) -> Column:
     """An earlier answer as later turns see it: no closing list of sources, cut to length."""
-    stripped = F.regexp_replace(F.regexp_replace(answer, r"(?is)\n[ \t*#]*Sources[ \t*#]*:?.*\z", ""), r"\A\s+|\s+\z", "")
-    cut = F.when(F.length(stripped) > most, F.concat(F.substring(stripped, 1, most), F.lit(" ..."))).otherwise(stripped)
+    trimmed = lambda t: F.regexp_replace(t, r"(?U)\s+\z", "")
+    stripped = trimmed(F.regexp_replace(answer, r"(?is)\n[ \t*#]*Sources[ \t*#]*:?.*\z", ""))
+    cut = F.when(F.length(stripped) > most, F.concat(trimmed(F.substring(stripped, 1, most)), F.lit(" ..."))).otherwise(stripped)
     return F.when(stripped == "", F.substring(answer, 1, most)).otherwise(cut)
 
 

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.config import DEFAULTS, Config
+from quern.operators.lexical import bounded
 
 #: Between runs of chunks that aren't neighbours.
 GAP = "\n[...]\n"
+#: Between sources.
+RULE = "-" * 60
+BETWEEN = f"\n\n{RULE}\n\n"
+#: Labels of the fields that a digest shows.
+LABELS = ("Prerequisite(s)", "Corequisite(s)", "Course Credits", "Course Level", "Name", "Credits")
+#: What else is known of a source.
+ABOUT = ("title", "url", "filename", "category")
 #: Longest and shortest text that two neighbours may share.
-MOST_SHARED, LEAST_SHARED = 200, 10
+MOST_SHARED, LEAST_SHARED = DEFAULTS.chunk_overlap + 70, 10
 
 
 def first_ordinal(chunks: DataFrame) -> DataFrame:
@@ -61,7 +71,7 @@ def _consecutive(ordinals: list[int]) -> list[list[int]]:
 
 
 def render_sources(sources: list[dict], limit: int, radius: int) -> tuple[str, dict]:
-    """sources, in rank order: {source, title, url, chosen: ordinals, near: text by ordinal, loose: texts}.
+    """sources, in rank order: {source, ABOUT, chosen: ordinals, near: text by ordinal, loose: texts}.
     Neighbours go first, from the last source up; then sources, from the last; then the end is cut."""
     radii = [radius] * len(sources)
 
@@ -70,8 +80,10 @@ def render_sources(sources: list[dict], limit: int, radius: int) -> tuple[str, d
         for i, s in enumerate(sources[:kept]):
             wanted = {o for c in s["chosen"] for o in range(c - radii[i], c + radii[i] + 1) if o in s["near"]}
             bodies = [merge_run([s["near"][o] for o in run]) for run in _consecutive(list(wanted))] + s["loose"]
-            parts.append(f"\n[{i + 1}] {s['title'] or s['source']}\n{s['url'] or ''}\n" + GAP.join(bodies) + "\n")
-        return "".join(parts)
+            title, url, filename, category = (s.get(c) for c in ABOUT)
+            about = f" [URL: {url}]" if url else f" [Title: {title}]" if title else ""
+            parts.append(f"Document {i + 1}:{about}\nFilename: {filename or 'N/A'}\nCategory: {category or 'N/A'}\n\n" + GAP.join(bodies))
+        return "\n\n" + BETWEEN.join(parts)
 
     kept, text = len(sources), render(len(sources))
     while len(text) > limit:
@@ -89,16 +101,21 @@ def render_sources(sources: list[dict], limit: int, radius: int) -> tuple[str, d
 
 
 def render(chosen: DataFrame, chunks: DataFrame, config: Config = DEFAULTS, limit: int | None = None) -> DataFrame:
-    """chosen (query_id, rank, source, page_content), chunks (source, chunk_index, page_content): ->
-    (query_id, context, chunks, sources, misses, chars). A question's group holds its chosen chunks and
-    their neighbours, at most hop_chunks * (2 * radius + 1) rows."""
-    places = first_ordinal(chunks)
-    held = chosen.select("query_id", "rank", "source", "page_content", F.md5("page_content").alias("digest")).join(places, ["source", "digest"], "left")
+    """chosen (query_id, rank, source, page_content, and ABOUT, as far as known), chunks (source,
+    chunk_index, page_content): -> (query_id, context, chunks, sources, misses, chars). A question's group
+    holds its chosen chunks and their neighbours, at most hop_chunks * (2 * radius + 1) rows."""
+    about = [F.col(c).cast("string").alias(c) if c in chosen.columns else F.lit(None).cast("string").alias(c) for c in ABOUT]
+    held = chosen.select("query_id", "rank", F.col("source").cast("string").alias("source"), "page_content", F.md5("page_content").alias("digest"), *about)
+    texts = chunks.select(F.col("source").cast("string").alias("source"), "chunk_index", "page_content")
+    wanted = held.select("source", "digest").distinct()
+    places = first_ordinal(texts.join(bounded(wanted.select("source").distinct()), "source", "left_semi"))
+    held = held.join(places, ["source", "digest"], "left")
     span = F.sequence(F.col("chunk_index") - config.radius, F.col("chunk_index") + config.radius)
     wanted = held.where("chunk_index is not null").select("query_id", "source", F.explode(span).alias("chunk_index")).distinct()
-    near = wanted.join(chunks.select("source", "chunk_index", "page_content"), ["source", "chunk_index"])
-    none = F.lit(None).cast("int")
-    rows = held.select("query_id", "source", "rank", F.col("chunk_index").cast("int"), "page_content").unionByName(near.select("query_id", "source", none.alias("rank"), F.col("chunk_index").cast("int"), "page_content"))
+    near = texts.join(bounded(wanted), ["source", "chunk_index"])
+    none = F.lit(None).cast("string")
+    rows = held.select("query_id", "source", F.col("rank").cast("int").alias("rank"), F.col("chunk_index").cast("int"), "page_content", *ABOUT)
+    rows = rows.unionByName(near.select("query_id", "source", F.lit(None).cast("int").alias("rank"), F.col("chunk_index").cast("int"), "page_content", *(none.alias(c) for c in ABOUT)))
     most = limit or config.context_chars
 
     def one(pdf):
@@ -107,21 +124,28 @@ def render(chosen: DataFrame, chunks: DataFrame, config: Config = DEFAULTS, limi
         picked = pdf[pdf["rank"].notna()].sort_values("rank")
         around = pdf[pdf["rank"].isna()]
         sources = []
-        for source in dict.fromkeys(picked["source"]):
+        for source in dict.fromkeys(picked["source"].dropna()):
             own, wide = picked[picked["source"] == source], around[around["source"] == source]
             lost = own["chunk_index"].isna()
-            sources.append({"source": source, "title": None, "url": None, "chosen": list(dict.fromkeys(own[~lost]["chunk_index"].astype(int))), "near": dict(zip(wide["chunk_index"].astype(int), wide["page_content"])), "loose": own[lost]["page_content"].tolist()})
+            known = {c: own[c].iloc[0] for c in ABOUT}
+            sources.append({"source": source, **{c: None if pd.isna(x) else x for c, x in known.items()}, "chosen": list(dict.fromkeys(own[~lost]["chunk_index"].astype(int))), "near": dict(zip(wide["chunk_index"].astype(int), wide["page_content"])), "loose": own[lost]["page_content"].tolist()})
         text, stats = render_sources(sources, most, config.radius)
-        return pd.DataFrame([{"query_id": pdf["query_id"].iloc[0], "context": text, **stats}])
+        return pd.DataFrame([{"query_id": pdf["query_id"].iloc[0], "context": text, **stats, "chunks": len(picked)}])
 
     return rows.groupBy("query_id").applyInPandas(one, "query_id long, context string, chunks int, sources int, misses int, chars int")
 
 
 def full_documents(chosen: DataFrame, sources: DataFrame) -> DataFrame:
-    """chosen (query_id, source), sources (source, text): the whole texts of each question's sources, in
-    their order, with a rule between them."""
-    texts = chosen.distinct().join(sources, "source", "left").select("query_id", F.struct("source", F.coalesce("text", F.lit("")).alias("text")).alias("s"))
-    return texts.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.concat(s["source"], F.lit("\n"), s["text"])), "\n" + "-" * 40 + "\n").alias("context"))
+    """chosen (query_id, source), sources (source, text, and ABOUT): the whole texts of each question's
+    sources, numbered in their order; sources without text are left out. A rule stands before the first
+    only, and blank lines between them."""
+    own = chosen.select("query_id", "source").distinct()
+    own = own.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy("source")))
+    rows = own.join(sources, "source").where("text <> ''")
+    about = F.when(F.col("url") != "", F.concat(F.lit(" [URL: "), "url", F.lit("]"))).when(F.col("title") != "", F.concat(F.lit(" [Title: "), "title", F.lit("]"))).otherwise("")
+    block = F.concat(F.lit("Document "), F.col("i").cast("string"), F.lit(":"), about, F.lit("\nFilename: "), F.coalesce("filename", F.lit("N/A")), F.lit("\nCategory: "), F.coalesce("category", F.lit("N/A")), F.lit("\n\n"), "text")
+    texts = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("i", block.alias("block")))).alias("b"))
+    return texts.select("query_id", F.concat(F.lit(BETWEEN), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")).alias("context"))
 
 
 def numbered(parts: Column) -> Column:
@@ -130,13 +154,30 @@ def numbered(parts: Column) -> Column:
     return F.when(F.size(parts) > 1, listed).otherwise("")
 
 
-def digest(rows: DataFrame, text: Column, labels: list[str], config: Config = DEFAULTS) -> DataFrame:
+def digest(rows: DataFrame, text: Column, labels: tuple[str, ...] = LABELS, config: Config = DEFAULTS) -> DataFrame:
     """rows (query_id, rank, source): what a controller sees of the evidence, by source in the order in
-    which they first come: its number of chunks, the head of its first chunk, `label | value` fields."""
-    field = "(?m)^[ ]*(" + "|".join(labels) + r")[ ]*\|[ ]*([^\n]+)$"
+    which they first come: its number of chunks, the head of its first chunk, and the first different
+    `label | value` fields of all its chunks."""
+    field = r"(?m)^(" + "|".join(re.escape(x) for x in labels) + r")\s*\|\s*(.+)$"
+    blanks = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^ | $", "")
+    value = lambda m: F.concat(F.regexp_extract(m, field, 1), F.lit(" | "), F.substring(blanks(F.regexp_extract(m, field, 2)), 1, 160))
+    fields = F.transform(F.regexp_extract_all(text, F.lit(field), F.lit(0)), value)
     of = rows.withColumn("t", text).groupBy("query_id", "source").agg(
         F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("chunks"), F.min_by("t", "rank").alias("t"),
-        F.array_distinct(F.flatten(F.array_sort(F.collect_list(F.transform(F.regexp_extract_all(text, F.lit(field), F.lit(0)), lambda x: F.substring(F.trim(x), 1, 160)))))).alias("fields"))
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", fields.alias("f")))), lambda x: x["f"]))).alias("fields"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("first_rank", "source"))
-    head = F.substring(F.trim(F.regexp_replace("t", r"\s+", " ")), 1, config.digest_chars)
+    head = F.substring(blanks(F.col("t")), 1, config.digest_chars)
     return of.withColumn("place", place).where(F.col("place") <= config.digest_sources).select("query_id", "source", "place", "chunks", head.alias("head"), F.array_join(F.slice("fields", 1, config.digest_fields), "; ").alias("fields"))
+
+
+def evidence(digested: DataFrame, totals: DataFrame) -> DataFrame:
+    """digest() as one text for each question: (query_id, evidence); totals (query_id, chunks, sources,
+    sub_queries array): of all its evidence, that which a digest doesn't show included."""
+    fields = F.transform(F.filter(F.split("fields", "; "), lambda f: f != ""), lambda f: F.concat(F.lit("    "), f))
+    line = F.concat_ws("\n", F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), F.col("source").cast("string")), F.array_join(F.transform(fields, lambda f: f), "\n"), F.concat(F.lit("    ("), F.col("chunks").cast("string"), F.lit(" chunks) "), "head"))
+    lines = digested.withColumn("line", F.regexp_replace(line, "\n\n", "\n")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("l"), F.count(F.lit(1)).alias("shown"))
+    shown = F.when(F.col("shown") < F.col("sources"), F.concat(F.lit(" (showing "), F.col("shown").cast("string"), F.lit(")"))).otherwise("")
+    asked = F.when(F.size("sub_queries") > 0, F.concat(F.lit("; asked: "), F.array_join("sub_queries", " / "))).otherwise("")
+    head = F.concat(F.col("chunks").cast("string"), F.lit(" chunks of "), F.col("sources").cast("string"), F.lit(" pages"), shown, asked)
+    both = totals.join(lines, "query_id", "left")
+    return both.select("query_id", F.when(F.col("l").isNull(), "(nothing retrieved yet)").otherwise(F.concat(head, F.lit("\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))).alias("evidence"))

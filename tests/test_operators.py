@@ -83,7 +83,7 @@ def test_context_stays_within_its_budget(n, limit):
     text, stats = context.render_sources(sources, limit, 2)
     assert len(text) == stats["chars"] <= limit and 1 <= stats["sources"] <= n
     whole, _ = context.render_sources(sources, 10**6, 2)
-    assert whole.startswith("\n[1] s0") and whole.count("[...]") == n
+    assert whole.startswith("\n\nDocument 1:\nFilename: N/A\nCategory: N/A\n\ntext 0 of 0") and whole.count("[...]") == n
 
 
 def test_runs_and_neighbours(spark):
