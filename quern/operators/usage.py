@@ -61,15 +61,19 @@ def lru(lookups: list[tuple], most: int = DEFAULTS.cache_entries, seconds: int =
     return out
 
 
-def mined(questions: DataFrame, known: DataFrame) -> DataFrame:
-    """questions (question, ts, failed, down), known (question): -> candidates for a golden set, grouped by
-    normalised question, without known and empty ones: (candidate, key, n, first_seen, last_seen, down,
-    failed), those that were voted down first, then failed ones, then frequent ones."""
+def mined(questions: DataFrame, known: DataFrame, downs: DataFrame) -> DataFrame:
+    """questions (question, ts, failed, seq, ...), known (question), downs (question): -> candidates for a
+    golden set, grouped by normalised question, without known and empty ones: (candidate, key, n,
+    first_seen, last_seen, down, failed, first: the fields of the first row), those that were voted down
+    first, then failed ones, then frequent ones."""
+    keys = lambda df: df.select(normalise_question(F.col("question")).alias("key")).distinct()
     keyed = questions.withColumn("key", normalise_question(F.col("question"))).where("key <> ''")
-    new = keyed.join(known.select(normalise_question(F.col("question")).alias("key")).distinct(), "key", "left_anti")
-    of = new.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("down").alias("down"), F.max("failed").alias("failed"))
-    order = [F.desc("down"), F.desc("failed"), F.desc("n"), "last_seen", "key"]
-    return of.withColumn("candidate", F.concat(F.lit("cand-"), F.lpad(F.row_number().over(Window.orderBy(*order)).cast("string"), 6, "0")))
+    new = keyed.join(keys(known), "key", "left_anti")
+    first = F.min_by(F.struct(*questions.columns), F.struct("ts", "seq")).alias("first")
+    of = new.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("failed").alias("failed"), first)
+    of = of.join(keys(downs).withColumn("down", F.lit(1)), "key", "left").withColumn("down", F.coalesce("down", F.lit(0)))
+    place = F.row_number().over(Window.orderBy(F.desc("down"), F.desc("failed"), F.desc("n"), "last_seen", "key"))
+    return of.withColumn("candidate", F.format_string("cand-%03d", place))
 
 
 def rolling(events: DataFrame, ts: str, by: list[str], length: str, every: str) -> DataFrame:
