@@ -191,9 +191,21 @@ def missing_is_concrete(table, spark):
 
 @query()
 def controller_loop(table, spark):
-    """All passages as questions, in passes: those whose evidence lacks a word of theirs go on."""
+    """All passages as questions that name two codes, one of them nowhere, and some greetings: which way they
+    go. The evidence is the digest of the best documents."""
     index = lexical.build(table("documents"), F.col("text"))
-    return control.run(spark, questions(table), lambda asked: lexical.top(lexical.score(index, asked, F.col("text")), DEFAULTS.top_k))
+    asked = questions(table).withColumn("text", F.when(F.col("query_id") % 5 == 0, "Thanks!").when(F.col("query_id") % 7 == 0, " ").otherwise(F.concat(F.lit("ABCD 1234: "), "text")))
+
+    def search(going, hop):
+        what = going.select("query_id", F.when(F.size("queries") > 0, F.array_join("queries", " ")).otherwise(F.col("text")).alias("text"))
+        return lexical.top(lexical.score(index, what, F.col("text")), DEFAULTS.top_k).withColumnRenamed("doc_id", "key")
+
+    def evidence(held):
+        rows = table("documents").withColumnRenamed("doc_id", "key").join(lexical.bounded(held), "key").select("query_id", F.col("merged_rank").alias("rank"), "source", "text")
+        totals = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("source").alias("sources")).withColumn("sub_queries", F.array().cast("array<string>"))
+        return context.evidence(context.digest(rows, F.col("text")), totals)
+
+    return control.run(asked, control.lexical_controller, search, evidence).routes
 
 
 @query()
@@ -201,6 +213,20 @@ def answer_batch(table, spark):
     """All passages as questions through the whole flow over all documents."""
     from quern.plans import retrieval
 
-    index = retrieval.build(spark, table("documents").select(F.col("doc_id").alias("source"), "text"))
-    found = retrieval.answer(spark, index, questions(table))
+    engine = retrieval.build(table("documents").select(F.col("doc_id").alias("source"), "text"))
+    found = retrieval.answer(engine, questions(table))
     return found.select("query_id", "chunks", "sources", "misses", "chars", F.length("answer").alias("answer_chars"))
+
+
+@query("""WITH p AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS hop, event_id FROM events)
+SELECT query_id, sum(event_id % 40)::BIGINT AS n_candidates, sum(event_id % 3)::BIGINT AS n_scoped, sum(event_id % 2)::BIGINT AS n_rerank_calls, sum(event_id % 5)::BIGINT AS fanin_swaps, arg_max(event_id % 7 = 0, hop) AS rerank_skipped, arg_max((event_id % 11) / 10, hop) AS pool_consensus, count(*) AS passes FROM p GROUP BY query_id""")
+def hop_stats(table, spark):
+    e = F.col("event_id")
+    rows = table("events").select(F.col("user_id").alias("query_id"), e.alias("hop"), (e % 40).alias("n_candidates"), (e % 3).alias("n_scoped"), (e % 2).alias("n_rerank_calls"), (e % 5).alias("fanin_swaps"), (e % 7 == 0).alias("rerank_skipped"), ((e % 11) / 10).alias("pool_consensus"))
+    return control.hop_stats(rows)
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Ada' WHEN turn % 3 = 1 THEN 'Nobody' END AS answer FROM conversations WHERE role = 'user'""")
+def fixed_answers(table, spark):
+    asked = F.when(F.col("turn") % 3 == 0, "  who is the BEST teacher? ").when(F.col("turn") % 3 == 1, "who is the worst teacher?").otherwise(F.col("text"))
+    return table("conversations").where("role = 'user'").select("conv_id", "turn", control.fixed_answer(asked, {"Who is the best teacher?": "Ada", "WHO IS THE WORST TEACHER?": "Nobody"}).alias("answer"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -70,3 +70,21 @@ class Config:
 
 
 DEFAULTS = Config()
+
+
+def from_env(environ: dict[str, str], prefix: str = "QUERN_") -> Config:
+    """Settings from an environment: PREFIX and a field's name in capitals. Numbers and flags (1, true, yes,
+    on) by the field's kind; "none" or nothing leaves the default; words of a list are apart by commas."""
+    found = {}
+    for field in fields(Config):
+        raw = environ.get(f"{prefix}{field.name.upper()}", "").strip()
+        if raw.lower() in ("", "none"):
+            continue
+        default = getattr(DEFAULTS, field.name)
+        if isinstance(default, bool):
+            found[field.name] = raw.lower() in ("1", "true", "yes", "on")
+        elif isinstance(default, tuple):
+            found[field.name] = tuple(x.strip() for x in raw.split(",") if x.strip())
+        else:
+            found[field.name] = type(default)(raw)
+    return replace(DEFAULTS, **found)

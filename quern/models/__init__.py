@@ -36,6 +36,11 @@ def subqueries(question: Column, most: int = 4) -> Column:
     return F.when(F.size(parts) > 0, F.slice(parts, 1, most)).otherwise(F.array(question))
 
 
+def rerank(question: Column, title: Column, text: Column) -> Column:
+    """The share of a question's distinct tokens that a chunk or its title has."""
+    return support(question, F.concat_ws(" ", title, text))
+
+
 def answer(chunks: Column, sources: Column) -> Column:
     """The first sentence of each chunk, then the sources."""
     said = F.array_join(F.transform(chunks, lambda c: F.split(c, r"(?<=[.!?])\s")[0]), " ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.config import DEFAULTS, Config
 
@@ -22,16 +22,29 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int, config: Config = DEFAULTS)
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def pool(lists: DataFrame, cap: int) -> DataFrame:
+def pool(lists: DataFrame, cap: Column | int, keep: tuple[str, ...] = ()) -> DataFrame:
     """lists (query_id, sub_idx, key, rank, fusion_score): -> (query_id, key, pool_rank, origins,
-    pool_fusion_score). Rank by rank over the sub-queries in turn; a key's first copy takes its place,
-    later ones add their origin and score; keys that come after the cap are dropped."""
-    first = F.min(F.struct("rank", "sub_idx")).alias("first")
-    keys = lists.groupBy("query_id", "key").agg(first, F.array_sort(F.collect_set("sub_idx")).alias("origins"), F.round(F.sum("fusion_score"), 9).alias("pool_fusion_score"))
+    pool_fusion_score, keep: of the first copy). Rank by rank over the sub-queries in turn; a key's first
+    copy takes its place, later ones add their origin and score; keys that come after the cap are dropped."""
+    at = F.struct("rank", "sub_idx")
+    keys = lists.groupBy("query_id", "key").agg(F.min(at).alias("first"), F.array_sort(F.collect_set("sub_idx")).alias("origins"), F.round(F.sum("fusion_score"), 9).alias("pool_fusion_score"), *(F.min_by(c, at).alias(c) for c in keep))
     order = Window.partitionBy("query_id").orderBy("first.rank", "first.sub_idx", "key")
     return keys.withColumn("pool_rank", F.row_number().over(order)).where(F.col("pool_rank") <= cap).drop("first")
 
 
+def prepend(lists: DataFrame, scoped: DataFrame, keys: tuple[str, ...] = ("query_id", "sub_idx")) -> DataFrame:
+    """lists (keys, key, rank, fusion_score, dense_rank, bm25_rank), scoped (keys, key, place, fusion_score):
+    the scoped rows that a list doesn't have yet go before it, each key once; scoped marks them."""
+    first = scoped.groupBy(*keys, "key").agg(F.min("place").alias("place"), F.min_by("fusion_score", "place").alias("fusion_score"))
+    fresh = first.join(lists.select(*keys, "key"), [*keys, "key"], "left_anti")
+    fresh = fresh.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("place", "key")))
+    more = fresh.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("more"))
+    after = lists.join(more, list(keys), "left").withColumn("rank", F.col("rank") + F.coalesce("more", F.lit(0)))
+    none = F.lit(None).cast("int")
+    columns = [*keys, "key", "rank", "fusion_score", "dense_rank", "bm25_rank"]
+    return after.select(*columns, F.lit(False).alias("scoped")).unionByName(fresh.select(*keys, "key", "rank", "fusion_score", none.alias("dense_rank"), none.alias("bm25_rank"), F.lit(True).alias("scoped")))
+
+
 def merge_hops(hops: DataFrame, cap: int = DEFAULTS.hop_chunks) -> DataFrame:
     """hops (query_id, hop, rank, key): the first copy of each key, by hop then rank, at most cap."""
     keys = hops.groupBy("query_id", "key").agg(F.min(F.struct("hop", "rank")).alias("at"))

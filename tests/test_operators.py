@@ -253,7 +253,7 @@ def test_lru(drawn, most):
 
 
 def test_page_text():
-    html = "<title>x</title><nav>no</nav><p>before</p><h1>Head</h1><script>var t='</p>'</script><p>a <b>bold<br> c<p>next &amp; last</p><ul><li>one<li>two <i>x</i></ul><dl><dt>t<dd>d</dl><table><tr><td>1</td><td></td><td>2</td></tr></table>bare<div class='ad big'><p>ad</p></div>"
+    html = "<title>x</title><nav>no</nav><p>before</p><h1>Head</h1><script>var t='</p>'</script><p>a <b>bold<br> c<p>next &amp; last</p><ul><li>one<li>two <i>x</i></ul><dl><dt>t<dd>d</dl><table><tr><td>1</td><td></td><td>2</td></tr></table>bare<div class='sidebar big'><p>ad</p></div>"
     assert ingest.page_text(html).split("\n") == ["## Head", "a bold c", "next & last", "- one", "- two x", "t: d", "1 | 2"]
     assert ingest.page_text(None) == ingest.page_text("") == ""
 
@@ -280,3 +280,73 @@ def test_feedback_and_frames(spark):
     assert [r["session_id"] for r in ingest.feedback(spark.createDataFrame([(x,) for x in lines], "value string")).collect()] == ["s"]
     got = one(spark, "event: delta\ndata: {1}\n\n: ping\n\nevent: done\r\ndata: {2}\r\n\r\nevent").select(ingest.frames(F.col("x"))).first()[0]
     assert [tuple(f) for f in got] == [("delta", "{1}"), ("done", "{2}")]
+
+
+def test_main_part_of_a_page():
+    page = "<body><div id='site-header'><h1>No</h1></div><p>out</p><article><h2>Art</h2><p>a</p></article><div id='main-content'><h1>Main <small>x</small></h1>bare<p>one</p><p class='breadcrumbs'>no</p><dl><dt>k</dt><dd>v</dd></dl></div></body>"
+    assert ingest.page_text(page).split("\n") == ["## Main x", "one", "k: v"]
+    assert ingest.page_text(page.replace("main-content", "other")).split("\n") == ["## Art", "a"]
+    assert ingest.page_text("<main><p>only</p>").split("\n") == ["only"]
+    assert ingest.page_text("<h3>T</h3><p>a\xa0 \xa0b<p>x<span>y</span>z</p>").split("\n") == ["### T", "a b", "x y z"]
+
+
+def test_fetch(spark):
+    calls = []
+
+    def get(url):
+        calls.append(url)
+        if "gone" in url:
+            return 404, ""
+        if "flaky" in url and calls.count(url) < 3:
+            raise OSError("no answer")
+        if "down" in url:
+            return 500, ""
+        return 200, f"body of {url}"
+
+    waits = []
+    got = [ingest.fetch(get, u, pause=waits.append) for u in ("a", "gone", "flaky", "down")]
+    assert [(r["body"], r["status"], r["tries"], r["error"]) for r in got] == [("body of a", 200, 1, None), (None, 404, 1, None), ("body of flaky", 200, 3, None), (None, None, 3, "HTTP 500")]
+    assert waits == [2, 4, 2, 4]
+    urls = spark.createDataFrame([(f"u{i}",) for i in range(7)], "url string")
+    rows = ingest.fetch_all(urls, lambda u: (404, "") if u == "u3" else (200, u), pause=lambda s: None).collect()
+    assert {r["url"]: r["body"] for r in rows} == {f"u{i}": None if i == 3 else f"u{i}" for i in range(7)}
+    counts, errors = ingest.crawl_report(spark.createDataFrame([("a",), ("a",), ("b",)], "category string"), spark.createDataFrame([("u", None), ("v", "HTTP 500")], "url string, error string"))
+    assert {tuple(r) for r in counts.collect()} == {("a", 2), ("b", 1), (None, 3)} and [r[0] for r in errors.collect()] == ["v\tHTTP 500"]
+
+
+def test_golden_and_people_files(spark, tmp_path):
+    (tmp_path / "g.jsonl").write_text('{"id": "mp-1", "question": "q", "key_facts": [["a", "b"], "c"]}\n{"id": "mp-2", "category": "x", "question": "r"}\n{"id": "fu-1", "category": "x", "question": "s"}\n')
+    ids = lambda **k: [r["id"] for r in ingest.golden(spark, str(tmp_path / "g.jsonl"), **k).collect()]
+    assert ids() == ["mp-1", "mp-2", "fu-1"] and ids(only="mp-") == ["mp-1", "mp-2"] and ids(category="x", limit=1) == ["mp-2"]
+    (tmp_path / "p.jsonl").write_text('{"id": "a", "person": "Ann Lee", "teaches": ["AB 1000"]}\n{"id": "b", "type": "name_lookup", "expect_name": "Bo"}\n')
+    assert [(r["id"], r["type"]) for r in ingest.people(spark, str(tmp_path / "p.jsonl"), str(tmp_path / "p.jsonl")).collect()] == [("a", "teaches"), ("b", "name_lookup")] * 2
+    path = str(tmp_path / "w")
+    ingest.write_worklist(spark.createDataFrame([("AB 10", "202430", "2", "n")], "course string, term string, crn string, name string"), path)
+    assert [tuple(r) for r in ingest.read_worklist(spark, path).collect()] == [("AB 10", "202430", "2", "n")]
+
+
+def test_prompts_and_settings(spark):
+    from quern.config import DEFAULTS, from_env
+    from quern.functions import prompts
+
+    row = one(spark, "{answer} and {site}")
+    got = row.select(prompts.render(prompts.JUDGE, question=F.col("x"), context="c", answer=F.lit(None).cast("string"))).first()[0]
+    assert "{answer} and {site}" in got and got.endswith("Answer:\n")
+    with pytest.raises(KeyError):
+        prompts.render(prompts.DIRECT, question=F.col("x"))
+    assert from_env({}) == DEFAULTS
+    made = from_env({"QUERN_TOP_K": "7", "QUERN_FAN_IN": "On", "QUERN_ALPHA": "none", "QUERN_SITE_WORDS": "a, b", "QUERN_RERANK_MODE": "none"})
+    assert (made.top_k, made.fan_in, made.alpha, made.site_words, made.rerank_mode) == (7, True, DEFAULTS.alpha, ("a", "b"), DEFAULTS.rerank_mode)
+
+
+def test_written_runs(spark, tmp_path):
+    from quern.catalogue import evaluation
+    from quern.operators import runs
+
+    cases = evaluation.run_cases(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")).limit(50)
+    runs.write_run(cases, "one", "golden.jsonl", {"top_k": 10}, str(tmp_path / "run"))
+    again = runs.read_run(spark, str(tmp_path / "run"), cases.schema)
+    assert sorted(map(str, again.collect())) == sorted(map(str, cases.collect()))
+    total = [runs.aggregate(x).where("category is null") for x in (cases, cases.where("id % 2 = 0"))]
+    got = {r["metric"]: (r["a"], r["b"], r["delta"]) for r in runs.compared(*total, ["n_cases", "fact_recall"]).collect()}
+    assert got["n_cases"][0] == 50 and got["n_cases"][2] == got["n_cases"][1] - 50
