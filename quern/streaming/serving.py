@@ -94,8 +94,13 @@ def live_sessions(requests: DataFrame, idle_seconds: int = 1800, watermark: str
             return
         begun = not state.exists
         n, last = (0, 0) if begun else state.get
-        for frame in frames:
-            n, last = n + len(frame), max(last, int(frame["at"].max()))
+        for at in sorted(int(x) for frame in frames for x in frame["at"]):
+            if n and at - last > idle_seconds * 1_000_000:  # before the watermark told
+                if begun:
+                    yield row("new", n, last)
+                yield row("expired", n, last)
+                n, begun = 0, True
+            n, last = n + 1, max(last, at)
         state.update((n, last))
         state.setTimeoutTimestamp(max(last // 1000 + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield row("new" if begun else "going on", n, last)
