@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.config import DEFAULTS, Config
@@ -24,7 +25,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """vectors (vec_id, embedding), queries (query_id, embedding): -> (query_id, vec_id, score, rank),
     cosines rounded to 6 places, equal ones by vec_id. Every vector is compared with every query by
     matrix products. The queries are a stated set, sent out in blocks of BLOCK rows; a task keeps the k
-    best of its rows for each query, so k rows a query and task are shuffled, and none is skipped."""
+    best of its rows for each query, so k rows a query and task are shuffled. Vectors that are null, or not
+    of the length that the first query has, have no cosine and are left out, on both sides."""
+    queries = queries.where("embedding is not null")
     ids = [r[0] for r in queries.select("query_id").orderBy("query_id").collect()]
     out = None
     for at in range(0, max(len(ids), 1), BLOCK):
@@ -36,13 +39,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def _search(vectors: DataFrame, block: list, k: int) -> DataFrame:
+    dim = len(block[0]["embedding"]) if block else 0
+    block = [r for r in block if len(r["embedding"]) == dim and None not in r["embedding"]]
     names = np.array([r["query_id"] for r in block], "i8")
     wanted = _unit_rows(np.array([r["embedding"] for r in block], "f8")) if block else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_score = best_id = None
         for batch in batches:
-            if wanted is None or not len(batch):
+            if wanted is None:
+                continue
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), dim))  # null: left out
+            if batch.column(1).flatten().null_count:
+                batch = batch.filter(pa.array([None not in v for v in batch.column(1).to_pylist()], pa.bool_()))
+            if not len(batch):
                 continue
             ids = batch.column(0).to_numpy()
             rows = _unit_rows(batch.column(1).flatten().to_numpy().reshape(len(ids), -1).astype("f8"))

@@ -350,3 +350,12 @@ def test_written_runs(spark, tmp_path):
     total = [runs.aggregate(x).where("category is null") for x in (cases, cases.where("id % 2 = 0"))]
     got = {r["metric"]: (r["a"], r["b"], r["delta"]) for r in runs.compared(*total, ["n_cases", "fact_recall"]).collect()}
     assert got["n_cases"][0] == 50 and got["n_cases"][2] == got["n_cases"][1] - 50
+
+
+def test_vectors_without_a_cosine_are_left_out(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [3.0, 3.0]), (7, [])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, None), (3, [1.0, 2.0, 3.0])], "query_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in dense.nearest(vectors, queries, 5).orderBy("rank").collect()]
+    assert got == [(1, 1, 1.0), (1, 6, 0.707107), (1, 4, 0.0)]
+    assert dense.nearest(vectors.limit(0), queries, 5).count() == 0 and dense.nearest(vectors, queries.limit(0), 5).count() == 0
