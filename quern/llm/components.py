@@ -32,6 +32,12 @@ def components(links: DataFrame) -> DataFrame:
     found by partial aggregation and joined back, so a node of very many links is no bottleneck. The
     number of rounds grows with the logarithm of the number of nodes."""
     links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a node that has several lesser neighbours hands all but the least on to that one: what many nodes
+    # say of the same centres is then said once
+    least = links.groupBy(F.struct("b").alias("of")).agg(F.min("a").alias("m"))
+    told = links.withColumn("of", F.struct("b")).join(least, "of")
+    other = F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a"))
+    links = materialise(told.select(F.least("m", other).alias("a"), F.greatest("m", other).alias("b")).distinct(), "handed-on")
     state = None
     while state != (now := _state(links)):
         state = now

@@ -91,14 +91,14 @@ class Packer:
 class Ids:
     """A tokenizer file's ids for a text, then the closing id."""
 
-    def __init__(self, path: str, closing: int):
+    def __init__(self, path: str, closing: int, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.closing = np.array([closing], "<u4").tobytes()
-        self.chunks = Chunks(self.whole, 1_000_000)
+        self.chunks = Chunks(self.whole, most)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -108,15 +108,16 @@ class Ids:
 
 
 @functools.lru_cache(maxsize=2)
-def _loaded(path: str, closing: int) -> Ids:
-    return Ids(path, closing)
+def _loaded(path: str, closing: int, most: int) -> Ids:
+    return Ids(path, closing, most)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 1, doc_id: str = "doc_id", text: str | Column = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 1, doc_id: str = "doc_id", text: str | Column = "text", cached: int = 1_000_000) -> DataFrame:
     """One row for each piece: SCHEMA, ids as little-endian unsigned 32-bit numbers. Every token of
     every row lies in one piece; a null or empty text is the closing id alone; repeated rows and null
     ids are packed like others; other columns are not read. sequence_id is unique: its upper bits are
-    the number of the partition. No shuffle; a task that is lost gives the same rows again.
+    the number of the partition. No shuffle; a task that is lost gives the same rows again. A text of any
+    length is tokenised as a whole and cut. cached: chunks of texts whose ids a worker remembers.
 
     capacity must be a power of two for sequences that need no padding at the end of a partition."""
     kind = docs.schema[doc_id].dataType
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 1
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.col(text) if isinstance(text, str) else text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer, ready, held = _loaded(tokenizer, closing), Packer(capacity, TaskContext.get().partitionId() << 33), [], 0
+        ids, packer, ready, held = _loaded(tokenizer, closing, cached), Packer(capacity, TaskContext.get().partitionId() << 33), [], 0
         schema = None
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
