@@ -57,7 +57,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sal
     key, mark = free_name(docs, "_key"), free_name(docs, "_digest")
     keep = marked.where("kept").select(F.struct(F.col("doc_id").alias("id"), F.col("digest").alias("digest")).alias(key))
     own = F.struct(F.col(doc_id).alias("id"), sha256(normalised(F.col(text))).alias("digest"))
-    kept = docs.withColumn(key, own).join(keep.hint("shuffle_hash"), key, "left_semi")
+    kept = docs.withColumn(key, own).join(keep, key, "left_semi")
     if marked.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).limit(1).count():  # rows that repeat a kept id
         kept = kept.dropDuplicates([key])
     return kept.select(*docs.columns)

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.common import free_name, materialise
 
+#: Blobs are broadcast up to this number; beyond it they are joined by a shuffle that can spill.
+BROADCAST_ROWS = 100_000
+
 FINDINGS = "array<struct<start: bigint, place: int, end: bigint, kind: string>>"
 
 
@@ -76,7 +79,8 @@ def scan(docs: DataFrame, ledger: str, doc_id: str = "doc_id", text: str = "text
     """(doc_id, blob, findings) for each row of docs; ledger: a folder on shared storage, new or from an
     earlier scan. A null text is empty. Repeated rows and rows of equal texts share a blob, which is
     scanned once; if jobs that were broken off or ran at once left a blob twice in the ledger, one entry
-    counts. Other columns aren't read."""
+    counts. A text of any length is scanned as a whole, in one row of a task. An empty table gives no rows
+    and leaves the ledger as it is. Other columns, whatever their names, aren't read."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     paths = materialise(rows.select("doc_id", "blob"), "paths")
@@ -85,10 +89,12 @@ def scan(docs: DataFrame, ledger: str, doc_id: str = "doc_id", text: str = "text
     known.write.mode("append").parquet(place)
     entries = spark.read.schema(known.schema).parquet(place)
     unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(entries, "blob", "left_anti")
-    unseen = unseen.select(F.struct("doc_id", "blob").alias("version"))
-    texts = rows.select("blob", "text", F.struct("doc_id", "blob").alias("version")).join(unseen.hint("shuffle_hash"), "version", "left_semi")
-    new = texts.select("blob", findings(F.col("text"), rules).alias("findings")).dropDuplicates(["blob"])
-    new.write.mode("append").parquet(place)
+    unseen = materialise(unseen.select(F.struct("doc_id", "blob").alias("version")), "unseen")
+    n = unseen.limit(BROADCAST_ROWS + 1).count()
+    if n:  # else no text is read again
+        texts = rows.select("blob", "text", F.struct("doc_id", "blob").alias("version")).join(F.broadcast(unseen) if n <= BROADCAST_ROWS else unseen, "version", "left_semi")
+        new = texts.select("blob", findings(F.col("text"), rules).alias("findings")).dropDuplicates(["blob"])
+        new.write.mode("append").parquet(place)
     # by a struct, so that entries are dealt anew and the join may split a hot blob
     entries = spark.read.schema(known.schema).parquet(place).groupBy(F.struct("blob").alias("of")).agg(F.first("blob").alias("blob"), F.first("findings").alias("findings"))
     return paths.join(entries, "blob").select("doc_id", "blob", "findings")
@@ -116,7 +122,8 @@ def redact(docs: DataFrame, ledger: str, doc_id: str = "doc_id", text: str = "te
     """docs with secrets out of its texts; all other rows and columns as they are."""
     hits = scan(docs, ledger, doc_id, text, rules).where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
     blob, found = free_name(docs, "_blob"), free_name(docs, "_found")
-    hits = hits.select(F.col("blob").alias(blob), F.col("findings").alias(found))
-    marked = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(hits.hint("shuffle_hash"), blob, "left")
+    hits = materialise(hits.select(F.col("blob").alias(blob), F.col("findings").alias(found)), "hits")
+    few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and hits.agg(F.coalesce(F.sum(F.size(found)), F.lit(0))).first()[0] <= 10 * BROADCAST_ROWS
+    marked = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(F.broadcast(hits) if few else hits, blob, "left")
     clean = F.when(F.col(found).isNotNull(), redacted(F.col(text), F.col(found))).otherwise(F.col(text))
     return marked.withColumn(text, clean).select(*docs.columns)
