@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quern.catalogue.registry import query
-from quern.catalogue.retrieval import bm25_sql, questions, scored
+from quern.catalogue.retrieval import bm25_sql, indexed, questions
 from quern.config import DEFAULTS
 from quern.functions import text as tx
 from quern.operators import chunk, context, control, lexical
@@ -20,7 +20,7 @@ def chunks(table):
 
 
 def hits(table):
-    return lexical.top(scored(table), 5).select("query_id", "doc_id", "rank")
+    return lexical.search(indexed(table), questions(table), F.col("text"), 5).select("query_id", "doc_id", "rank")
 
 
 def ordinals(table):
@@ -198,7 +198,7 @@ def controller_loop(table, spark):
 
     def search(going, hop):
         what = going.select("query_id", F.when(F.size("queries") > 0, F.array_join("queries", " ")).otherwise(F.col("text")).alias("text"))
-        return lexical.top(lexical.score(index, what, F.col("text")), DEFAULTS.top_k).withColumnRenamed("doc_id", "key")
+        return lexical.search(index, what, F.col("text"), DEFAULTS.top_k).withColumnRenamed("doc_id", "key")
 
     def evidence(held):
         rows = table("documents").withColumnRenamed("doc_id", "key").join(lexical.bounded(held), "key").select("query_id", F.col("merged_rank").alias("rank"), "source", "text")

@@ -47,13 +47,17 @@ def questions(table):
     return table("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def indexed(table):
+    return lexical.build(table("documents"), text())
+
+
 def scored(table):
-    return lexical.scores(table("documents").select("doc_id", "text"), questions(table), text(), text())
+    return lexical.score(indexed(table), questions(table), text())
 
 
 @query(bm25_sql() + TOP_SQL)
 def bm25_topk(table, spark):
-    return lexical.top(scored(table), K)
+    return lexical.search(indexed(table), questions(table), text(), K)
 
 
 @query(f"""WITH w AS (SELECT doc_id, unnest({tok("text")}) AS term FROM documents)
@@ -70,14 +74,13 @@ def bm25_corpus(table, spark):
 
 @query(bm25_sql(cutoff=0.2) + TOP_SQL)
 def bm25_df_filter(table, spark):
-    found = lexical.scores(table("documents").select("doc_id", "text"), questions(table), text(), text(), replace(DEFAULTS, df_cutoff=0.2))
-    return lexical.top(found, K)
+    return lexical.search(indexed(table), questions(table), text(), K, replace(DEFAULTS, df_cutoff=0.2))
 
 
 @query(bm25_sql("SELECT doc_id, source || ' ' || lang || ' ' || text AS text FROM documents") + TOP_SQL)
 def bm25_augmented(table, spark):
     docs = table("documents").select("doc_id", documents.lexical_text(F.col("source"), F.col("lang"), F.lit(None).cast("string"), F.lit(""), text()).alias("text"))
-    return lexical.top(lexical.scores(docs, questions(table), text(), text()), K)
+    return lexical.search(lexical.build(docs, text()), questions(table), text(), K)
 
 
 #: Every vector whose id is divisible by 50 is a query against all vectors.
@@ -131,7 +134,7 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_sco
 def fused(table):
     own = table("embeddings").select(F.col("vec_id").alias("query_id"), "embedding").join(F.broadcast(questions(table).select("query_id")), "query_id", "left_semi")
     wanted = questions(table).join(F.broadcast(own.select("query_id")), "query_id", "left_semi")
-    sparse = lexical.top(lexical.scores(table("documents").select("doc_id", "text"), wanted, text(), text()), DEFAULTS.sparse_k)
+    sparse = lexical.search(indexed(table), wanted, text(), DEFAULTS.sparse_k)
     near = dense.nearest(table("embeddings"), own, DEFAULTS.dense_k)
     return fusion.fuse(near.withColumnRenamed("vec_id", "key"), sparse.withColumnRenamed("doc_id", "key"), DEFAULTS.fused_k)
 
@@ -153,7 +156,7 @@ SCOPE_SQL = ", scope AS (SELECT DISTINCT query_id, source FROM (SELECT *, row_nu
 def scoped_hits(table):
     docs = table("documents")
     index = lexical.build(docs, text())
-    hits = lexical.top(lexical.score(index, questions(table), text()), 2)
+    hits = lexical.search(index, questions(table), text(), 2)
     scopes = docs.select("doc_id", "source").join(lexical.bounded(hits.select("query_id", "doc_id")), "doc_id").select("query_id", "source").distinct()
     return lexical.scoped(docs, index, questions(table), scopes, text(), DEFAULTS.entity_k)
 
@@ -180,7 +183,7 @@ def lists(table):
     """The best documents of each sub-query."""
     parts = F.slice(F.filter(F.transform(F.split(text(), "[.]"), F.trim), lambda x: x != ""), 1, DEFAULTS.max_subqueries)
     subs = table("benchmark").select("item_id", F.posexplode(parts).alias("i", "text")).select((F.col("item_id") * 10 + F.col("i")).alias("query_id"), "text")
-    found = lexical.top(lexical.scores(table("documents").select("doc_id", "text"), subs, text(), text()), DEFAULTS.multi_fused_k)
+    found = lexical.search(indexed(table), subs, text(), DEFAULTS.multi_fused_k)
     return found.select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).cast("int").alias("sub_idx"), F.col("doc_id").alias("key"), "rank", "score", F.round(1 / (DEFAULTS.rrf_k + F.col("rank")), 9).alias("fusion_score"))
 
 
@@ -229,7 +232,7 @@ def fanin_retain(table, spark):
 cut AS (SELECT *, count(*) FILTER (score >= 20) OVER (PARTITION BY query_id) AS good FROM ranked WHERE rank <= {K})
 SELECT query_id, doc_id, score, rank FROM cut WHERE CASE WHEN good >= 3 THEN score >= 20 ELSE rank <= 3 END""")
 def score_threshold(table, spark):
-    return select.score_threshold(lexical.top(scored(table), K), 20.0, DEFAULTS.min_kept)
+    return select.score_threshold(lexical.search(indexed(table), questions(table), text(), K), 20.0, DEFAULTS.min_kept)
 
 
 #: Two hops: a passage's best documents, then those of its first sentence.
@@ -239,7 +242,7 @@ keys AS (SELECT query_id, doc_id AS key, min((hop, rank)) AS first_seen FROM (SE
 SELECT query_id, key, merged_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_seen, key) AS merged_rank FROM keys) WHERE merged_rank <= {DEFAULTS.hop_chunks}""")
 def multi_hop_merge(table, spark):
     index = lexical.build(table("documents"), text())
-    hops = [lexical.top(lexical.score(index, questions(table).withColumn("text", t), text()), DEFAULTS.multi_k).withColumn("hop", F.lit(i)) for i, t in enumerate((text(), F.split(text(), "[.]")[0]))]
+    hops = [lexical.search(index, questions(table).withColumn("text", t), text(), DEFAULTS.multi_k).withColumn("hop", F.lit(i)) for i, t in enumerate((text(), F.split(text(), "[.]")[0]))]
     return fusion.merge_hops(hops[0].unionByName(hops[1]).withColumnRenamed("doc_id", "key")).select("query_id", "key", "merged_rank")
 
 

@@ -7,7 +7,9 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.config import DEFAULTS, Config
@@ -35,44 +37,50 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL_SHARE else df
 
 
-def postings(docs: DataFrame, text: Column, tokenise: Callable[[str], list[str]] = words) -> DataFrame:
-    """docs (doc_id, ...): -> (doc_id, head, dl, term, tf), a row for each term of a document, counted where
-    the document is, with no shuffle; head marks one row of each document, one without terms included."""
+def counted(docs: DataFrame, text: Column, tokenise: Callable[[str], list[str]] = words) -> DataFrame:
+    """docs (doc_id, ...): -> (doc_id, dl, terms, tfs), a row for each document, its terms counted where it
+    is, with no shuffle. A text that is null has no terms."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), AT_ONCE):
                 part = batch.slice(at, AT_ONCE)
-                index, head, dl, term, tf = [], [], [], [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
+                dl, ends, terms, tfs = [], [0], [], []
+                for t in part.column(1).to_pylist():
                     found = tokenise(t or "")
-                    counts = Counter(found) or {None: 0}
-                    index += [i] * len(counts)
-                    head += [True] + [False] * (len(counts) - 1)
-                    dl += [len(found)] * len(counts)
-                    term += counts.keys()
-                    tf += counts.values()
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(index, pa.int32())), pa.array(head, pa.bool_()), pa.array(dl, pa.int32()), pa.array(term, pa.string()), pa.array(tf, pa.int32())], ["doc_id", "head", "dl", "term", "tf"])
+                    counts = Counter(found)
+                    dl.append(len(found))
+                    terms += counts.keys()
+                    tfs += counts.values()
+                    ends.append(len(terms))
+                ends = pa.array(ends, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dl, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(terms, pa.string())), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32()))], ["doc_id", "dl", "terms", "tfs"])
 
-    return spread(docs).select("doc_id", text.alias("text")).mapInArrow(run, f"doc_id {kind}, head boolean, dl int, term string, tf int")
+    return spread(docs).select("doc_id", text.alias("text")).mapInArrow(run, f"doc_id {kind}, dl int, terms array<string>, tfs array<int>")
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """counted() rows: -> (doc_id, dl, term, tf)."""
+    return rows.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("doc_id", "dl", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
 
 
 @dataclass
 class Index:
-    """postings: a written table; stats (term, df): of all terms; corpus: one row (n, avgdl, avg_idf)."""
+    """rows: what counted() gives, as a written table; stats (term, df): of all terms; corpus: one row (n,
+    avgdl, avg_idf)."""
 
-    postings: DataFrame
+    rows: DataFrame
     stats: DataFrame
     corpus: DataFrame
     tokenise: Callable[[str], list[str]] = words
 
 
 def build(docs: DataFrame, text: Column, tokenise: Callable[[str], list[str]] = words) -> Index:
-    """Texts are read and split once; all else is made of the written postings."""
-    rows = materialise(postings(docs, text, tokenise), "postings")
-    stats = rows.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    sizes = rows.where("head").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    """Texts are read and split once; all else is made of the written counts."""
+    rows = materialise(counted(docs, text, tokenise), "postings")
+    stats = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     corpus = stats.crossJoin(F.broadcast(sizes)).groupBy("n", "avgdl").agg(F.avg(raw_idf(F.col("n"), F.col("df"))).alias("avg_idf"))
     return Index(rows, stats, materialise(corpus, "corpus"), tokenise)
 
@@ -89,7 +97,7 @@ def idf(n: Column, df: Column, avg_idf: Column, config: Config = DEFAULTS) -> Co
 
 def query_terms(queries: DataFrame, text: Column, tokenise: Callable[[str], list[str]] = words) -> DataFrame:
     """(query_id, term, weight): weight is the term's multiplicity, which counts."""
-    found = postings(queries.withColumn("doc_id", F.col("query_id")), text, tokenise).where("term is not null")
+    found = postings(counted(queries.withColumn("doc_id", F.col("query_id")), text, tokenise))
     return found.groupBy(F.col("doc_id").alias("query_id"), "term").agg(F.sum("tf").alias("weight"))
 
 
@@ -103,25 +111,88 @@ def bounded(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if is_small(df, most) else df
 
 
-def score(index: Index, queries: DataFrame, query_text: Column, config: Config = DEFAULTS) -> DataFrame:
-    """queries (query_id, ...): -> (query_id, doc_id, score), a row for each document that has a term of the
-    query, scores rounded to 6 places. The weighted query terms are broadcast if their count allows it; a
-    document's parts are then added where its postings are before anything is shuffled."""
+def weighted(index: Index, queries: DataFrame, query_text: Column, config: Config = DEFAULTS) -> tuple[DataFrame, bool]:
+    """(query_id, term, weight, avgdl, idf) of the terms that count, written, and whether they are few."""
     terms = materialise(query_terms(queries, query_text, index.tokenise), "query-terms")
-    small = is_small(terms)
     wanted = terms.select("term").distinct()
-    df = index.postings.join(F.broadcast(wanted) if small else wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(index.corpus))
-    weighted = weighted.select("query_id", "term", "weight", "avgdl", idf(F.col("n"), F.col("df"), F.col("avg_idf"), config).alias("idf"), (F.col("df") / F.col("n")).alias("share"))
+    held = index.rows.select(F.explode("terms").alias("term"))
+    df = held.join(F.broadcast(wanted) if is_small(wanted) else wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    found = terms.join(df, "term").crossJoin(F.broadcast(index.corpus))
+    found = found.select("query_id", "term", "weight", "avgdl", idf(F.col("n"), F.col("df"), F.col("avg_idf"), config).alias("idf"), (F.col("df") / F.col("n")).alias("share"))
     if config.df_cutoff:
         common = F.col("share") >= config.df_cutoff
         rare = F.max(~common).over(Window.partitionBy("query_id"))
-        weighted = weighted.withColumn("rare", rare).where(~common | ~F.col("rare")).drop("rare")
+        found = found.withColumn("rare", rare).where(~common | ~F.col("rare")).drop("rare")
+    found = materialise(found.drop("share"), "weighted-terms")
+    return found, is_small(found)
+
+
+def score(index: Index, queries: DataFrame, query_text: Column, config: Config = DEFAULTS) -> DataFrame:
+    """queries (query_id, ...): -> (query_id, doc_id, score), a row for each document that has a term of the
+    query, scores rounded to 6 places. The weighted query terms are broadcast if their count allows it; a
+    document's parts are then added where its terms are before anything is shuffled."""
+    return _joined(index, *weighted(index, queries, query_text, config), config)
+
+
+def _joined(index: Index, terms: DataFrame, small: bool, config: Config) -> DataFrame:
     gain = F.col("idf") * F.col("tf") * (config.k1 + 1) / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
-    found = index.postings.where("term is not null").join(F.broadcast(weighted) if small else weighted, "term")
+    found = postings(index.rows).join(F.broadcast(terms) if small else terms, "term")
     return found.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * gain), 6).alias("score"))
 
 
+#: Entries of the matrix of terms by queries that a search sends to each task; larger searches are joins.
+MATRIX = 16_000_000
+
+
+def search(index: Index, queries: DataFrame, query_text: Column, k: int, config: Config = DEFAULTS) -> DataFrame:
+    """The k best documents of each query: (query_id, doc_id, score, rank), as top() of score() gives. The
+    weights go out as a matrix of terms by queries, whose size has been counted; each task multiplies its
+    documents with it and keeps the k best for each query, so that k rows a query and task are shuffled
+    instead of a row for each document that shares a term with a query."""
+    terms, small = weighted(index, queries, query_text, config)
+    size = terms.agg(F.count_distinct("term").alias("t"), F.count_distinct("query_id").alias("q")).first()
+    whole = index.rows.schema["doc_id"].dataType.simpleString() == terms.schema["query_id"].dataType.simpleString() == "bigint"
+    if not (small and whole and size["t"] * size["q"] <= MATRIX):
+        return top(_joined(index, terms, small, config), k)
+    rows = terms.collect()
+    words_, ids = sorted({r["term"] for r in rows}), sorted({r["query_id"] for r in rows})
+    place, column = {w: i for i, w in enumerate(words_)}, {q: i for i, q in enumerate(ids)}
+    matrix, idfs = np.zeros((len(words_), len(ids))), np.zeros(len(words_))
+    for r in rows:
+        matrix[place[r["term"]], column[r["query_id"]]] = r["weight"]
+        idfs[place[r["term"]]] = r["idf"]
+    avgdl = rows[0]["avgdl"] if rows else 1.0
+    sent = index.rows.sparkSession.sparkContext.broadcast((words_, np.array(ids, "i8"), matrix, idfs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_, ids, matrix, idfs = sent.value
+        known, asks, best = pa.array(words_, pa.string()), (matrix > 0).astype("f4"), None
+        for batch in batches:
+            for at in range(0, len(batch) if len(ids) else 0, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                lists = part.column(2)
+                which = pc.index_in(lists.flatten(), known).fill_null(-1).to_numpy()
+                of, hit = np.repeat(np.arange(len(part)), pc.list_value_length(lists).to_numpy()), which >= 0
+                of, which, tf = of[hit], which[hit], part.column(3).flatten().to_numpy()[hit]
+                dl = part.column(1).to_numpy()[of]
+                gain = np.zeros((len(part), len(words_)))
+                gain[of, which] = idfs[which] * tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * dl / avgdl))
+                score = np.round(gain @ matrix, 6)
+                has = np.zeros(gain.shape, "f4")
+                has[of, which] = 1
+                score = np.where(has @ asks > 0, score, -np.inf).T
+                docs = np.broadcast_to(part.column(0).to_numpy(), score.shape)
+                if best is not None:
+                    score, docs = np.hstack([best[0], score]), np.hstack([best[1], docs])
+                order = np.lexsort((docs, -score), axis=1)[:, :k]
+                best = np.take_along_axis(score, order, 1), np.take_along_axis(docs, order, 1)
+        if best is not None:
+            some = best[0].ravel() > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best[0].shape[1])[some]), pa.array(best[1].ravel()[some]), pa.array(best[0].ravel()[some])], ["query_id", "doc_id", "score"])
+
+    return top(index.rows.mapInArrow(run, "query_id long, doc_id long, score double"), k)
+
+
 def scores(docs: DataFrame, queries: DataFrame, text: Column, query_text: Column, config: Config = DEFAULTS) -> DataFrame:
     """score() of an index that is built for these queries."""
     return score(build(docs, text), queries, query_text, config)

@@ -88,7 +88,7 @@ def lists(engine: Engine, subs: DataFrame) -> DataFrame:
     single = F.col("n_subs") == 1
     known = ids.select("query_id", "of", "sub_idx", "n_subs")
     narrow = lambda df, one, many: df.join(lexical.bounded(known), "query_id").where(F.col("rank") <= F.when(single, one).otherwise(many)).drop("of", "sub_idx", "n_subs")
-    sparse = lexical.top(lexical.score(engine.words, ids, F.col("text"), config), max(config.sparse_k, config.multi_k)).withColumnRenamed("doc_id", "key")
+    sparse = lexical.search(engine.words, ids, F.col("text"), max(config.sparse_k, config.multi_k), config).withColumnRenamed("doc_id", "key")
     near = dense.nearest(engine.vectors, ids.select("query_id", own.embed(F.col("text")).alias("embedding")), max(config.dense_k, config.multi_k)).withColumnRenamed("vec_id", "key")
     fused = fusion.fuse(narrow(near, config.dense_k, config.multi_k), narrow(sparse, config.sparse_k, config.multi_k), max(config.fused_k, config.multi_fused_k), config)
     found = narrow(fused, config.fused_k, config.multi_fused_k).withColumn("scoped", F.lit(False))

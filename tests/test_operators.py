@@ -359,3 +359,18 @@ def test_vectors_without_a_cosine_are_left_out(spark):
     got = [(r["query_id"], r["vec_id"], r["score"]) for r in dense.nearest(vectors, queries, 5).orderBy("rank").collect()]
     assert got == [(1, 1, 1.0), (1, 6, 0.707107), (1, 4, 0.0)]
     assert dense.nearest(vectors.limit(0), queries, 5).count() == 0 and dense.nearest(vectors, queries.limit(0), 5).count() == 0
+
+
+def test_search_is_the_top_of_all_scores(spark, small, monkeypatch):
+    """With ties, negative weights, texts without terms, and where the matrix would be too large."""
+    docs = [(i, t) for i, t in enumerate(["a b", "a b", "a", "", None, "c a a", "b " * 40, "a d", "zz"] * 3)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(1, "a"), (2, "b b zz"), (3, "none"), (4, ""), (5, "a b c d")], "query_id long, text string")
+    index = lexical.build(docs, F.col("text"))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "doc_id", "score").collect()))
+    want = rows(lexical.top(lexical.score(index, queries, F.col("text")), 4))
+    assert rows(lexical.search(index, queries, F.col("text"), 4)) == want and len(want) == 12
+    monkeypatch.setattr(lexical, "MATRIX", 3)
+    assert rows(lexical.search(index, queries, F.col("text"), 4)) == want
+    assert lexical.search(index, queries.limit(0), F.col("text"), 4).count() == 0
+    assert lexical.search(lexical.build(docs.limit(0), F.col("text")), queries, F.col("text"), 4).count() == 0
