@@ -64,7 +64,7 @@ class RankQueue:
 class Bpe:
     """ranks: id by the bytes of a token. pattern: what splits a text into pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, most: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, most: int = 450_000):
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.bytes = [ranks.get(bytes((a,)), -1) for a in range(256)]

@@ -56,6 +56,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "2m") -> SparkSession:
+    """A session of the same application and settings with smaller Arrow batches, for queries whose workers
+    hold much besides. The given session stays as it is."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key) and own.conf.get(key, None) != value:
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return own
+
+
 def parts(batch, rows: int = ROWS_AT_ONCE) -> Iterator:
     """An Arrow array or batch, a few rows at a time, so that what is made of them stays small."""
     for at in range(0, len(batch), rows):

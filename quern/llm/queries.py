@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.llm import bpe, chat, exact_dedup, langid, packing, quality, secret_scan, sharding, simhash, toxicity
-from quern.llm.common import new_path
+from quern.llm.common import new_path, small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,13 +51,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), RANKS).alias("ids"))
+    ids = table(small_batches(spark), sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), RANKS).alias("ids"))
     both = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), RANKS).alias("decoded"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces(table(spark, sf_dir, "documents"))
+    return pieces(table(small_batches(spark), sf_dir, "documents"))
 
 
 def pieces(docs: DataFrame) -> DataFrame:
