@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.llm.common import free_name, materialise
 
-#: Blobs are broadcast up to this number; beyond it they are joined by a shuffle that can spill.
-BROADCAST_ROWS = 100_000
+#: Unseen blobs, and blobs with findings, are broadcast up to these numbers; beyond them they are joined by a
+#: shuffle that can spill.
+UNSEEN_ROWS, BROADCAST_ROWS = 10_000, 100_000
 
 FINDINGS = "array<struct<start: bigint, place: int, end: bigint, kind: string>>"
 
@@ -90,9 +91,9 @@ def scan(docs: DataFrame, ledger: str, doc_id: str = "doc_id", text: str = "text
     entries = spark.read.schema(known.schema).parquet(place)
     unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(entries, "blob", "left_anti")
     unseen = materialise(unseen.select(F.struct("doc_id", "blob").alias("version")), "unseen")
-    n = unseen.limit(BROADCAST_ROWS + 1).count()
+    n = unseen.limit(UNSEEN_ROWS + 1).count()
     if n:  # else no text is read again
-        texts = rows.select("blob", "text", F.struct("doc_id", "blob").alias("version")).join(F.broadcast(unseen) if n <= BROADCAST_ROWS else unseen, "version", "left_semi")
+        texts = rows.select("blob", "text", F.struct("doc_id", "blob").alias("version")).join(F.broadcast(unseen) if n <= UNSEEN_ROWS else unseen, "version", "left_semi")
         new = texts.select("blob", findings(F.col("text"), rules).alias("findings")).dropDuplicates(["blob"])
         new.write.mode("append").parquet(place)
     # by a struct, so that entries are dealt anew and the join may split a hot blob
