@@ -22,13 +22,16 @@ from itertools import groupby
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.llm import bpe
 from quern.llm.common import materialise, parts
 
 BLOCK, BUDGET, HISTORY = 1024, 1024, 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: No turn has fewer tokens.
+LEAST_TOKENS = 4
 
 WINDOWS = "conv_id {kind}, block long, window int, formatted string, loss array<struct<start: int, end: int>>, context_turns int, turns int, tokens long, over_budget boolean"
 
@@ -60,19 +63,6 @@ def turn_of(role: str, text: str) -> tuple[str, str]:
     return f"{OPEN}{escape_role(role)}\n", escape(text)
 
 
-def turn_tokens(role: Column, text: Column, ranks: str) -> Column:
-    """int: the tokens of a rendered turn."""
-
-    @F.arrow_udf("int")
-    def run(roles: pa.Array, texts: pa.Array) -> pa.Array:
-        encoder, out = bpe.loaded(ranks, public_tokenizers.PATTERN), []
-        for some, of in zip(parts(roles), parts(texts)):
-            out += [len(ids) // 4 for ids in encoder.encode_batch(["".join((*turn_of(r, t), CLOSE)) for r, t in zip(some.to_pylist(), of.to_pylist())])]
-        return pa.array(out, pa.int32())
-
-    return run(role, text)
-
-
 def render(context: list[tuple[str, str]], turns: list[tuple[str, str]]) -> tuple[str, list[dict]]:
     """The formatted window and its loss spans: the texts of the assistant's turns that aren't context."""
     out, loss, at = [], [], 0
@@ -99,14 +89,13 @@ def spans(tokens: np.ndarray, room: int, first_room: int) -> list[tuple[int, int
 
 def _windows(rows: list[dict], budget: int, history: int) -> Iterator[dict]:
     """Of one block: its system row, the history that the block before hands on, then its turns."""
-    system = [r for r in rows if r["part"] == 0]
-    past, own = ([r for r in rows if r["part"] == p] for p in (1, 2))
+    system, past, own = ([r for r in rows if r["part"] == p] for p in (0, 1, 2))
     system_tokens = sum(r["tokens"] for r in system)
     room = max(1, budget - history - system_tokens)
     turns = [*past, *own]
     tokens = np.array([r["tokens"] for r in turns], "i8")
     sums = np.r_[0, np.cumsum(tokens)]
-    for k, (a, b) in enumerate(spans(tokens[len(past) :], room, room if rows[0]["block"] else budget)):
+    for k, (a, b) in enumerate(spans(tokens[len(past) :], room, room if rows[0]["block"] else budget)):  # none, if the block before was the last
         a, b = a + len(past), b + len(past)
         since = int(np.searchsorted(sums, sums[a] - history, "left"))
         repeated = turns[since:a]
@@ -118,20 +107,33 @@ def _windows(rows: list[dict], budget: int, history: int) -> Iterator[dict]:
 
 
 def numbered(rows: DataFrame, ranks: str) -> DataFrame:
-    """rows (conv_id, turn, role, text): written with tokens and place, the number of a row in its
-    conversation from 0, in the order of turn, role and text. Rows are sorted over all partitions; a row's
-    place is its place in the partition and what partitions before have of the conversation, so that one
-    conversation may be spread over many tasks. Rows that tie on turn and role share a task, which sorts them."""
-    order = ["turn", "role", "text"]
+    """rows (conv_id, turn, role, text): written with tokens, those of the rendered turn, and place, the
+    number of a row in its conversation from 0, in the order of turn, role and text. Rows are sorted over
+    all partitions and counted where they are; to that comes what partitions before have of the same
+    conversation, which is asked of one conversation in each partition only. So a conversation may be
+    spread over many tasks. Rows that tie on turn and role share a task, which sorts them."""
+    kind = rows.schema["conv_id"].dataType.simpleString()
     turns = rows.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")))
-    sorted_ = turns.repartitionByRange("conv_id", "turn", "role").sortWithinPartitions("conv_id", *order)
-    at = sorted_.withColumn("at", F.monotonically_increasing_id())
-    at = materialise(at.withColumn("tokens", turn_tokens(F.col("role"), F.col("text"), ranks).cast("long")), "turns")
-    own = F.struct("conv_id", F.shiftright("at", 33).alias("partition")).alias("own")  # a struct joins null to null
-    counts = at.groupBy(own).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    before = F.sum("n").over(Window.partitionBy("own.conv_id").orderBy("own.partition")) - F.col("n")
-    starts = counts.select("own", (before - F.col("first")).alias("shift"))
-    return at.withColumn("own", own).join(starts, "own").select("conv_id", (F.col("at") + F.col("shift")).alias("place"), "role", "text", "tokens")
+    sorted_ = turns.repartitionByRange("conv_id", "turn", "role").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, task, now, n = bpe.loaded(ranks, public_tokenizers.PATTERN), TaskContext.get().partitionId(), object(), 0
+        for batch in (part for whole in batches for part in parts(whole)):
+            ids = encoder.encode_batch(["".join((*turn_of(r, t), CLOSE)) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())])
+            at = []
+            for conv in batch.column(0).to_pylist():
+                if conv != now:
+                    now, n = conv, 0
+                at.append(n)
+                n += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(at, pa.int64()), pa.array([task] * len(at), pa.int32())], ["conv_id", "role", "text", "tokens", "at", "task"])
+
+    found = materialise(sorted_.mapInArrow(run, f"conv_id {kind}, role string, text string, tokens long, at long, task int"), "turns")
+    own = F.struct("conv_id", "task").alias("own")  # a struct joins null to null
+    counts = found.groupBy(own).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("own.conv_id").orderBy("own.task")) - F.col("n")
+    shifts = counts.select("own", before.alias("before")).where("before > 0")  # at most one for each task
+    return found.withColumn("own", own).join(F.broadcast(shifts), "own", "left").select("conv_id", (F.col("at") + F.coalesce("before", F.lit(0))).alias("place"), "role", "text", "tokens")
 
 
 def windows(rows: DataFrame, ranks: str, budget: int = BUDGET, history: int = HISTORY, block: int = BLOCK) -> DataFrame:
@@ -142,17 +144,17 @@ def windows(rows: DataFrame, ranks: str, budget: int = BUDGET, history: int = HI
     itself, marked as such. ranks: a file of bpe.py, for counting tokens. Other columns aren't read,
     whatever their names; an empty table has no windows."""
     kind = rows.schema["conv_id"].dataType.simpleString()
-    turns = materialise(numbered(rows, ranks).withColumn("block", F.floor(F.col("place") / block)), "placed")
-    conv = F.struct("conv_id").alias("conv")
-    convs = turns.groupBy(conv).agg(F.max("block").alias("last"), F.min(F.when(F.col("role") == "system", F.col("place"))).alias("system"))
-    local = Window.partitionBy("conv_id", "block").orderBy(F.desc("place"))
-    marked = turns.withColumn("to_end", F.sum("tokens").over(local)).withColumn("conv", conv).join(convs, "conv")
-    goes_on = (F.col("to_end") <= history) & (F.col("block") < F.col("last"))
+    turns = numbered(rows, ranks)
+    number = lambda c: F.floor(F.col(c) / block)
     to = lambda of, part: F.struct(of.cast("long").alias("block"), F.lit(part).alias("part"))
-    first = F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda i: to(i, 0))
-    where = F.concat(F.array(to(F.col("block"), 2)), F.when(goes_on, F.array(to(F.col("block") + 1, 1))).otherwise(F.array()), F.when(F.col("place") == F.col("system"), first).otherwise(F.array()))
     fields = ["place", "role", "text", "tokens"]
-    dealt = marked.select("conv_id", F.explode(where).alias("to"), *fields).select("conv_id", "to.block", "to.part", *fields)
+    handed_on = F.col("place") % block >= block - max(1, history // LEAST_TOKENS)
+    where = F.concat(F.array(to(number("place"), 2)), F.when(handed_on, F.array(to(number("place") + 1, 1))).otherwise(F.array()))
+    conv = F.struct("conv_id").alias("conv")
+    systems = turns.where("role = 'system'").groupBy(conv).agg(F.min(F.struct(*fields)).alias("s"))
+    last = turns.groupBy(conv).agg(F.max(number("place")).alias("last"))
+    lead = systems.join(last, "conv").select("conv.conv_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"), F.lit(0).alias("part"), *(F.col("s")[c].alias(c) for c in fields))
+    dealt = turns.select("conv_id", F.explode(where).alias("to"), *fields).select("conv_id", "to.block", "to.part", *fields).unionByName(lead)
     sorted_ = dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
