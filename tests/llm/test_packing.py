@@ -80,3 +80,14 @@ def test_query(spark, small):
         assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
     padding = check([(r["doc_id"], r["start"], r["length"], r["sequence_id"], r["offset"]) for r in got], 2048, {d: len(x) for d, x in texts.items()})
     assert padding < 0.02 * sum(map(len, texts.values()))
+
+
+PARTS = st.lists(st.sampled_from([" ", "\n", "  ", "\t", "a", "the", "Don't", "é", "日本", "🙂", " ", "<|endoftext|>", "x1", ".", "\r\n", " "])).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(PARTS, max_size=6))
+def test_ids_are_the_tokenizers(texts):
+    ids = packing.Ids(queries.TOKENIZER, 1, 50)
+    for _ in range(2):  # new and remembered chunks
+        assert [x.tolist() for x in ids(texts)] == [whole(t).tolist() for t in texts]
