@@ -31,7 +31,7 @@ from quern.llm.common import WordCache, each, hash_level, sampled
 BUCKETS, STARTS = 1 << 31, (4, 5)
 #: The bounds of the training sample: rows of label 1, of label 0, without a label; characters of each.
 TOXIC_ROWS, CLEAN_ROWS, OPEN_ROWS, MOST_CHARS = 1500, 3000, 1000, 20_000
-MINED, LEAST_RATIO = 200, 15.0
+MINED, LEAST_RATIO = 120, 15.0
 #: Expectation maximisation: log odds up to which all voters together count as silent, rounds, the correlation from which voters repeat each other, what a label's
 #: accuracy starts from and how many rows that start counts; parts of the sample for mining.
 QUIET, ROUNDS, CORRELATED, FIRST_ACCURACY, FIRST_ROWS, FOLDS = 1.0, 25, 0.3, 0.75, 10, 4
@@ -136,14 +136,13 @@ def votes(texts: list[str | None], bags: list[set[str]], ids: list[np.ndarray],
     """1 where a voter fires, else 0, and 1 where it votes at all; the columns are lexicons, patterns, what
     is mined for each part from the rows of the others. Mined voters abstain on the rows they come from."""
     lexicons = [set(x) for x in LEXICONS.values()]
-    fixed = np.array([[bool(bag & x) for x in lexicons] + [bool(p.search(text or "")) for p in VOTES] for text, bag in zip(texts, bags)], "f8")
+    fixed = np.array([[bool(bag & x) for x in lexicons] + [bool(p.search(text or "")) for p in VOTES] for text, bag in zip(texts, bags)], "f4")
     fires, present = [fixed], [np.ones_like(fixed)]
     for k in range(FOLDS):
         mined = mine(ids, np.where(fold == k, -1, labels))
-        fires.append(np.array([np.isin(mined, x) for x in ids], "f8").reshape(len(ids), -1))
-        present.append(np.repeat((fold == k).astype("f8")[:, None], len(mined), 1))
-    present = np.hstack(present)
-    return np.hstack(fires) * present, present
+        fires.append(np.array([np.isin(mined, x) if k == of else np.zeros(len(mined), bool) for x, of in zip(ids, fold)], "f4").reshape(len(ids), -1))
+        present.append(np.repeat((fold == k).astype("f4")[:, None], len(mined), 1))
+    return np.hstack(fires), np.hstack(present)
 
 
 @dataclass
@@ -161,7 +160,8 @@ def label_model(v: np.ndarray, labels: np.ndarray, prior: float, present: np.nda
     """v: votes; labels: 1, 0, or -1 for none; prior: the share of class 1 to start from; present: where a
     voter votes (everywhere, if not given). It starts from labels of FIRST_ACCURACY; without any, from the
     number of voters that fire."""
-    seen = np.ones_like(v) if present is None else present
+    v = np.asarray(v, "f4")
+    seen = np.ones_like(v) if present is None else np.asarray(present, "f4")
     told, ones, zeros = labels >= 0, labels == 1, labels == 0
     right = np.array([FIRST_ACCURACY, FIRST_ACCURACY])
     taught = ones.any() and zeros.any()
@@ -173,8 +173,11 @@ def label_model(v: np.ndarray, labels: np.ndarray, prior: float, present: np.nda
             right = np.array([(w[hit].sum() + FIRST_ACCURACY * FIRST_ROWS) / (w[told].sum() + FIRST_ROWS) for w, hit in ((q, ones), (1 - q, zeros))])
         of = told if taught and not i else 1.0  # the first rates are those of labelled rows
         rate1, rate0 = (((w * of) @ v + 0.1) / ((w * of) @ seen + 1) for w in (q, 1 - q))  # of firing: the voters' accuracies
-        rest = (v - np.outer(q, rate1) - np.outer(1 - q, rate0)) * seen
-        scale = np.sqrt((rest**2).sum(0)) + 1e-9
+        rest = q.astype("f4")[:, None] * (rate1 - rate0).astype("f4")  # in place: the matrix is large
+        rest += rate0.astype("f4")
+        np.subtract(v, rest, out=rest)
+        rest *= seen
+        scale = np.sqrt(np.einsum("ij,ij->j", rest, rest, dtype="f8")) + 1e-9
         correlation = np.abs(rest.T @ rest / np.outer(scale, scale))
         np.fill_diagonal(correlation, 1)
         weight = (rate1 > rate0) / (correlation * (correlation > CORRELATED)).sum(0)  # what fires speaks for class 1 or not at all
