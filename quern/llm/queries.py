@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, chat, exact_dedup, langid, packing, quality, secret_scan, sharding, simhash, toxicity
+from quern.llm import bpe, chat, exact_dedup, filter_audit, langid, packing, quality, secret_scan, sharding, simhash, toxicity
 from quern.llm.common import new_path, small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -84,7 +84,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_windows, op3_sharding, op4_simhash, op5_exact_dedup, op6_bpe, op7_packing, op8_langid, op9_quality, op10_toxicity)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_windows, op3_sharding, op4_simhash, op5_exact_dedup, op6_bpe, op7_packing, op8_langid, op9_quality, op10_toxicity, op12_filter_audit)}
 
 ASSIGN, ACCESS, HEX = (rule.pattern.replace("'", "''") for rule in secret_scan.RULES)
 
@@ -114,5 +118,33 @@ FROM d LEFT JOIN spans USING (doc_id)
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
 FROM d WINDOW same AS (PARTITION BY t)
+""",
+    "op12_filter_audit": r"""
+WITH RECURSIVE orders AS (
+  SELECT '' AS filter_order, 0 AS n
+  UNION ALL SELECT filter_order || f, n + 1 FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS l(f) WHERE n < 5 AND NOT contains(filter_order, f)
+),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, filter_order[1:step-1] AS earlier FROM orders, range(1, 6) AS r(step) WHERE n = 5),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+    concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+      CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+      CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS failed
+  FROM d LEFT JOIN l USING (doc_id)
+),
+counts AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM fails GROUP BY ALL),
+told AS (
+  SELECT *, contains(failed, f) AS own, regexp_matches(failed, '[' || earlier || '0]') AS gone FROM counts, steps
+),
+sums AS (
+  SELECT part, filter_order, step, f, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = f THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT gone THEN bad ELSE 0 END) AS toxic_lost
+  FROM told GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM sums
 """,
 }
