@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, chat, exact_dedup, filter_audit, langid, packing, quality, secret_scan, sharding, simhash, toxicity
+from quern.llm import bpe, chat, exact_dedup, filter_audit, langid, packing, quality, runs, secret_scan, sharding, simhash, toxicity
 from quern.llm.common import new_path, small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -84,11 +84,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").select("doc_id", runs.periodic(F.col("text"), F.col("doc_id")).alias("p"))
+    lines = F.transform("p.runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    told = own.select("doc_id", F.size("p.runs").cast("long").alias("n_runs"), runs.longest(F.col("p.runs")).alias("top"), F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("p.collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * top.length div top.period").alias("exponent_milli")
+    return told.select("doc_id", "n_runs", "top.start", "top.length", "top.period", milli, "runs_sha256", "collapsed_sha256")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_windows, op3_sharding, op4_simhash, op5_exact_dedup, op6_bpe, op7_packing, op8_langid, op9_quality, op10_toxicity, op12_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_windows, op3_sharding, op4_simhash, op5_exact_dedup, op6_bpe, op7_packing, op8_langid, op9_quality, op10_toxicity, op11_periodic_runs, op12_filter_audit)}
 
 ASSIGN, ACCESS, HEX = (rule.pattern.replace("'", "''") for rule in secret_scan.RULES)
 
