@@ -48,12 +48,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back. It cuts the lineage: a lost executor costs no
-    more than the tasks that it ran."""
+def materialise(df: DataFrame, name: str, session: SparkSession | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back, in its own session or another one. It cuts the
+    lineage: a lost executor costs no more than the tasks that it ran."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, size: str = "2m") -> SparkSession:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quern.llm import bpe, chat, exact_dedup, filter_audit, langid, packing, quality, runs, secret_scan, sharding, simhash, toxicity
+from quern.llm import bpe, chat, exact_dedup, filter_audit, langid, packing, quality, runs, secret_scan, sharding, simhash, suffix_dedup, toxicity
 from quern.llm.common import new_path, small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -96,7 +96,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_windows, op3_sharding, op4_simhash, op5_exact_dedup, op6_bpe, op7_packing, op8_langid, op9_quality, op10_toxicity, op11_periodic_runs, op12_filter_audit)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.annotate(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_windows, op3_sharding, op4_simhash, op5_exact_dedup, op6_bpe, op7_packing, op8_langid, op9_quality, op10_toxicity, op11_periodic_runs, op12_filter_audit, op13_suffix_dedup)}
 
 ASSIGN, ACCESS, HEX = (rule.pattern.replace("'", "''") for rule in secret_scan.RULES)
 
