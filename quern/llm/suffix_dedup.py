@@ -48,6 +48,8 @@ NOBODY = (1 << 63) - 1
 PLACE_BITS, NAME_BITS = 26, 48
 #: Blocks and strings of each that the limits of parts are taken from. They only say how work is dealt.
 SPLIT_BLOCKS, SPLIT_STRINGS = 1000, 64
+#: Positions that are hashed at a time.
+AT_ONCE = 1 << 14
 #: What stands beside a string at the beginning or end of a document.
 EDGE = 256
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -149,16 +151,17 @@ class Block:
         self.n = len(self.data)
 
     def _within(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        change = np.zeros(self.n + 1, "i1")
-        some = low < high
-        np.add.at(change, low[some], 1)
-        np.add.at(change, high[some], -1)
-        return np.cumsum(change[:-1], dtype="i1").view(bool)
+        out = np.zeros(self.n, bool)
+        for a, b in zip(low.tolist(), high.tolist()):
+            out[a : max(a, b)] = True
+        return out
 
     def phase(self) -> np.ndarray:
         """Each position's place in its document, mod 3."""
-        shift = np.repeat(((self.bases - self.begin) % 3).astype("u1"), self.sizes)
-        return (np.resize(np.arange(3, dtype="u1"), self.n) + shift) % 3
+        out, turns = np.empty(self.n, "u1"), np.resize(np.arange(3, dtype="u1"), int(self.sizes.max()) + 2)
+        for at, n, base in zip(self.begin.tolist(), self.sizes.tolist(), (self.bases % 3).tolist()):
+            out[at : at + n] = turns[base : base + n]
+        return out
 
     def sampled(self) -> np.ndarray:
         return self._within(self.begin, self.begin + self.sizes - SAMPLED + 1) & (self.phase() > 0)
@@ -171,23 +174,24 @@ class Block:
     def first(self) -> np.ndarray:
         return self.begin + (self.bases > 0)
 
-    def characters(self) -> np.ndarray:
-        """The 8 bytes from each position on as a number."""
-        out = np.concatenate([self.data, np.zeros(LENGTH + 8, "u1")]).astype("u8")
-        for k in (1, 2, 4):
-            out = out[:-k] << np.uint64(8 * k) | out[k:]
-        return out
-
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of the strings of SAMPLED and of LENGTH bytes from each position on."""
-        c, h = self.characters(), np.zeros(self.n, "u8")
-        for k, at in enumerate((*range(0, SAMPLED, 8), LENGTH - 8)):
-            if at == LENGTH - 8:
-                short = _mixed(h)
-            h ^= h >> np.uint64(29)
-            h *= MIX[0]
-            h += c[at : at + self.n] * MIX[k]
-        return short, _mixed(h)
+        """Of the strings of SAMPLED and of LENGTH bytes from each position on; made in parts that a core's
+        cache holds."""
+        data, short, long = np.concatenate([self.data, np.zeros(LENGTH + 8, "u1")]), np.empty(self.n, "u8"), np.empty(self.n, "u8")
+        for at in range(0, self.n, AT_ONCE):
+            n = min(AT_ONCE, self.n - at)
+            c = data[at : at + n + LENGTH + 7].astype("u8")
+            for k in (1, 2, 4):  # characters of 8 bytes
+                c = c[:-k] << np.uint64(8 * k) | c[k:]
+            h = np.zeros(n, "u8")
+            for k, place in enumerate((*range(0, SAMPLED, 8), LENGTH - 8)):
+                if place == LENGTH - 8:
+                    short[at : at + n] = _mixed(h)
+                h ^= h >> np.uint64(29)
+                h *= MIX[0]
+                h += c[place : place + n] * MIX[k]
+            long[at : at + n] = _mixed(h)
+        return short, long
 
     def strings(self, at: np.ndarray, width: int) -> np.ndarray:
         return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.data, width)[at]).view(f"S{width}").reshape(-1)
@@ -250,6 +254,11 @@ def _same(sorted_: np.ndarray) -> np.ndarray:
     return np.r_[True, sorted_[1:] != sorted_[:-1]] if len(sorted_) else np.zeros(0, bool)
 
 
+def _unique(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[_same(values)]
+
+
 def _sampled_keys(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The different hashes of a block's sampled strings, and whether each comes twice there."""
     keys = np.sort(block.hashes()[0][block.sampled()] >> np.uint64(64 - bits))
@@ -262,7 +271,7 @@ def _repeated(asked: list[bytes], part: int) -> list[bytes]:
     every = np.sort(np.concatenate(values)) >> np.uint64(1)
     twice = every[1:][every[1:] == every[:-1]]
     marked = np.concatenate([v[(v & np.uint64(1)) > 0] >> np.uint64(1) for v in values])
-    twice = np.unique(np.concatenate([twice, marked]))
+    twice = _unique(np.concatenate([twice, marked]))
     return [_pack_bits(_is_in(v >> np.uint64(1), twice)) for v in values]
 
 
@@ -283,7 +292,7 @@ def _candidates(row: dict, bits: int, power: int) -> list[dict]:
     block = Block(row)
     (at,) = np.nonzero(block.sampled())
     keys = block.hashes()[0][at] >> np.uint64(64 - bits)
-    known = np.unique(keys)
+    known = _unique(keys)
     twice = known[_answers(row, _hash_cuts(known, bits, power), _unpack_bits).astype(bool)]
     # most of those that aren't among them are told by a table of the first bits
     small = max(1, min(bits, _power(len(twice)) + 3))
@@ -341,7 +350,7 @@ def _heads(row: dict, bits: int, power: int) -> list[dict]:
     block = Block(row)
     at = np.flatnonzero(_unpack_bits(row["marked"], block.n))
     contexts = _contexts(block, at, bits)
-    items = np.unique(contexts)
+    items = _unique(contexts)
     told = _answers(row, _hash_cuts(items >> np.uint64(18), bits, power), lambda a, n: _unpack_bits(a, 3 * n).reshape(3, n).T.astype("u1") @ np.array([4, 2, 1], "u1"))
     told = told.astype("u1")[np.searchsorted(items, contexts)]
     twice, before, after = told & 4 > 0, told & 2 > 0, told & 1 > 0
@@ -556,6 +565,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     `size` bytes. Other columns aren't read."""
     session = small_batches(docs.sparkSession, "8m")
     session.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # blocks are small and take long
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     blocks = _blocks(rows, size, session)
     total = blocks.agg(F.sum("size")).first()[0] or 0
