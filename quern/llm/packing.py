@@ -91,14 +91,16 @@ class Packer:
 
 
 class Ids:
-    """A tokenizer file's ids for a text, then the closing id."""
+    """A tokenizer file's ids for a text, then the closing id. A special token's string that stands in a text
+    gives that token, as the library does by default, unless `plain`: then it is text like any other."""
 
-    def __init__(self, path: str, closing: int, most: int):
+    def __init__(self, path: str, closing: int, most: int, plain: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.closing = np.array([closing], "<u4").tobytes()
         line = self._encode(["\n"])[0]
         self.line = line[0] if len(line) == 1 else None
@@ -108,7 +110,7 @@ class Ids:
         """Ids of texts. Chunks that begin with their only space go many at a time, a line feed between them,
         which is a token by itself there; its id tells where each ends."""
         out: list[bytes] = [b""] * len(texts)
-        some = [i for i, t in enumerate(texts) if self.line is not None and t[:1] == " " and t[1:2].strip() and t[-1].strip() and "\n" not in t]
+        some = [i for i, t in enumerate(texts) if self.line is not None and t[:1] == " " and t[1:2].strip() and t[-1].strip() and "\n" not in t and not any(s in t for s in self.special)]
         left = set(range(len(texts))).difference(some)
         for at in range(0, len(some), JOINED):
             group = some[at : at + JOINED]
@@ -134,16 +136,18 @@ class Ids:
 
 
 @functools.lru_cache(maxsize=2)
-def _loaded(path: str, closing: int, most: int) -> Ids:
-    return Ids(path, closing, most)
+def _loaded(path: str, closing: int, most: int, plain: bool) -> Ids:
+    return Ids(path, closing, most, plain)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 1, doc_id: str = "doc_id", text: str | Column = "text", cached: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 1, doc_id: str = "doc_id", text: str | Column = "text", cached: int = 1_000_000, plain: bool = False) -> DataFrame:
     """One row for each piece: SCHEMA, ids as little-endian unsigned 32-bit numbers. Every token of
     every row lies in one piece; a null or empty text is the closing id alone; repeated rows and null
     ids are packed like others; other columns are not read. sequence_id is unique: its upper bits are
     the number of the partition. No shuffle; a task that is lost gives the same rows again. A text of any
-    length is tokenised as a whole and cut. cached: chunks of texts whose ids a worker remembers.
+    length is tokenised as a whole and cut. cached: chunks of texts whose ids a worker remembers. plain: the
+    string of a special token in a text is split as text and never becomes the token, which training data
+    from untrusted sources may want; else it does, as the tokenizer's library gives it.
 
     capacity must be a power of two for sequences that need no padding at the end of a partition."""
     kind = docs.schema[doc_id].dataType
@@ -151,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, closing: int = 1
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.col(text) if isinstance(text, str) else text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer, ready, held = _loaded(tokenizer, closing, cached), Packer(capacity, TaskContext.get().partitionId() << 33), [], 0
+        ids, packer, ready, held = _loaded(tokenizer, closing, cached, plain), Packer(capacity, TaskContext.get().partitionId() << 33), [], 0
         schema = None
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:

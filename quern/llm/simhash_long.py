@@ -31,7 +31,7 @@ from quern.llm.simhash import unite, whole_lists
 WIDTH, LEAST, SEED = 5, 0.8, 42
 #: 64-bit words of a fingerprint, byte positions, choices of 3 positions, and what a pair must reach.
 WORDS = 8
-POSITIONS, TRIPLES, LEAST_SHARED, MOST_BITS = 8 * WORDS, 189, 9, 102
+POSITIONS, TRIPLES, LEAST_SHARED, MOST_BITS = 8 * WORDS, 252, 9, 102
 #: Shingles that are mixed at a time, so that a text of any length takes bounded memory.
 AT_ONCE = 255
 #: Longest list and largest set of candidates that one task compares.
@@ -117,16 +117,18 @@ def near_of_list(own: np.ndarray) -> np.ndarray:
 
 def candidates(classes: DataFrame, long: int = LONG) -> DataFrame:
     """classes (node, print), distinct nodes: stars (a, b) of the components within each list. A list of
-    over `long` entries is dealt to several, each with its least node."""
+    over `long` entries is cut into parts of about that many, and each two parts (and each one) are compared
+    in a tile of their own, so that no task holds more than two parts and each pair of a list meets."""
     tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posted = postings(classes.select("node", "print").repartition(tasks, "node"))  # each row becomes TRIPLES rows
-    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     lists = materialise(lists.withColumn("parts", F.ceil(F.col("n") / long)), "lists")
     few = lists.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     own = lists.select(F.struct("key").alias("list"), "parts")
-    members = posted.withColumn("list", F.struct("key")).join(F.broadcast(own) if few else own, "list").select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
-    leaders = lists.where("parts > 1").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("least").alias("node"))
-    entries = members.unionByName(leaders).join(classes.select("node", "print"), "node")
+    members = posted.withColumn("list", F.struct("key")).join(F.broadcast(own) if few else own, "list")
+    part, other = F.pmod(F.xxhash64("node"), "parts"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    tiles = F.transform(other, lambda o: F.greatest(part, o) * F.col("parts") + F.least(part, o))
+    entries = members.select("key", F.explode(tiles).alias("part"), "node").join(classes.select("node", "print"), "node")
     sorted_ = entries.select("key", "part", "node", "print").repartition("key", "part").sortWithinPartitions("key", "part", "node")
 
     def stars(rows: np.ndarray) -> pa.RecordBatch:

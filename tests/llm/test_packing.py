@@ -9,7 +9,6 @@ from quern.llm import packing, queries
 from tests.llm.conftest import ROWS
 
 tokenizer = Tokenizer.from_file(queries.TOKENIZER)
-tokenizer.encode_special_tokens = True
 
 
 def whole(text):
@@ -88,6 +87,31 @@ PARTS = st.lists(st.sampled_from([" ", "\n", "  ", "\t", "a", "the", "Don't", "
 @settings(max_examples=200, deadline=None)
 @given(st.lists(PARTS, max_size=6))
 def test_ids_are_the_tokenizers(texts):
-    ids = packing.Ids(queries.TOKENIZER, 1, 50)
+    ids = packing.Ids(queries.TOKENIZER, 1, 50, False)
     for _ in range(2):  # new and remembered chunks
         assert [x.tolist() for x in ids(texts)] == [whole(t).tolist() for t in texts]
+
+
+SPECIAL = ["a<|endoftext|>b", "<|endoftext|>", "a <|endoftext|> b", "a\n<|endoftext|>\nb c<|endoftext|>", " <|endoftext|><|endoftext|> x y <|endoftext|>z", "one two <|endoftext> |<|endoftext|>  ", "x <|endoftext|>\n y z"]
+
+
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "ab", "c ", " d", "<|", "|>"]), max_size=12).map("".join), min_size=1, max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_ids_are_the_librarys(texts):
+    for plain in (False, True):
+        other = Tokenizer.from_file(queries.TOKENIZER)
+        other.encode_special_tokens = plain
+        ids = packing.Ids(queries.TOKENIZER, 1, 100, plain)
+        assert [x.tolist() for x in ids(texts + SPECIAL)] == [[*other.encode(t, add_special_tokens=False).ids, 1] for t in texts + SPECIAL]
+
+
+def test_special_strings_in_texts(spark):
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    for plain in (False, True):
+        found = defaultdict(list)
+        for r in packing.pack(docs, queries.TOKENIZER, plain=plain).collect():
+            found[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+        for i, t in enumerate(SPECIAL):
+            ids = [x for _, part in sorted(found[i]) for x in part]
+            assert (50256 in ids) != plain
+            assert plain or ids == whole(t).tolist()
