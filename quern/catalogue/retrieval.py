@@ -9,7 +9,8 @@ from pyspark.sql import Window, functions as F
 from quern.catalogue.registry import query, tok
 from quern.config import DEFAULTS
 from quern.functions import documents, text as tx
-from quern.operators import dense, fusion, lexical, select
+from quern.operators import dense, fusion, lexical, select, vector_index
+from quern.sources.tables import new_path
 
 K = DEFAULTS.top_k
 
@@ -100,6 +101,21 @@ def dense_topk(table, spark):
     return dense.nearest(table("embeddings"), vector_queries(table), DEFAULTS.dense_k)
 
 
+def index_of(table, spark):
+    return vector_index.build(table("embeddings"), new_path(spark, "vector-index"))
+
+
+@query()
+def vector_index_topk(table, spark):
+    return vector_index.search(index_of(table, spark), vector_queries(table), DEFAULTS.dense_k)
+
+
+@query(DENSE_SQL + f"SELECT query_id, vec_id, score, rank FROM near WHERE rank <= {DEFAULTS.dense_k}")
+def vector_index_all_cells(table, spark):
+    index = index_of(table, spark)
+    return vector_index.search(index, vector_queries(table), DEFAULTS.dense_k, index.cells)
+
+
 @query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 u AS (SELECT vec_id, label, list_transform(e, lambda x: x / CASE WHEN list_dot_product(e, e) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END) AS u FROM v)
 SELECT vec_id, label, round(list_sum(u), 6) AS total, round(list_dot_product(u, u), 6) AS norm2 FROM u""")

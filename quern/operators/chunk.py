@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.config import DEFAULTS
 from quern.functions.text import uuid5
+from quern.operators.numbering import numbered
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -63,8 +64,8 @@ def split(docs: DataFrame, size: int = DEFAULTS.chunk_size, overlap: int = DEFAU
 
 
 def with_ordinal(rows: DataFrame, by: str, *order: str) -> DataFrame:
-    """The place of each row in its source, from 0."""
-    return rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+    """The place of each row in its source, from 0. A source of any size spreads over tasks."""
+    return numbered(rows, list(order), (by,), "chunk_index", "ordinals").withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
 
 def chunk_id(collection: str, source: Column, index: Column) -> Column:

@@ -10,9 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.config import DEFAULTS, Config
+from quern.operators.numbering import numbered
+from quern.sources.tables import materialise
 
-#: Queries in one block of a search; the blocks are broadcast one after the other.
-BLOCK = 4096
+#: Bytes of query vectors that are sent to the tasks at a time.
+SENT = 128 << 20
+#: Vectors that are compared with them at a time.
+AT_ONCE = 2048
 
 
 def unit(vector: Column) -> Column:
@@ -21,49 +25,83 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, sent: int = SENT) -> DataFrame:
     """vectors (vec_id, embedding), queries (query_id, embedding): -> (query_id, vec_id, score, rank),
-    cosines rounded to 6 places, equal ones by vec_id. Every vector is compared with every query by
-    matrix products. The queries are a stated set, sent out in blocks of BLOCK rows; a task keeps the k
-    best of its rows for each query, so k rows a query and task are shuffled. Vectors that are null, or not
-    of the length that the first query has, have no cosine and are left out, on both sides."""
-    queries = queries.where("embedding is not null")
-    ids = [r[0] for r in queries.select("query_id").orderBy("query_id").collect()]
-    out = None
-    for at in range(0, max(len(ids), 1), BLOCK):
-        block = queries.where(F.col("query_id").between(ids[at], ids[min(at + BLOCK, len(ids)) - 1])).orderBy("query_id").collect() if ids else []
-        part = _search(vectors, block, k)
-        out = part if out is None else out.unionByName(part)
+    cosines rounded to 6 places, equal ones by vec_id. Every vector is compared with every query of its
+    length by matrix products. The queries are a stated set. They are counted; up to `sent` bytes of them go
+    to the tasks at once. More are numbered and written, and go out in blocks of that size, one job and one
+    pass over the vectors for each, whose results are written. A task keeps the k best of its rows for each
+    query, so k rows a query and task are shuffled. Vectors that are null, or hold one, have no cosine and
+    are left out, on both sides; of queries that repeat an id the one with the smallest vector counts."""
+    asked = queries.where("embedding is not null").groupBy("query_id").agg(F.min("embedding").alias("embedding"))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    most = max(1, sent // (8 * max(1, size["dim"] or 1)))
+    if size["n"] <= most:
+        out = _search(vectors, asked, k)
+    else:
+        placed, out = numbered(asked, ["query_id"], name="_place", written="vector-queries"), None
+        for at in range(0, size["n"], most):
+            part = materialise(_search(vectors, placed.where(F.col("_place").between(at, at + most - 1)).drop("_place"), k), "vector-hits")
+            out = part if out is None else out.unionByName(part)
+    return best_of(out, k)
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) -> the k best of each query with their rank; equal ones by vec_id."""
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", best).where(F.col("rank") <= k)
+    return found.withColumn("rank", best).where(F.col("rank") <= k)
 
 
-def _search(vectors: DataFrame, block: list, k: int) -> DataFrame:
-    dim = len(block[0]["embedding"]) if block else 0
-    block = [r for r in block if len(r["embedding"]) == dim and None not in r["embedding"]]
-    names = np.array([r["query_id"] for r in block], "i8")
-    wanted = _unit_rows(np.array([r["embedding"] for r in block], "f8")) if block else None
+def by_length(ids: pa.Array, embeddings: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The rows of each length, as ids and unit vectors; rows that are null or hold one are left out."""
+    sizes, out = pc.list_value_length(embeddings), {}
+    for dim in pc.unique(sizes.drop_null()).to_pylist():
+        some = pc.equal(sizes, dim)
+        own, rows = ids.filter(some, null_selection_behavior="drop"), embeddings.filter(some, null_selection_behavior="drop")
+        if rows.flatten().null_count:
+            whole = pa.array([None not in v for v in rows.to_pylist()], pa.bool_())
+            own, rows = own.filter(whole), rows.filter(whole)
+        if len(own):
+            out[dim] = own.to_numpy(), _unit_rows(rows.flatten().to_numpy().reshape(len(own), dim).astype("f8"))
+    return out
+
+
+class Best:
+    """The k best (id, score) of each of n queries, over parts of the vectors."""
+
+    def __init__(self, k: int):
+        self.k, self.score, self.ids = k, None, None
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        """score (queries, vectors), ids (vectors)."""
+        ids = np.broadcast_to(ids, score.shape)
+        if self.score is not None:
+            score, ids = np.hstack([self.score, score]), np.hstack([self.ids, ids])
+        order = np.lexsort((ids, -score), axis=1)[:, : self.k]
+        self.score, self.ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+    def batch(self, queries: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, self.ids.shape[1])), pa.array(self.ids.ravel()), pa.array(self.score.ravel())], ["query_id", "vec_id", "score"])
+
+
+def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.round(queries @ rows.T, 6) if rows.shape[1] else np.zeros((len(queries), len(rows)))
+
+
+def _search(vectors: DataFrame, block: DataFrame, k: int) -> DataFrame:
+    """block: queries whose bytes have been counted against a bound."""
+    told = block.orderBy("query_id").toArrow().combine_chunks()
+    wanted = by_length(told["query_id"].combine_chunks(), told["embedding"].combine_chunks()) if len(told) else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score = best_id = None
+        best = {dim: Best(k) for dim in wanted}
         for batch in batches:
-            if wanted is None:
-                continue
-            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), dim))  # null: left out
-            if batch.column(1).flatten().null_count:
-                batch = batch.filter(pa.array([None not in v for v in batch.column(1).to_pylist()], pa.bool_()))
-            if not len(batch):
-                continue
-            ids = batch.column(0).to_numpy()
-            rows = _unit_rows(batch.column(1).flatten().to_numpy().reshape(len(ids), -1).astype("f8"))
-            score = np.round(wanted @ rows.T, 6)
-            ids = np.broadcast_to(ids, score.shape)
-            if best_score is not None:
-                score, ids = np.hstack([best_score, score]), np.hstack([best_id, ids])
-            order = np.lexsort((ids, -score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-        if best_score is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_id.shape[1])), pa.array(best_id.ravel()), pa.array(best_score.ravel())], ["query_id", "vec_id", "score"])
+            for dim, (ids, rows) in by_length(batch.column(0), batch.column(1)).items():
+                for at in range(0, len(ids) if dim in wanted else 0, AT_ONCE):
+                    best[dim].add(cosines(wanted[dim][1], rows[at : at + AT_ONCE]), ids[at : at + AT_ONCE])
+        for dim, found in best.items():
+            if found.score is not None:
+                yield found.batch(wanted[dim][0])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
 

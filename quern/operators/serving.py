@@ -84,8 +84,9 @@ def active(requests: DataFrame, now: Column, idle: str = DEFAULTS.session_idle)
 
 def metrics(turns: DataFrame, now: Column, most: int = 2000) -> DataFrame:
     """turns (ts, error, timeout, latency_s, cost_usd, input_tokens, output_tokens): one row of totals, and of the
-    hour before `now` among the last `most` turns."""
-    recent = turns.orderBy(F.desc("ts")).limit(most).where(F.col("ts") >= now - F.expr("interval 1 hour"))
+    hour before `now` among the last `most` turns; of turns of one time those that come first in the other columns."""
+    ties = ("error", "timeout", "latency_s", "cost_usd", "input_tokens", "output_tokens")
+    recent = turns.select("ts", *ties).orderBy(F.desc("ts"), *ties).limit(most).where(F.col("ts") >= now - F.expr("interval 1 hour"))
     totals = turns.agg(F.count(F.lit(1)).alias("queries"), F.count_if("error").alias("errors"), F.count_if("timeout").alias("timeouts"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
     at = lambda q: F.round(F.get(F.col("l"), F.bround(q * (F.size("l") - 1)).cast("int")), 3)
     hour = recent.agg(F.count(F.lit(1)).alias("hour_queries"), F.count_if("error").alias("hour_errors"), F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 4).alias("hour_cost_usd"), F.array_sort(F.collect_list("latency_s")).alias("l"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.config import DEFAULTS
 from quern.functions.text import normalise_question
+from quern.operators.numbering import numbered
 
 
 def cost(tokens: dict[str, Column], prices: dict[str, float], calls: Column | None = None, fee: float = 0.0, flat: float = 0.0) -> Column:
@@ -72,8 +73,8 @@ def mined(questions: DataFrame, known: DataFrame, downs: DataFrame) -> DataFrame
     first = F.min_by(F.struct(*questions.columns), F.struct("ts", "seq")).alias("first")
     of = new.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("failed").alias("failed"), first)
     of = of.join(keys(downs).withColumn("down", F.lit(1)), "key", "left").withColumn("down", F.coalesce("down", F.lit(0)))
-    place = F.row_number().over(Window.orderBy(F.desc("down"), F.desc("failed"), F.desc("n"), "last_seen", "key"))
-    return of.withColumn("candidate", F.format_string("cand-%03d", place))
+    placed = numbered(of, [F.desc("down"), F.desc("failed"), F.desc("n"), "last_seen", "key"], name="_place", written="candidates")
+    return placed.withColumn("candidate", F.format_string("cand-%03d", F.col("_place") + 1)).drop("_place")
 
 
 def rolling(events: DataFrame, ts: str, by: list[str], length: str, every: str) -> DataFrame:

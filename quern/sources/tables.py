@@ -28,11 +28,17 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, dropped when this process ends."""
+    path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage. The table is dropped when
     this process ends."""
-    path = f"{shared_dir(df.sparkSession)}/quern/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, df.sparkSession, path)
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
