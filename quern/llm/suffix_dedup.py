@@ -174,12 +174,14 @@ class Block:
     def first(self) -> np.ndarray:
         return self.begin + (self.bases > 0)
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of the strings of SAMPLED and of LENGTH bytes from each position on; made in parts that a core's
-        cache holds."""
+        cache holds, and only in parts that have a position that is wanted."""
         data, short, long = np.concatenate([self.data, np.zeros(LENGTH + 8, "u1")]), np.empty(self.n, "u8"), np.empty(self.n, "u8")
         for at in range(0, self.n, AT_ONCE):
             n = min(AT_ONCE, self.n - at)
+            if wanted is not None and not wanted[at : at + n].any():
+                continue
             c = data[at : at + n + LENGTH + 7].astype("u8")
             for k in (1, 2, 4):  # characters of 8 bytes
                 c = c[:-k] << np.uint64(8 * k) | c[k:]
@@ -309,7 +311,9 @@ def _candidates(row: dict, bits: int, power: int) -> list[dict]:
 def _contexts(block: Block, at: np.ndarray, bits: int) -> np.ndarray:
     """Of the strings at `at`: hash, byte before, byte after. For the first string of a piece nothing stands
     before: it has to decide by itself, so all that are equal to it must."""
-    key = block.hashes()[1][at] >> np.uint64(64 - bits)
+    wanted = np.zeros(block.n, bool)
+    wanted[at] = True
+    key = block.hashes(wanted)[1][at] >> np.uint64(64 - bits)
     piece = np.searchsorted(block.begin, at, "right") - 1
     left = np.where(at > block.first()[piece], block.data[at - 1], EDGE).astype("u8")
     end = at + LENGTH
