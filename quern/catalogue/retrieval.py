@@ -73,6 +73,15 @@ def bm25_corpus(table, spark):
     return found.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
 
 
+@query(bm25_sql() + TOP_SQL)
+def bm25_segments(table, spark):
+    """Documents come in four batches, each a segment of the index."""
+    index = lexical.open_index(spark, new_path(spark, "bm25"))
+    for n in range(4):
+        index.append(table("documents").where(F.pmod("doc_id", F.lit(4)) == n), text(), f"batch-{n}")
+    return lexical.search(index, questions(table), text(), K)
+
+
 @query(bm25_sql(cutoff=0.2) + TOP_SQL)
 def bm25_df_filter(table, spark):
     return lexical.search(indexed(table), questions(table), text(), K, replace(DEFAULTS, df_cutoff=0.2))
@@ -174,7 +183,7 @@ def scoped_hits(table):
     index = lexical.build(docs, text())
     hits = lexical.search(index, questions(table), text(), 2)
     scopes = docs.select("doc_id", "source").join(lexical.bounded(hits.select("query_id", "doc_id")), "doc_id").select("query_id", "source").distinct()
-    return lexical.scoped(docs, index, questions(table), scopes, text(), DEFAULTS.entity_k)
+    return lexical.scoped(index, questions(table), scopes, text(), DEFAULTS.entity_k)
 
 
 @query(bm25_sql() + SCOPE_SQL + f""", hits AS (

@@ -93,8 +93,7 @@ def lists(engine: Engine, subs: DataFrame) -> DataFrame:
     fused = fusion.fuse(narrow(near, config.dense_k, config.multi_k), narrow(sparse, config.sparse_k, config.multi_k), max(config.fused_k, config.multi_fused_k), config)
     found = narrow(fused, config.fused_k, config.multi_fused_k).withColumn("scoped", F.lit(False))
     if engine.entities is not None:
-        docs = engine.chunks.select("doc_id", F.col("source").cast("string").alias("source"))
-        hits = entities.scoped_candidates(ids.select("query_id", F.col("text").alias("question")), docs, engine.words, engine.entities, config)
+        hits = entities.scoped_candidates(ids.select("query_id", F.col("text").alias("question")), engine.words, engine.entities, config)
         found = fusion.prepend(found, hits.withColumnRenamed("doc_id", "key"), ("query_id",))
     found = found.join(lexical.bounded(known), "query_id").select(F.col("of").alias("query_id"), "sub_idx", "key", "rank", "fusion_score", "dense_rank", "bm25_rank", "scoped", "n_subs")
     if own.extra is not None:

@@ -101,7 +101,7 @@ def test_scoped_search_keeps_unscored_documents_and_takes_turns(spark):
     docs = spark.createDataFrame([(1, "a", "cat dog"), (2, "a", "cat"), (3, "b", "bird"), (4, "b", "cat cat fish"), (5, "c", "cat")], "doc_id long, source string, text string")
     queries = spark.createDataFrame([(1, "cat")], "query_id long, text string")
     scopes = spark.createDataFrame([(1, "a"), (1, "b")], "query_id long, source string")
-    got = lexical.scoped(docs, lexical.build(docs, F.col("text")), queries, scopes, F.col("text"), 2).orderBy("scoped_rank").collect()
+    got = lexical.scoped(lexical.build(docs, F.col("text")), queries, scopes, F.col("text"), 2).orderBy("scoped_rank").collect()
     assert [r["source"] for r in got] == ["a", "b", "a", "b"]
     assert {r["doc_id"]: r["score"] for r in got}[3] == 0.0 and len(got) == 4
 
@@ -361,16 +361,58 @@ def test_vectors_without_a_cosine_are_left_out(spark):
     assert dense.nearest(vectors.limit(0), queries, 5).count() == 0 and dense.nearest(vectors, queries.limit(0), 5).count() == 0
 
 
-def test_search_is_the_top_of_all_scores(spark, small, monkeypatch):
-    """With ties, negative weights, texts without terms, and where the matrix would be too large."""
+def test_search_is_the_top_of_all_scores(spark, monkeypatch):
+    """Bit for bit, with ties, negative weights, texts without terms; for shards of any size and queries that
+    go out in groups."""
     docs = [(i, t) for i, t in enumerate(["a b", "a b", "a", "", None, "c a a", "b " * 40, "a d", "zz"] * 3)]
     docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    queries = spark.createDataFrame([(1, "a"), (2, "b b zz"), (3, "none"), (4, ""), (5, "a b c d")], "query_id long, text string")
+    queries = spark.createDataFrame([(1, "a"), (2, "b b zz"), (3, "none"), (4, ""), (5, "a b c d"), (None, "zz d")], "query_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.where("query_id is not null").select("query_id", "rank", "doc_id", "score").collect()))
     index = lexical.build(docs, F.col("text"))
-    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "doc_id", "score").collect()))
     want = rows(lexical.top(lexical.score(index, queries, F.col("text")), 4))
-    assert rows(lexical.search(index, queries, F.col("text"), 4)) == want and len(want) == 12
-    monkeypatch.setattr(lexical, "MATRIX", 3)
+    for shard_docs in (1, 2, 4096):
+        small = lexical.build(docs, F.col("text"), shard_docs=shard_docs)
+        assert rows(lexical.search(small, queries, F.col("text"), 4)) == want and len(want) == 12
+    assert lexical.search(index, queries, F.col("text"), 4).where("query_id is null").count() == 4
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 3)
     assert rows(lexical.search(index, queries, F.col("text"), 4)) == want
     assert lexical.search(index, queries.limit(0), F.col("text"), 4).count() == 0
     assert lexical.search(lexical.build(docs.limit(0), F.col("text")), queries, F.col("text"), 4).count() == 0
+
+
+def test_pruned_search_scores_few_documents(spark, small):
+    """Documents that can't reach the k-th score are not scored, and the result has the same bits."""
+    docs = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "source", "text")
+    queries = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    index = lexical.build(docs.coalesce(1), F.col("text"), shard_docs=64)
+    every = lexical.score(index, queries, F.col("text"))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "doc_id", "score").collect()))
+    assert rows(lexical.search(index, queries, F.col("text"), 10)) == rows(lexical.top(every, 10))
+    scored = lexical.work(index, queries, F.col("text"), 10).agg(F.sum("scored")).first()[0]
+    print("scored", scored, "of", every.count())
+    assert 0 < scored < 0.7 * every.count()
+
+
+def test_segments_give_what_a_rebuilt_index_gives(spark, small, tmp_path):
+    """After every batch, after a batch that is run again and after compaction."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source", "text")
+    queries = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").limit(20)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "doc_id", "score").collect()))
+    index = lexical.open_index(spark, str(tmp_path / "bm25"), shard_docs=40)
+    assert lexical.search(index, queries, F.col("text"), 5).count() == 0
+    so_far = docs.limit(0)
+    for n in range(3):
+        part = docs.where(F.col("doc_id") % 3 == n)
+        index.append(part, F.col("text"), f"batch-{n}")
+        index.append(part, F.col("text"), f"batch-{n}")
+        so_far = so_far.unionByName(part)
+        whole = lexical.build(so_far, F.col("text"))
+        assert rows(lexical.search(index, queries, F.col("text"), 5)) == rows(lexical.search(whole, queries, F.col("text"), 5))
+        assert sorted(map(tuple, index.stats.collect())) == sorted(map(tuple, whole.stats.collect()))
+    index = lexical.open_index(spark, str(tmp_path / "bm25"))
+    index.compact("all")
+    assert index.segments() == ["all"]
+    assert rows(lexical.search(index, queries, F.col("text"), 5)) == rows(lexical.search(whole, queries, F.col("text"), 5))
+    scopes = spark.createDataFrame([(r["query_id"], s) for r in queries.collect() for s in ("src1", "src2")], "query_id long, source string")
+    both = [lexical.scoped(i, queries, scopes, F.col("text"), 3).select("query_id", "scoped_rank", "source", "doc_id", "score") for i in (index, whole)]
+    assert sorted(map(tuple, both[0].collect())) == sorted(map(tuple, both[1].collect())) != []
