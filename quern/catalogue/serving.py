@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from quern.catalogue.registry import query
 from quern.config import DEFAULTS
 from quern.functions import documents, prompts, text as tx
-from quern.operators import serving, usage
+from quern.operators import reuse, serving, usage
 from quern.sources import ingest
 
 PRICES = {"input": 0.25, "output": 1.5}
@@ -67,6 +67,21 @@ def cache_stats(table, spark):
     return usage.cache_stats(usage.ttl_cache(lookups(table)))
 
 
+#: Entries of the cache that forgets: fewer than there are keys on any of the data sets.
+ENTRIES = 100
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT user_id || ':' || event_type AS key, event_id AS seq, epoch_us(ts) AS t, row_number() OVER (ORDER BY epoch_us(ts), event_id) AS n FROM events),
+p AS (SELECT *, lag(n) OVER (PARTITION BY key ORDER BY n) AS p, row_number() OVER (PARTITION BY key ORDER BY n) AS i FROM l),
+d AS (SELECT a.n, count(DISTINCT b.key) AS distance FROM p a JOIN l b ON b.n > a.p AND b.n < a.n GROUP BY a.n),
+o AS (SELECT p.*, p IS NOT NULL AND coalesce(distance, 0) < {ENTRIES} AS there FROM p LEFT JOIN d USING (n)),
+w AS (SELECT key, seq, i, t + 86400000000 AS until, false AS hit FROM o WHERE i = 1
+  UNION ALL SELECT o.key, o.seq, o.i, CASE WHEN o.there AND w.until >= o.t THEN w.until ELSE o.t + 86400000000 END, o.there AND w.until >= o.t FROM w JOIN o ON o.key = w.key AND o.i = w.i + 1)
+SELECT key, seq, hit FROM w""")
+def cache_lru(table, spark):
+    return reuse.lru_cache(lookups(table), ENTRIES)
+
+
 @query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN turn = 6 THEN 503 WHEN regexp_replace(coalesce(t, ''), '[ \\t\\n\\x0B\\f\\r]+', '', 'g') = '' THEN 400 WHEN length(t) > 2000 THEN 422 ELSE 200 END AS status
 FROM (SELECT turn, CASE WHEN turn % 4 = 1 THEN ' ' || chr(10) WHEN turn % 4 = 2 THEN repeat(text, 40) ELSE text END AS t FROM conversations WHERE role = 'user')) GROUP BY status""")
 def request_validation(table, spark):

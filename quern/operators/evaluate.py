@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quern.functions.text import fact_in, normalise_answer, normalise_url
 from quern.operators.lexical import bounded
+from quern.sources.tables import materialise
 
 
 def groups(value: Column) -> Column:
@@ -61,15 +62,43 @@ def percentile(values: Column, q: float) -> Column:
     return F.when(F.size(kept) > 0, F.get(kept, at - 1))
 
 
-def exact_percentiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """percentile() without gathering a group: the rank of each row by a sort, then the rows at the ranks
-    asked for. Groups of any size, as a window spills."""
-    from pyspark.sql import Window
-
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
-    sizes = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    joined = ranked.join(sizes, by)
-    return joined.groupBy(*by).agg(*(F.max(F.when(F.col("_at") == F.bround(q * (F.col("_n") - 1)).cast("long"), F.col(value))).alias(name) for name, q in qs.items()))
+#: Rows of a range of values that are sorted in one task, and ranges that a wider one is cut into.
+SORTED, CUT = 10_000, 1024
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, float], most: int = SORTED) -> DataFrame:
+    """percentile() without sorting a group: of each group the values are counted in CUT ranges of equal width,
+    only the range that holds a rank is looked at again, and so on until it has `most` rows at most or one
+    value. The counts are combined where the rows are, so a group of any size is no one's work. Null and NaN
+    don't count; a group without other values isn't there. Groups are joined null to null."""
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    own = rows.select(key.alias("_g"), F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    kind = rows.schema[value].dataType
+    # every (group, percentile) is a search of its own: from which values on to which, and the rank in between
+    ends = own.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    named = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in qs.items())))
+    open_ = ends.withColumn("x", named).select("_g", "x.name", F.bround(F.col("x.q") * (F.col("n") - 1)).cast("long").alias("rank"), "n", "low", "high")
+    open_, found = materialise(open_, "percentiles"), None
+    while True:
+        done = materialise(open_.where("low = high").select("_g", "name", F.col("low").alias("v")), "percentiles-done")
+        left = open_.where("low < high")
+        few = left.where(F.col("n") <= most)
+        inside = own.join(bounded(few), "_g").where("_v between low and high")
+        sorted_ = inside.groupBy("_g", "name").agg(F.get(F.array_sort(F.collect_list("_v")), F.first("rank").cast("int")).alias("v"))
+        part = done.unionByName(materialise(sorted_, "percentiles-sorted"))
+        found = part if found is None else found.unionByName(part)
+        wide = left.where(F.col("n") > most)
+        if not wide.limit(1).count():
+            break
+        # by halves, so that the width of any two numbers is one; the least and the greatest are never in one range
+        width = F.col("high") / 2 - F.col("low") / 2
+        at = F.when(F.col("_v") == F.col("low"), 0).when(F.col("_v") == F.col("high"), CUT - 1).otherwise(F.least(F.floor(F.coalesce(F.try_divide(F.col("_v") / 2 - F.col("low") / 2, width), F.lit(0.5)) * CUT), F.lit(CUT - 1)))
+        counts = own.join(bounded(wide), "_g").where("_v between low and high").groupBy("_g", "name", "rank", at.alias("at")).agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        before = F.sum("c").over(Window.partitionBy("_g", "name").orderBy("at")) - F.col("c")  # CUT rows at most
+        narrowed = counts.withColumn("before", before).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("c")))
+        open_ = materialise(narrowed.select("_g", "name", (F.col("rank") - F.col("before")).alias("rank"), F.col("c").alias("n"), "low", "high"), "percentiles")
+    wide = found.groupBy("_g").agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).cast(kind).alias(name) for name in qs))
+    return wide.select(*(F.col("_g")[c].alias(c) for c in by), *qs)
 
 
 def mean(name: str, *, digits: int = 6) -> list[Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.config import Config
 from quern.functions import text as tx
-from quern.operators import chunk, context, control, dense, entities, evaluate, fusion, lexical, select, usage
+from quern.operators import chunk, context, control, dense, entities, evaluate, fusion, lexical, reuse, select, usage
 from quern.sources import ingest
 
 
@@ -249,6 +249,57 @@ def test_lru(drawn, most):
     assert usage.lru(trace, most, 50) == want
 
 
+@given(st.lists(st.integers(0, 40), max_size=300))
+def test_smaller_before(values):
+    assert reuse.smaller_before(np.array(values, "i8")).tolist() == [sum(x < v for x in values[:i]) for i, v in enumerate(values)]
+
+
+@pytest.mark.parametrize("span", [7, 100, 1 << 18])
+def test_lru_of_a_whole_trace(spark, span):
+    """The walk of one machine, for blocks of any size; a third of the lookups are of one key, some of none."""
+    rng = np.random.default_rng(span)
+    at = np.cumsum(rng.integers(0, 40, 900)) * 1_000_000
+    keys = [None if k == 3 else "hot" if k < 20 else f"k{k}" for k in rng.integers(0, 60, 900)]
+    trace = spark.createDataFrame([(k, int(i), int(t)) for i, (k, t) in enumerate(zip(keys, at))], "key string, seq long, at long")
+    lookups = trace.select("key", "seq", F.timestamp_micros("at").alias("ts")).repartition(5)
+    for most, seconds in ((5, 300), (20, 2_000), (1_000, 50)):
+        got = {r["seq"]: r["hit"] for r in reuse.lru_cache(lookups, most, seconds, span).collect()}
+        assert [got[i] for i in range(900)] == usage.lru(list(zip(keys, (at // 1_000_000).tolist())), most, seconds)
+    assert reuse.lru_cache(lookups.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 40, 10_000])
+def test_percentiles_by_refinement(spark, most):
+    """A hot group, groups of one value, ties, huge and tiny values, nulls: ranks as by sorting."""
+    rng = np.random.default_rng(2)
+    values = [("hot", float(v)) for v in np.round(rng.lognormal(0, 3, 600), 3)] + [("tie", 5.0)] * 50 + [("tie", 6.0)] * 3 + [("wide", v) for v in (-1e308, 1e308, 0.0, 5e-324, 1.0, -2.0, 3.0)] + [("one", 7.0), ("none", None), (None, 2.0), (None, None), ("nan", float("nan")), ("nan", 4.0)]
+    rows = spark.createDataFrame(values, "g string, v double").repartition(4)
+    qs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["g"]: tuple(r)[1:] for r in evaluate.exact_percentiles(rows, ["g"], "v", qs, most).collect()}
+    want = {}
+    for g in {g for g, _ in values}:
+        own = sorted(v for h, v in values if h == g and v is not None and v == v)
+        if own:
+            want[g] = tuple(own[round(q * (len(own) - 1))] for q in qs.values())
+    assert got == want
+    assert evaluate.exact_percentiles(rows.limit(0), ["g"], "v", qs).count() == 0
+    assert tuple(evaluate.exact_percentiles(rows.where("g = 'tie'"), [], "v", qs, most).first()) == (5.0, 5.0, 6.0, 6.0)
+
+
+def test_containment_meets_only_the_rarest_word(spark):
+    rng = random.Random(1)
+    common = ["technology", "applied", "science"]
+    programs = [(f"p{i}", [*rng.sample(common, 2), f"w{i % 40}"][: 1 + i % 3], i) for i in range(60)] + [("none", [], 99), ("twice", ["x", "x"], 100)]
+    questions = [(i, " ".join([*rng.sample(common, 2), *(f"w{rng.randrange(40)}" for _ in range(3))])) for i in range(80)] + [(900, None), (901, ""), (902, "x technology")]
+    p = spark.createDataFrame(programs, "label string, words array<string>, seq long")
+    q = spark.createDataFrame(questions, "query_id long, question string")
+    got = {(r["query_id"], r["label"]) for r in entities.contained(q, p).collect()}
+    want = {(i, label) for i, t in questions for label, words, _ in programs if words and set(words) <= set((t or "").split())}
+    assert got == want
+    shared = sum(bool(set(words) & set((t or "").split())) for _, t in questions for _, words, _ in programs)
+    assert entities.candidates(q, p).count() < shared / 2
+
+
 # sources
 
 
