@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,11 +49,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind when it ends, instead of when the driver happens to
+    collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def materialise(df: DataFrame, name: str, session: SparkSession | None = None) -> DataFrame:
     """Write df to the shared folder and read it back, in its own session or another one. It cuts the
     lineage: a lost executor costs no more than the tasks that it ran."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 

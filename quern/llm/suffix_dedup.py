@@ -568,7 +568,6 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     that repeat id and text are one row here. A null text is empty. A text of any length is cut into pieces of
     `size` bytes. Other columns aren't read."""
     session = small_batches(docs.sparkSession, "8m")
-    session.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # blocks are small and take long
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     blocks = _blocks(rows, size, session)
