@@ -109,9 +109,22 @@ def write_document(table, spark):
     return table("documents").select("doc_id", F.md5(made).alias("digest")).where("digest is not null")
 
 
-@query("""WITH t AS (SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), '') AS h1,
-  nullif(trim(regexp_replace(regexp_replace(string_split(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '|')[1], '<[^>]*>', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), '') AS title FROM pages)
-SELECT page_id, coalesce(h1, title, 'Untitled') AS title FROM t""")
+#: A page without the elements that are dropped by their tag, and the text of a piece of it.
+KEPT_SQL = "html"
+for _tag in ingest.DROPPED:
+    KEPT_SQL = f"regexp_replace({KEPT_SQL}, '(?s)<{_tag}( [^>]*)?>.*?</{_tag}>', '', 'g')"
+
+
+def plain_sql(x: str) -> str:
+    text = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return f"trim({text}, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query(f"""WITH k AS (SELECT page_id, {KEPT_SQL} AS k FROM pages),
+t AS (SELECT page_id, regexp_extract_all(k, '(?s)<h1[^>]*>(.*?)</h1>', 1)[1] AS h1, regexp_extract_all(k, '(?s)<title[^>]*>(.*?)</title>', 1)[1] AS title FROM k)
+SELECT page_id, coalesce({plain_sql("h1")}, trim(string_split({plain_sql("title")}, '|')[1], ' ' || chr(10)), 'Untitled') AS title FROM t""")
 def html_title(table, spark):
     return table("pages").select("page_id", ingest.page_title(F.col("html")).alias("title"))
 
@@ -179,7 +192,11 @@ def feedback_scrape(table, spark):
     return ingest.feedback(lines).select("session_id", "question")
 
 
-@query("""SELECT event_id, event_type AS event, props AS data FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'message' ELSE event_type END AS event, CASE WHEN event_id % 4 = 1 THEN '[' || chr(10) || props || chr(10) || ']' ELSE props END AS data FROM events WHERE event_id % 5 <> 2""")
 def sse_frames(table, spark):
-    raw = F.concat(F.lit("event: "), "event_type", F.lit("\ndata: "), "props", F.lit("\n\n: ping\n\n"))
+    """Frames without a name, of several data lines, of data that isn't JSON, comments, and one that isn't complete."""
+    name = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("event: "), "event_type", F.lit("\r\n")))
+    data = F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("data: [\ndata:  "), "props", F.lit("\ndata: ]"))).otherwise(F.concat(F.lit("data:"), "props"))
+    data = F.when(F.col("event_id") % 5 == 2, "data: {cut").otherwise(data)
+    raw = F.concat(name, data, F.lit("\n\n: ping\n\nevent: x\ndata: {}"))
     return table("events").select("event_id", F.explode(ingest.frames(raw)).alias("f")).select("event_id", "f.event", "f.data")

@@ -9,14 +9,16 @@ from quern.operators.evaluate import exact_percentiles, facts_found, share, urls
 
 #: A stored answer is cut to so many characters, a mined one to fewer.
 EXCERPT, MINED_EXCERPT = 1500, 400
-QUOTA_ERROR = "429|ResourceExhausted"
+#: Errors that are tried again, by what raised them. A run waits for its quota and so does an
+#: embedder; a reranker tries again what a server or a deadline broke off, and never a quota.
+RETRYABLE = {"run": "429|ResourceExhausted", "embedder": "RESOURCE_EXHAUSTED|429", "reranker": "DeadlineExceeded|ServiceUnavailable|InternalServerError|GatewayTimeout|Aborted"}
 #: What scoring owns of a case; all else is measured and carried along.
 SCORED = ("fact_recall", "facts_missed", "avoidance", "forbidden_present", "url_hit_fraction", "url_full_hit", "urls_missed", "n_cited", "citation_precision")
 
 
-def retryable(error: Column) -> Column:
-    """Is it an error of a quota, after which a case is tried again?"""
-    return F.coalesce(error.rlike(QUOTA_ERROR), F.lit(False))
+def retryable(error: Column, by: str = "run") -> Column:
+    """Is it an error after which a run, an embedder or a reranker tries again?"""
+    return F.coalesce(error.rlike(RETRYABLE[by]), F.lit(False))
 
 
 def retry_wait(attempt: Column, seconds: int = 20) -> Column:

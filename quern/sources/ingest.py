@@ -146,9 +146,20 @@ def fetch_all(urls: DataFrame, get: Callable[[str], tuple[int, str]], at_once: i
 
 
 def frames(stream: Column) -> Column:
-    """array<struct<event, data>> of a text of server-sent events; what isn't complete is left out."""
-    blocks = F.filter(F.split(stream, "\r?\n\r?\n"), lambda b: F.contains(b, F.lit("data:")))
-    return F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, "event:([^\r\n]*)", 1)).alias("event"), F.trim(F.regexp_extract(b, "data:([^\r\n]*)", 1)).alias("data")))
+    """array<struct<event, data>> of a text of server-sent events; what isn't complete is left out. The last
+    event line names a frame, "message" if there is none; its data lines are one text; a frame whose data isn't
+    JSON is skipped."""
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    after = lambda lines, name: F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit(name))), lambda x: trimmed(F.substr(x, F.lit(len(name) + 1))))
+
+    def frame(block: Column) -> Column:
+        lines = F.split(block, "\r?\n")
+        names, data = after(lines, "event:"), after(lines, "data:")
+        return F.struct(F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit("message")).alias("event"), F.when(F.size(data) > 0, F.array_join(data, "\n")).alias("data"))
+
+    blocks = F.split(stream, "\r?\n\r?\n")
+    whole = F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0)))  # what comes last isn't complete
+    return F.filter(F.transform(whole, frame), lambda f: F.try_parse_json(f["data"]).isNotNull())
 
 
 # HTML
@@ -290,12 +301,25 @@ def html_text(html: Column) -> Column:
     return run(html)
 
 
+def title_of(html: str | None) -> str:
+    """Of a page without what is dropped: the text of the first h1, else the title up to a bar, else "Untitled"."""
+    found = list(parse(html).all())
+    h1 = next((e for e in found if e.tag == "h1"), None)
+    if h1 is not None:
+        return h1.text()
+    title = next((e for e in found if e.tag == "title"), None)
+    return "".join(title.texts()).split("|")[0].strip() if title is not None else "Untitled"
+
+
 def page_title(html: Column) -> Column:
-    """The first h1, else the title up to a bar, else "Untitled"."""
-    plain = lambda x: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), r"[ \t\n\x0B\f\r]+", " ")), F.lit(""))
-    h1 = plain(F.regexp_extract(html, r"(?s)<h1[^>]*>(.*?)</h1>", 1))
-    title = plain(F.split(F.regexp_extract(html, r"(?s)<title[^>]*>(.*?)</title>", 1), r"\|")[0])
-    return F.coalesce(h1, title, F.lit("Untitled"))
+    """title_of() whole pages."""
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            yield pa.array([title_of(p) for p in pages.to_pylist()], pa.string())
+
+    return run(html)
 
 
 def category(path: Column, prefixes: dict[str, str]) -> Column:

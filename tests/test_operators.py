@@ -283,7 +283,7 @@ def test_percentiles_by_refinement(spark, most):
             want[g] = tuple(own[round(q * (len(own) - 1))] for q in qs.values())
     assert got == want
     assert evaluate.exact_percentiles(rows.limit(0), ["g"], "v", qs).count() == 0
-    assert tuple(evaluate.exact_percentiles(rows.where("g = 'tie'"), [], "v", qs, most).first()) == (5.0, 5.0, 6.0, 6.0)
+    assert tuple(evaluate.exact_percentiles(rows.where("g = 'tie'"), [], "v", qs, most).first()) == (5.0, 5.0, 5.0, 6.0)
 
 
 def test_containment_meets_only_the_rarest_word(spark):
@@ -329,8 +329,15 @@ def test_worklist_skips_failures(spark):
 def test_feedback_and_frames(spark):
     lines = ['x feedback_log {"ts": "1", "session_id": "s", "verdict": "down", "question": "q"}', "x feedback_log {broken", "none", 'feedback_log {"verdict": "up"}']
     assert [r["session_id"] for r in ingest.feedback(spark.createDataFrame([(x,) for x in lines], "value string")).collect()] == ["s"]
-    got = one(spark, "event: delta\ndata: {1}\n\n: ping\n\nevent: done\r\ndata: {2}\r\n\r\nevent").select(ingest.frames(F.col("x"))).first()[0]
-    assert [tuple(f) for f in got] == [("delta", "{1}"), ("done", "{2}")]
+    got = one(spark, "event: delta\ndata: [1]\n\n: ping\n\nevent: done\r\ndata: {\r\ndata: }\r\n\r\ndata: {cut\n\ndata: 1\n\nevent").select(ingest.frames(F.col("x"))).first()[0]
+    assert [tuple(f) for f in got] == [("delta", "[1]"), ("done", "{\n}"), ("message", "1")]
+
+
+def test_title_of_a_page():
+    page = "<head><title>A &amp; B | site</title></head><body><header><h1>No</h1></header><nav><h1>Nor</h1></nav><div class='sidebar'><h1>x</h1></div><main><h1>Yes &amp; <b>no</b></h1></main></body>"
+    assert ingest.title_of(page) == "Yes & no"
+    assert ingest.title_of(page.replace("main", "aside")) == "A & B"
+    assert ingest.title_of("<p>x</p>") == "Untitled" and ingest.title_of(None) == "Untitled" and ingest.title_of("<h1></h1><title>t</title>") == ""
 
 
 def test_main_part_of_a_page():
