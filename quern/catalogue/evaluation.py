@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from quern import models
 from quern.catalogue.registry import query
 from quern.functions import text as tx
 from quern.catalogue.context import HITS_SQL, hits
@@ -315,3 +316,24 @@ def trace_scan(table, spark):
 def per_source_topk(table, spark):
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
     return table("documents").select("source", "doc_id", rank.alias("rank")).where("rank <= 2")
+
+
+#: Replies of a rewriter to each passage: fine ones, with and without parts, and three kinds that can't be used.
+@query("""WITH r AS (SELECT item_id, text AS q, item_id % 6 AS k, string_split(text, '.')[1] AS head FROM benchmark)
+SELECT item_id, CASE WHEN k IN (0, 1) THEN trim(head) ELSE q END AS standalone,
+  CASE WHEN k = 0 THEN trim(head) || '|' || 'two' WHEN k = 1 THEN trim(head) WHEN k = 2 THEN q ELSE q END AS parts, k >= 3 AS fallback FROM r""")
+def rewrite_reply(table, spark):
+    k, head = F.col("item_id") % 6, F.split("text", "[.]")[0]
+    fine = F.to_json(F.struct(F.concat(F.lit(" "), head).alias("standalone_question"), F.when(k == 0, F.array(head, F.lit(""), F.lit(" two "))).otherwise(F.array().cast("array<string>")).alias("sub_queries")))
+    reply = F.when(k < 2, fine).when(k == 2, "{}").when(k == 3, "sorry").when(k == 4, F.substring(fine, 1, 20))
+    rows = table("benchmark").select("item_id", models.rewritten(F.col("text"), reply).alias("r"))
+    return rows.select("item_id", "r.standalone", F.array_join("r.sub_queries", "|").alias("parts"), "r.fallback")
+
+
+@query("""WITH e AS (SELECT event_id, ['429 quota', 'ResourceExhausted: x', '429 RESOURCE_EXHAUSTED', 'DeadlineExceeded: slow', 'Aborted', 'ValueError: 400', NULL][event_id % 7 + 1] AS e FROM events)
+SELECT event_id, coalesce(regexp_matches(e, '429|ResourceExhausted'), false) AS run, coalesce(regexp_matches(e, 'RESOURCE_EXHAUSTED|429'), false) AS embedder,
+  coalesce(regexp_matches(e, 'DeadlineExceeded|ServiceUnavailable|InternalServerError|GatewayTimeout|Aborted'), false) AS reranker FROM e""")
+def retryable_errors(table, spark):
+    errors = F.array(*map(F.lit, ("429 quota", "ResourceExhausted: x", "429 RESOURCE_EXHAUSTED", "DeadlineExceeded: slow", "Aborted", "ValueError: 400", None)))
+    error = F.get(errors, (F.col("event_id") % 7).cast("int"))
+    return table("events").select("event_id", *(runs.retryable(error, by).alias(by) for by in runs.RETRYABLE))

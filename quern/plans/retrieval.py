@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern import models
 from quern.config import DEFAULTS, Config
-from quern.functions import text as tx
+from quern.functions import documents, text as tx
 from quern.operators import chunk, context, control, dense, entities, fusion, lexical, select
 from quern.sources.tables import materialise
 
@@ -19,7 +19,8 @@ class Models:
     """What a deployment replaces; each has a deterministic offline stand-in. embed(text): a vector;
     split(question, most): its sub-queries; rerank(question, title, text): a score or null, null for a
     question meaning that the reranker failed; extra(question): a passage that a dense arm of its own
-    looks for; answer(texts, sources); decide: see operators.control."""
+    looks for; answer(texts, sources); decide: see operators.control; rewrite(question, history): a rewriter's
+    reply, see models.rewritten(); judge(answer, context): a share that is supported."""
 
     embed: Callable[[Column], Column] = models.embed
     split: Callable[[Column, int], Column] = models.subqueries
@@ -27,6 +28,8 @@ class Models:
     answer: Callable[[Column, Column], Column] = models.answer
     extra: Callable[[Column], Column] | None = None
     decide: Callable[[DataFrame], DataFrame] = control.lexical_controller
+    rewrite: Callable[[Column, Column], Column] | None = None
+    judge: Callable[[Column, Column], Column] = models.support
 
 
 @dataclass
@@ -68,14 +71,19 @@ def ready(spark: SparkSession, paths: dict[str, str]) -> None:
 
 
 def sub_queries(engine: Engine, questions: DataFrame) -> DataFrame:
-    """questions (query_id, text, maybe sub_queries): -> (query_id, sub_idx, sub_id, text, question, n_subs), at
-    least one of each question."""
+    """questions (query_id, text, maybe sub_queries, history): -> (query_id, sub_idx, sub_id, text, question,
+    n_subs, fallback), at least one of each question. With a rewriter, its sub-queries; fallback says that its
+    reply couldn't be used and the raw question stands."""
     most = engine.config.max_subqueries
-    parts = engine.models.split(F.col("text"), most)
+    parts, fallback = engine.models.split(F.col("text"), most), F.lit(False)
+    if engine.models.rewrite is not None:
+        history = F.col("history") if "history" in questions.columns else F.lit("")
+        questions = materialise(questions.withColumn("_reply", models.rewritten(F.col("text"), engine.models.rewrite(F.col("text"), history), most)), "rewritten")
+        parts, fallback = F.col("_reply.sub_queries"), F.col("_reply.fallback")
     if "sub_queries" in questions.columns:
         parts = F.when(F.size("sub_queries") > 0, F.slice("sub_queries", 1, most)).otherwise(parts)
-    asked = questions.select("query_id", F.col("text").alias("question"), F.when(F.size(parts) > 0, parts).otherwise(F.array("text")).alias("parts"))
-    rows = asked.select("query_id", "question", F.size("parts").alias("n_subs"), F.posexplode("parts").alias("sub_idx", "text"))
+    asked = questions.select("query_id", F.col("text").alias("question"), fallback.alias("fallback"), F.when(F.size(parts) > 0, parts).otherwise(F.array("text")).alias("parts"))
+    rows = asked.select("query_id", "question", "fallback", F.size("parts").alias("n_subs"), F.posexplode("parts").alias("sub_idx", "text"))
     return materialise(rows.withColumn("sub_id", F.col("query_id") * (most + 1) + F.col("sub_idx")), "subqueries")
 
 
@@ -119,7 +127,7 @@ def retrieve(engine: Engine, questions: DataFrame) -> DataFrame:
     rows = texts.join(lexical.bounded(pooled), "key").join(lexical.bounded(asked.join(parts, "query_id")), "query_id")
     key = select.fan_in_key(F.col("question"), config.site_words)
     title = F.coalesce("title", F.lit(""))
-    score = lambda q: F.round(engine.models.rerank(q, title, F.substring("page_content", 1, 1024)), 6)
+    score = lambda q: F.round(engine.models.rerank(q, title, documents.record_text(F.col("page_content"))), 6)
     by_sub = F.array(*(F.when(F.size("parts") > i, score(F.get("parts", F.lit(i)))) for i in range(config.max_subqueries))) if config.rerank_mode == "per_subquery" else F.lit(None).cast("array<double>")
     rows = rows.select("query_id", "key", "pool_rank", "origins", F.col("pool_fusion_score").alias("fusion"), "scoped", "n_subs", "source", "rewrite_skipped", (F.col("dense_rank").isNotNull() & F.col("bm25_rank").isNotNull()).alias("both_arms"), score(F.col("question")).alias("score"), by_sub.alias("sub_scores"), F.contains(F.lower("page_content"), F.lower(key)).alias("mentions"))
     return select.final(rows, config)
@@ -132,7 +140,7 @@ def chosen_texts(engine: Engine, chosen: DataFrame, rank: str = "final_rank") ->
 
 
 def answer(engine: Engine, questions: DataFrame) -> DataFrame:
-    """(query_id, context, chunks, sources, misses, chars, answer)."""
+    """(query_id, context, chunks, sources, misses, chars, answer, support: the judge's)."""
     config = engine.config
     chosen = select.score_threshold(retrieve(engine, questions).withColumn("rank", F.col("final_rank")), config.score_threshold, config.min_kept)
     texts = materialise(chosen_texts(engine, chosen), "chosen")
@@ -140,7 +148,7 @@ def answer(engine: Engine, questions: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("rank", "source", "page_content")))
     said = texts.groupBy("query_id").agg(rows.alias("r"))  # at most top_k chunks of a question and two for each sub-query
     said = said.select("query_id", engine.models.answer(F.transform("r", lambda x: x["page_content"]), F.transform("r", lambda x: x["source"].cast("string"))).alias("answer"))
-    return rendered.join(said, "query_id", "left")
+    return rendered.join(said, "query_id", "left").withColumn("support", F.round(engine.models.judge(F.col("answer"), F.col("context")), 6))
 
 
 def controlled(engine: Engine, questions: DataFrame) -> control.Outcome:
