@@ -5,6 +5,9 @@ from quern.llm.exact_dedup import normalised  # noqa: F401  the stage's own rule
 from tests.llm import test_exact_dedup, test_packing, test_quality, test_secret_scan, test_simhash_long
 
 import zstandard
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import ROWS
 
 
 def clean(text):
@@ -49,6 +52,20 @@ def test_stages_keep_the_columns(spark, small):
         assert stage(spark, docs.limit(0), small).count() == 0
 
 
+def test_stages_on_odd_rows(spark, odd):
+    """Nulls, empty and very long texts, repeated ids, clashing names; with and without n_chars."""
+    kept = {}
+    for docs in (odd, odd.withColumn("n_chars", F.length("text"))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns
+            kept.setdefault(name, []).append(sorted((str(r["doc_id"]), r["text"] or "") for r in out.select("doc_id", "text").collect()))
+    assert all(a == b for a, b in kept.values())
+    assert len(kept["secret scans"][0]) == len(ROWS) and all("abcdef123456" not in t for _, t in kept["secret scans"][0])
+    assert [i for i, t in kept["exact dedup"][0] if not t] == ["2"]  # of the texts that are null or empty
+    assert {r["doc_id"] for r in corpus_pipeline.packing(spark, odd, "").collect()} == {i for i, _ in ROWS}
+
+
 def test_secrets_are_gone(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     out = corpus_pipeline.secrets(spark, docs, small).collect()
@@ -59,5 +76,5 @@ def test_secrets_are_gone(spark, small):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
-    assert {"op1_secret_scan", "op5_exact_dedup"} <= set(__spark_entry__.oracle_sql()) <= set(names)
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
+    assert {"op1_secret_scan", "op5_exact_dedup", "op12_filter_audit"} <= set(__spark_entry__.oracle_sql()) <= set(names)
