@@ -10,7 +10,7 @@ from quern.catalogue.registry import query, tok
 from quern.config import DEFAULTS
 from quern.functions import documents, text as tx
 from quern.operators import dense, fusion, lexical, select, vector_index
-from quern.sources.tables import new_path
+from quern.sources.tables import materialise, new_path
 
 K = DEFAULTS.top_k
 
@@ -205,11 +205,12 @@ LISTS_SQL = f""", lists AS (
 
 
 def lists(table):
-    """The best documents of each sub-query."""
+    """The best documents of each sub-query, written: they are searched for once, however often they are used."""
     parts = F.slice(F.filter(F.transform(F.split(text(), "[.]"), F.trim), lambda x: x != ""), 1, DEFAULTS.max_subqueries)
     subs = table("benchmark").select("item_id", F.posexplode(parts).alias("i", "text")).select((F.col("item_id") * 10 + F.col("i")).alias("query_id"), "text")
     found = lexical.search(indexed(table), subs, text(), DEFAULTS.multi_fused_k)
-    return found.select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).cast("int").alias("sub_idx"), F.col("doc_id").alias("key"), "rank", "score", F.round(1 / (DEFAULTS.rrf_k + F.col("rank")), 9).alias("fusion_score"))
+    of = found.select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).cast("int").alias("sub_idx"), F.col("doc_id").alias("key"), "rank", "score", F.round(1 / (DEFAULTS.rrf_k + F.col("rank")), 9).alias("fusion_score"))
+    return materialise(of, "lists")
 
 
 POOL_SQL = f""", pool AS (
@@ -223,9 +224,8 @@ def interleave_pool(table, spark):
     return found.withColumn("origins", F.array_join(F.col("origins").cast("array<string>"), ","))
 
 
-def pooled(table):
-    """The pool with each key's best score, as a stand-in for a reranker's."""
-    found = lists(table)
+def pooled(found):
+    """The pool of lists() with each key's best score, as a stand-in for a reranker's."""
     best = found.groupBy("query_id", "key").agg(F.max("score").alias("score"))
     return fusion.pool(found, DEFAULTS.pool_cap).join(best, ["query_id", "key"])
 
@@ -233,22 +233,23 @@ def pooled(table):
 @query(bm25_sql(queries=SUBQUERIES_SQL) + LISTS_SQL + POOL_SQL + """, n AS (SELECT query_id, count(DISTINCT sub_idx) AS subs FROM lists GROUP BY ALL)
 SELECT query_id, key, score, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_rank) AS final_rank FROM pooled) JOIN n USING (query_id) WHERE final_rank <= greatest(10, 2 * subs)""")
 def rerank_topk(table, spark):
-    subs = lists(table).groupBy("query_id").agg(F.count_distinct("sub_idx").alias("subs"))
+    found = lists(table)
+    subs = found.groupBy("query_id").agg(F.count_distinct("sub_idx").alias("subs"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "pool_rank")
-    ranked = pooled(table).withColumn("final_rank", F.row_number().over(order)).join(subs, "query_id")
+    ranked = pooled(found).withColumn("final_rank", F.row_number().over(order)).join(subs, "query_id")
     return ranked.where(F.col("final_rank") <= F.greatest(F.lit(DEFAULTS.top_k), 2 * F.col("subs"))).select("query_id", "key", "score", "final_rank")
 
 
 @query()
 def coverage_quota(table, spark):
-    return select.coverage_quota(pooled(table))
+    return select.coverage_quota(pooled(lists(table)))
 
 
 @query()
 def fanin_retain(table, spark):
     docs = table("documents").select(F.col("doc_id").alias("key"), "source", "text")
     keys = questions(table).select("query_id", select.fan_in_key(text()).alias("mention"))
-    rows = pooled(table).join(docs, "key").join(F.broadcast(keys), "query_id")
+    rows = pooled(lists(table)).join(docs, "key").join(F.broadcast(keys), "query_id")
     rows = rows.withColumn("mentions", F.coalesce(F.contains(F.lower("text"), F.lower("mention")), F.lit(False)))
     return select.fan_in(rows.select("query_id", "key", "pool_rank", "score", "source", "mentions"))
 

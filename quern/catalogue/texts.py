@@ -94,8 +94,8 @@ def signature_strip(table, spark):
 
 @query(f"SELECT doc_id, len({tok('text')}) AS n_tokens, len(list_distinct({tok('text')})) AS n_distinct, md5(array_to_string({tok('text')}, ' ')) AS digest FROM documents")
 def tokenise(table, spark):
-    t = tx.tokens(F.col("text"))
-    return table("documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(tx.token_set(F.col("text"))).cast("long").alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("digest"))
+    found = table("documents").select("doc_id", tx.tokens(F.col("text")).alias("t"))  # once, for three uses
+    return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE trim(text, ' ') <> '' AND length(text) >= 80")
