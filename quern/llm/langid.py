@@ -22,6 +22,8 @@ BUCKETS, DIM, GRAMS = 1 << 16, 16, (2, 3, 4)
 #: Training takes at most so many labelled rows of a language and so many of all languages (but one of
 #: each at least), and of a longer text so many characters, in parts from all over it.
 ROWS_EACH, ROWS_OF_ALL, MOST_CHARS = 800, 40_000, 20_000
+#: Characters of the sample, over all languages: with more of them, less of each text.
+CHARS_OF_ALL = 64_000_000
 #: At least so many passes over the sample, and so many steps.
 EPOCHS, STEPS, RATE, CALIBRATION_SHARE, REJECTED_SHARE = 4, 8_000, 0.5, 0.25, 0.01
 UNDETERMINED = "und"
@@ -142,7 +144,7 @@ def training_rows(docs: DataFrame, learn: Column, text: str = "text", lang: str
     rows, which is estimated over the whole table by partial aggregates, so that no task gets the rows
     of a language."""
     spark = docs.sparkSession
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), text).alias("at"), sampled(F.col(text), MOST_CHARS).alias("text"))
+    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), text).alias("at"), F.col(text).alias("text"))
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).collect()  # a row for each class
     if not sizes:
         return []
@@ -154,7 +156,8 @@ def training_rows(docs: DataFrame, learn: Column, text: str = "text", lang: str
     for r in sorted(hashes):
         by.setdefault(r["lang"], []).append(r["at"])
     narrow = spark.createDataFrame([(k, v[:each_][-1]) for k, v in by.items()], "lang string, level long")
-    found = rows.join(F.broadcast(narrow), "lang").where("at <= level").dropDuplicates(["lang", "at"])
+    most = min(MOST_CHARS, CHARS_OF_ALL // (each_ * len(sizes)))
+    found = rows.join(F.broadcast(narrow), "lang").where("at <= level").select("lang", "at", sampled(F.col("text"), most).alias("text")).dropDuplicates(["lang", "at"])
     return sorted((r["lang"], r["text"]) for r in found.select("lang", "text").collect())
 
 
