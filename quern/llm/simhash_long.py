@@ -123,9 +123,8 @@ def candidates(classes: DataFrame, long: int = LONG) -> DataFrame:
     posted = postings(classes.select("node", "print").repartition(tasks, "node"))  # each row becomes TRIPLES rows
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     lists = materialise(lists.withColumn("parts", F.ceil(F.col("n") / long)), "lists")
-    few = lists.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    own = lists.select(F.struct("key").alias("list"), "parts")
-    members = posted.withColumn("list", F.struct("key")).join(F.broadcast(own) if few else own, "list")
+    own = lists.select(F.struct("key").alias("list"), "parts")  # a struct, so that a join may split a long list
+    members = posted.withColumn("list", F.struct("key")).join(own, "list")
     part, other = F.pmod(F.xxhash64("node"), "parts"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     tiles = F.transform(other, lambda o: F.greatest(part, o) * F.col("parts") + F.least(part, o))
     entries = members.select("key", F.explode(tiles).alias("part"), "node").join(classes.select("node", "print"), "node")
