@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -301,6 +302,15 @@ def html_text(html: Column) -> Column:
     return run(html)
 
 
+#: A character reference, or an ampersand that begins none.
+REFERENCE = re.compile("&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
+
+
+def without_unclosed(html: str) -> str:
+    """A page in which only references that end in a semicolon are left; other ampersands are text."""
+    return REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else f"&amp;{m[0][1:]}", html)
+
+
 def title_of(html: str | None) -> str:
     """Of a page without what is dropped: the text of the first h1, else the title up to a bar, else "Untitled"."""
     found = list(parse(html).all())
@@ -311,13 +321,15 @@ def title_of(html: str | None) -> str:
     return "".join(title.texts()).split("|")[0].strip() if title is not None else "Untitled"
 
 
-def page_title(html: Column) -> Column:
-    """title_of() whole pages."""
+def page_title(html: Column, unclosed: bool = True) -> Column:
+    """title_of() whole pages. unclosed: a reference without its semicolon counts, as for a browser (a text
+    that was cut may end in one); else it stays as it is."""
+    read = (lambda p: p) if unclosed else (lambda p: without_unclosed(p or ""))
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
-            yield pa.array([title_of(p) for p in pages.to_pylist()], pa.string())
+            yield pa.array([title_of(read(p)) for p in pages.to_pylist()], pa.string())
 
     return run(html)
 

@@ -336,6 +336,14 @@ def test_feedback_and_frames(spark):
     assert [tuple(f) for f in got] == [("delta", "[1]"), ("done", "{\n}"), ("message", "1")]
 
 
+def test_title_with_unclosed_references(spark):
+    page = "<title>t</title><h1>a &amp;&amp;&amp b &lt;c&gt; &copy x &nosuch; &#33; R&D &quot</h1>"
+    assert ingest.title_of(ingest.without_unclosed(page)) == "a &&&amp b <c> &copy x &nosuch; ! R&D &quot"
+    assert ingest.title_of(page) == 'a &&& b <c> \xa9 x &nosuch; ! R&D "'
+    rows = spark.createDataFrame([(0, page), (1, None)], "i int, html string").select("i", ingest.page_title(F.col("html"), unclosed=False).alias("t"), ingest.page_title(F.col("html")).alias("u")).collect()
+    assert {r["i"]: (r["t"], r["u"]) for r in rows} == {0: ("a &&&amp b <c> &copy x &nosuch; ! R&D &quot", 'a &&& b <c> \xa9 x &nosuch; ! R&D "'), 1: ("Untitled", "Untitled")}
+
+
 def test_title_of_a_page():
     page = "<head><title>A &amp; B | site</title></head><body><header><h1>No</h1></header><nav><h1>Nor</h1></nav><div class='sidebar'><h1>x</h1></div><main><h1>Yes &amp; <b>no</b></h1></main></body>"
     assert ingest.title_of(page) == "Yes & no"
