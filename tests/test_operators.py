@@ -1,7 +1,9 @@
 import random
 from collections import Counter, OrderedDict
+from glob import glob
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -449,6 +451,15 @@ def test_search_is_the_top_of_all_scores(spark, monkeypatch):
     assert lexical.search(lexical.build(docs.limit(0), F.col("text")), queries, F.col("text"), 4).count() == 0
 
 
+def test_a_reader_decodes_one_shard_at_a_time(spark):
+    """Whatever a file holds, each shard is a row group of its own, which bounds what a task has at once."""
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), "id").alias("text")).coalesce(1)
+    index = lexical.build(docs, F.col("text"), shard_docs=4)
+    files = [pq.ParquetFile(f).metadata for f in glob(f"{index.path.removeprefix('file:')}/shards/all/*.parquet")]
+    rows = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert len(rows) >= 15 and set(rows) == {1} and len(rows) > len(files)
+
+
 def test_pruned_search_scores_few_documents(spark, small):
     """Documents that can't reach the k-th score are not scored, and the result has the same bits."""
     docs = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "source", "text")
