@@ -3,6 +3,8 @@ unless said otherwise."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: uuid5's namespace for addresses.
@@ -102,10 +104,19 @@ def escape_regex(needle: Column) -> Column:
 def fact_in(fact: Column, answer: Column) -> Column:
     """Does a normalised answer have a fact at bounds of a-z and 0-9? A fact that ends in a digit may go
     on as an ordinal."""
-    needle = normalise_answer(fact)
+    return at_bounds(normalise_answer(fact), normalise_answer(answer))
+
+
+def at_bounds(needle: Column, answer: Column) -> Column:
+    """fact_in() of what is normalised already. No pattern is made for a needle that isn't there at all."""
     tail = F.when(needle.rlike("[0-9]$"), "(st|nd|rd|th)?").otherwise("")
-    found = F.regexp_count(normalise_answer(answer), F.concat(F.lit("(?<![a-z0-9])"), escape_regex(needle), tail, F.lit("(?![a-z0-9])"))) > 0
-    return (needle != "") & found
+    found = F.regexp_count(answer, F.concat(F.lit("(?<![a-z0-9])"), escape_regex(needle), tail, F.lit("(?![a-z0-9])"))) > 0
+    return (needle != "") & F.contains(answer, needle) & found
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once for a row: what stands in a lambda is made anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def message_text(parts: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quern.functions.text import fact_in, normalise_answer, normalise_url
+from quern.functions.text import at_bounds, fact_in, normalise_answer, normalise_url, once
 from quern.operators.lexical import bounded
 from quern.sources.tables import materialise
 
@@ -16,13 +16,17 @@ def groups(value: Column) -> Column:
 
 def facts_found(facts: Column, answer: Column) -> Column:
     """array<boolean>: for each group, whether any alternative is in the answer."""
-    return F.transform(facts, lambda g: F.exists(g, lambda a: fact_in(a, answer)))
+    return once(normalise_answer(answer), lambda text: F.transform(facts, lambda g: F.exists(g, lambda a: once(normalise_answer(a), lambda needle: at_bounds(needle, text)))))
+
+
+#: The runs of a normalised text that are looked up.
+RUNS = "[a-z0-9]+|[^a-z0-9 ]"
 
 
 def fact_keys(normalised: Column) -> Column:
     """What an index of normalised texts has of each: its runs of a-z and 0-9, without the ending of an
     ordinal as well, and any other character but the space. A fact at bounds has all its keys there."""
-    found = F.array_distinct(F.regexp_extract_all(normalised, F.lit("[a-z0-9]+|[^a-z0-9 ]"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(normalised, F.lit(RUNS), F.lit(0)))
     return F.array_union(found, F.transform(F.filter(found, lambda k: k.rlike("[0-9](st|nd|rd|th)$")), lambda k: F.substring(k, 1, F.length(k) - 2)))
 
 
@@ -41,12 +45,11 @@ def fact_hits(facts: DataFrame, docs: DataFrame) -> DataFrame:
 
 def share(flags: Column) -> Column:
     """The share of true; null if there are none."""
-    return F.when(F.size(flags) > 0, F.size(F.filter(flags, lambda x: x)) / F.size(flags))
+    return once(flags, lambda own: F.when(F.size(own) > 0, F.size(F.filter(own, lambda x: x)) / F.size(own)))
 
 
 def urls_found(expected: Column, retrieved: Column) -> Column:
-    have = F.transform(retrieved, normalise_url)
-    return F.transform(expected, lambda g: F.arrays_overlap(F.transform(g, normalise_url), have))
+    return once(F.transform(retrieved, normalise_url), lambda have: F.transform(expected, lambda g: F.arrays_overlap(F.transform(g, normalise_url), have)))
 
 
 def precision(cited: Column, expected: Column) -> Column:

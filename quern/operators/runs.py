@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quern.functions.text import cited_urls, normalise_url
+from quern.functions.text import cited_urls, normalise_url, once
 from quern.operators.evaluate import exact_percentiles, facts_found, share, urls_found
 
 #: A stored answer is cut to so many characters, a mined one to fewer.
@@ -53,7 +53,7 @@ def scores(answer: Column, retrieved: Column, expected: Column, facts: Column, f
         "avoidance": 1 - share(bad_hits),
         "forbidden_present": _missed(forbidden, bad_hits, True),
         "n_cited": F.size(cited),
-        "citation_precision": share(F.transform(cited, lambda u: F.array_contains(have, u))),
+        "citation_precision": share(once(have, lambda own: F.transform(cited, lambda u: F.array_contains(own, u)))),
     }
 
 

@@ -338,6 +338,15 @@ def test_feedback_and_frames(spark):
     assert [tuple(f) for f in got] == [("delta", "[1]"), ("done", "{\n}"), ("message", "1")]
 
 
+def test_an_answer_is_normalised_once_for_all_its_facts(spark):
+    """A lambda makes what stands in it anew for each element."""
+    df = spark.createDataFrame([([["June 3", "x"], ["art"]], "Due on June  3rd. Start")], "facts array<array<string>>, answer string")
+    found = df.select(evaluate.facts_found(F.col("facts"), F.col("answer")).alias("f"))
+    assert found.first()["f"] == [True, False]
+    made = found._jdf.queryExecution().analyzed().expressions().toString()
+    assert "answer#" in made and "answer#" not in made.split("lambdafunction", 1)[1]
+
+
 def test_title_with_unclosed_references(spark):
     page = "<title>t</title><h1>a &amp;&amp;&amp b &lt;c&gt; &copy x &nosuch; &#33; R&D &quot</h1>"
     assert ingest.title_of(ingest.without_unclosed(page)) == "a &&&amp b <c> &copy x &nosuch; ! R&D &quot"
@@ -460,6 +469,19 @@ def test_a_reader_decodes_one_shard_at_a_time(spark):
     assert len(rows) >= 15 and set(rows) == {1} and len(rows) > len(files)
 
 
+def test_scopes_of_a_label_are_dealt_to_parts(spark):
+    """Many questions that name an entity of many sources: as a plain join gives, in parts of bounded size."""
+    detected = spark.createDataFrame([(q, r, 0, "hot" if r else f"c{q % 3}") for q in range(60) for r in (0, 1)] + [(99, 0, 1, "none")], "query_id long, entity_rank int, kind int, label string")
+    of = spark.createDataFrame([(0, "hot", f"s{i}", 5) for i in range(40)] + [(0, f"c{i}", "one", 5) for i in range(3)] + [(2, "hot", "x", 5)], "kind int, label string, source string, k int")
+    columns = ["query_id", "entity_rank", "label", "source", "k"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    want = rows(detected.join(of, ["kind", "label"]))
+    for pairs in (1, 50, 100, 1 << 20):
+        assert rows(entities._met(detected, of, pairs)) == want and len(want) == 60 * 41
+    sizes = [r["count"] for r in entities._met(detected, of, 100).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1200  # a plain join has all 2,400 pairs of one label in one task
+
+
 def test_pruned_search_scores_few_documents(spark, small):
     """Documents that can't reach the k-th score are not scored, and the result has the same bits."""
     docs = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "source", "text")
