@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quern.functions.text import at_bounds, fact_in, normalise_answer, normalise_url, once
+from quern.functions.text import at_bounds, normalise_answer, normalise_url, once
 from quern.operators.lexical import bounded
 from quern.sources.tables import materialise
 
@@ -30,17 +30,29 @@ def fact_keys(normalised: Column) -> Column:
     return F.array_union(found, F.transform(F.filter(found, lambda k: k.rlike("[0-9](st|nd|rd|th)$")), lambda k: F.substring(k, 1, F.length(k) - 2)))
 
 
+def key_forms(keys: DataFrame) -> DataFrame:
+    """keys (key) -> (form, key): the runs of a text that give it a key, as fact_keys() has it: the key itself,
+    and as an ordinal one that ends in a digit."""
+    ordinals = F.when(F.col("key").rlike("[0-9]$"), F.transform(F.array(*map(F.lit, ("st", "nd", "rd", "th"))), lambda e: F.concat("key", e))).otherwise(F.array().cast("array<string>"))
+    return keys.select(F.explode(F.concat(F.array("key"), ordinals)).alias("form"), "key")
+
+
 def fact_hits(facts: DataFrame, docs: DataFrame) -> DataFrame:
     """facts (item_id, fact), docs (doc_id, text): (item_id, doc_id) for each fact and each row of docs
     where fact_in() holds. The candidates are the documents that have the fact's rarest key, so that no
-    pair without it is made; texts are joined to candidates by doc_id, which may repeat or be null."""
-    keys = facts.select("item_id", "fact", F.explode(fact_keys(normalise_answer(F.col("fact")))).alias("key"))
-    postings = docs.select("doc_id", F.explode(fact_keys(normalise_answer(F.col("text")))).alias("key"))
-    df = postings.join(bounded(keys.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    rarest = keys.join(df, "key", "left").groupBy("item_id", "fact").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key"))["key"].alias("key"))
-    candidates = postings.join(bounded(rarest), "key").select("item_id", "fact", F.struct("doc_id").alias("own")).distinct()
+    pair without it is made. Texts are read for the facts' keys once, and once more where they have candidates,
+    by doc_id, which may repeat or be null; a text is normalised once for all facts that it may have."""
+    keys = facts.select("item_id", normalise_answer(F.col("fact")).alias("needle")).select("item_id", "needle", F.explode(fact_keys(F.col("needle"))).alias("key"))
+    keys = materialise(keys, "fact-keys")
+    runs = F.array_distinct(F.regexp_extract_all(normalise_answer(F.col("text")), F.lit(RUNS), F.lit(0)))
+    found = docs.select("doc_id", F.explode(runs).alias("form")).join(bounded(key_forms(keys.select("key").distinct())), "form")
+    postings = materialise(found.select("doc_id", "key"), "fact-postings")
+    df = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    rarest = keys.join(df, "key", "left").groupBy("item_id", "needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key"))["key"].alias("key"))
+    candidates = postings.join(bounded(rarest), "key").groupBy(F.struct("doc_id").alias("own")).agg(F.collect_set(F.struct("item_id", "needle")).alias("asked"))
     pairs = docs.select(F.struct("doc_id").alias("own"), "text").join(candidates, "own")
-    return pairs.where(fact_in(F.col("fact"), F.col("text"))).select("item_id", "own.doc_id")
+    hits = once(normalise_answer(F.col("text")), lambda text: F.filter("asked", lambda x: at_bounds(x["needle"], text)))
+    return pairs.select("own", F.explode(hits).alias("x")).select("x.item_id", "own.doc_id")
 
 
 def share(flags: Column) -> Column:
