@@ -15,8 +15,8 @@ from quern.sources.tables import materialise
 
 #: Bytes of query vectors that are sent to the tasks at a time.
 SENT = 128 << 20
-#: Vectors that are compared with them at a time.
-AT_ONCE = 2048
+#: Vectors, and queries, that a task compares at a time.
+AT_ONCE, ASKED_AT_ONCE = 2048, 512
 
 
 def unit(vector: Column) -> Column:
@@ -94,18 +94,25 @@ def _search(vectors: DataFrame, block: DataFrame, k: int) -> DataFrame:
     wanted = by_length(told["query_id"].combine_chunks(), told["embedding"].combine_chunks()) if len(told) else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {dim: Best(k) for dim in wanted}
-        for batch in batches:
-            for dim, (ids, rows) in by_length(batch.column(0), batch.column(1)).items():
-                for at in range(0, len(ids) if dim in wanted else 0, AT_ONCE):
-                    best[dim].add(cosines(wanted[dim][1], rows[at : at + AT_ONCE]), ids[at : at + AT_ONCE])
-        for dim, found in best.items():
-            if found.score is not None:
-                yield found.batch(wanted[dim][0])
+        return best_in(batches, wanted, k)
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+def best_in(batches: Iterator[pa.RecordBatch], wanted: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of batches (vec_id, embedding) for queries as by_length() gives them. What is held at
+    once are k rows a query, and the cosines of ASKED_AT_ONCE queries with AT_ONCE rows."""
+    parts = {dim: [(names[at : at + ASKED_AT_ONCE], units[at : at + ASKED_AT_ONCE], Best(k)) for at in range(0, len(names), ASKED_AT_ONCE)] for dim, (names, units) in wanted.items()}
+    for batch in batches:
+        for dim, (ids, rows) in by_length(batch.column(0), batch.column(1)).items():
+            for at in range(0, len(ids) if dim in parts else 0, AT_ONCE):
+                for _, units, best in parts[dim]:
+                    best.add(cosines(units, rows[at : at + AT_ONCE]), ids[at : at + AT_ONCE])
+    for names, _, best in (p for own in parts.values() for p in own):
+        if best.score is not None:
+            yield best.batch(names)
+
+
 def _unit_rows(rows: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norm == 0, 1, norm)

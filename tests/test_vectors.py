@@ -1,6 +1,9 @@
 """Vector search: any size of what is sent, lengths, repeated ids; the index against the exact search."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +106,19 @@ def test_index_on_a_bounded_sample(spark, tmp_path):
     assert vector_index.recall(vector_index.search(index, queries, 23), exact) >= 0.9
     with pytest.raises(ValueError):
         vector_index.build(vectors.limit(0), str(tmp_path / "none"))
+
+
+def test_cosines_that_a_task_holds_are_bounded():
+    """Many queries meet many vectors in blocks; the result is that of all at once."""
+    rng = np.random.default_rng(5)
+    q, v = rng.standard_normal((8000, 4)), rng.standard_normal((3000, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(v.tolist(), pa.list_(pa.float64()))], ["vec_id", "embedding"])
+    wanted = dense.by_length(pa.array(np.arange(8000)), pa.array(q.tolist(), pa.list_(pa.float64())))
+    tracemalloc.start()
+    found = pa.Table.from_batches(dense.best_in(iter([batch]), wanted, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 24000 and peak < 150e6  # 8,000 by 2,048 cosines alone are 131 MB, and were sorted in copies
+    score = dense.cosines(wanted[4][1][:50], dense._unit_rows(v))
+    want = np.lexsort((np.broadcast_to(np.arange(3000), score.shape), -score), axis=1)[:, :3]
+    assert found["vec_id"].to_pylist()[:150] == want.ravel().tolist()
