@@ -3,6 +3,7 @@
 import re
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from quern.catalogue import QUERIES
 from quern.operators import evaluate
@@ -41,3 +42,13 @@ def test_query(spark, small):
     want = by_hand([(i, t.split(".")[0]) for i, t in zip(passages["item_id"], passages["text"])], list(zip(docs["doc_id"], docs["text"])))
     got = QUERIES["fact_search"](spark, small).collect()
     assert want and sorted(((r["item_id"], r["doc_id"]) for r in got), key=str) == want
+
+
+def test_forms_of_keys_stand_for_the_keys_of_texts(spark):
+    """What a text's runs give when they are looked up is what fact_keys() has of it."""
+    words = ["3", "3rd", "3th", "rd", "x3nd", "nd", "$", "a3", "3rds", "13th"]
+    keys = spark.createDataFrame([(w,) for w in words], "key string")
+    forms = evaluate.key_forms(keys)
+    for w in words:
+        got = {r["key"] for r in forms.where(F.col("form") == w).collect()}
+        assert got == set(spark.range(1).select(evaluate.fact_keys(F.lit(w)).alias("k")).first()["k"]) & set(words)
