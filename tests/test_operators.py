@@ -3,6 +3,7 @@ from collections import Counter, OrderedDict
 from glob import glob
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -469,6 +470,23 @@ def test_a_reader_decodes_one_shard_at_a_time(spark):
     assert len(rows) >= 15 and set(rows) == {1} and len(rows) > len(files)
 
 
+def test_tasks_get_one_shard_and_some_texts_at_once(spark, monkeypatch):
+    """What Python is handed is bounded in rows while an index is built, compacted and searched; then the setting is as before."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = lambda df, own: df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)] * len(b) if own else [len(b)], "int64")], ["n"]) for b in batches), "n long")
+    docs = sizes(spark.range(1000).coalesce(1), True).select(F.monotonically_increasing_id().alias("doc_id"), F.col("n").cast("string").alias("text"))
+    index = lexical.build(docs, F.col("text"), shard_docs=100)
+    assert {int(r["term"]) for r in index.stats.collect()} <= set(range(lexical.TEXTS + 1))
+    terms = spark.createDataFrame([(1, "256")], "query_id long, term string")
+    found = lexical._in_groups(index, terms, lambda rows, _: sizes(index.shards.coalesce(1), False))
+    assert [r["n"] for r in found.collect()] == [1] * index.shards.count() and index.shards.count() >= 10
+    asked = []
+    monkeypatch.setattr(lexical, "materialise", lambda df, name, own=lexical.materialise: asked.append(name) or own(df, name))
+    hits = lexical.search(index, terms.withColumnRenamed("term", "text"), F.col("text"), 4)
+    assert hits.count() == hits.count() == 4 and asked.count("lexical-hits") == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_scopes_of_a_label_are_dealt_to_parts(spark):
     """Many questions that name an entity of many sources: as a plain join gives, in parts of bounded size."""
     detected = spark.createDataFrame([(q, r, 0, "hot" if r else f"c{q % 3}") for q in range(60) for r in (0, 1)] + [(99, 0, 1, "none")], "query_id long, entity_rank int, kind int, label string")
