@@ -9,7 +9,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from quern.sources.tables import materialise
+from quern.sources.tables import batches_of, materialise
+
+#: Rows, with all that they carry, that a task is handed at once.
+ROWS = 1024
 
 
 def numbered(rows: DataFrame, order: list[Column | str], by: tuple[str, ...] = (), name: str = "n", written: str = "numbered") -> DataFrame:
@@ -41,7 +44,8 @@ def numbered(rows: DataFrame, order: list[Column | str], by: tuple[str, ...] = (
                 n += len(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array([own] * len(batch), pa.int32())], [*batch.schema.names, at, task])
 
-    found = materialise(sorted_.mapInArrow(run, schema), written)
+    with batches_of(rows.sparkSession, ROWS):
+        found = materialise(sorted_.mapInArrow(run, schema), written)
     counts = found.groupBy(*by, task).agg(F.count(F.lit(1)).alias("_n"))
     if by:
         before = F.sum("_n").over(Window.partitionBy(*by).orderBy(task)) - F.col("_n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.config import Config
 from quern.functions import text as tx
-from quern.operators import chunk, context, control, dense, entities, evaluate, fusion, lexical, reuse, select, usage
+from quern.operators import chunk, context, control, dense, entities, evaluate, fusion, lexical, numbering, reuse, select, usage
 from quern.sources import ingest
 
 
@@ -487,6 +487,16 @@ def test_tasks_get_one_shard_and_some_texts_at_once(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_rows_are_numbered_some_at_once(spark, monkeypatch):
+    """Rows may carry texts; places go on over batches."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    monkeypatch.setattr(numbering, "materialise", lambda df, name, own=numbering.materialise: seen.append(spark.conf.get(key)) or own(df, name))
+    monkeypatch.setattr(numbering, "ROWS", 7)
+    found = numbering.numbered(spark.range(100).select("id", (F.col("id") % 2).alias("g")), ["id"], ("g",))
+    assert sorted((r["g"], r["n"]) for r in found.collect()) == [(g, n) for g in (0, 1) for n in range(50)]
+    assert seen == ["7"] and spark.conf.get(key) != "7"
+
+
 def test_scopes_of_a_label_are_dealt_to_parts(spark):
     """Many questions that name an entity of many sources: as a plain join gives, in parts of bounded size."""
     detected = spark.createDataFrame([(q, r, 0, "hot" if r else f"c{q % 3}") for q in range(60) for r in (0, 1)] + [(99, 0, 1, "none")], "query_id long, entity_rank int, kind int, label string")
