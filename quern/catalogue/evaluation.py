@@ -38,6 +38,9 @@ ANSWER_SQL = "'The fee is 6,000; see ' || event_type || ' on July 2nd. Sources:
 
 
 def cases(table):
+    """Dealt to all cores: a row is some bytes and much work, and a large table may be a file of few parts."""
+    events = table("events").select("event_id", "event_type")
+    events = events.repartition(4 * events.sparkSession.sparkContext.defaultParallelism)
     e, k = F.col("event_id"), F.col("event_type")
     text = lambda c: c.cast("string")
     answer = F.concat(F.lit("The fee is 6,000; see "), k, F.lit(" on July 2nd. Sources: https://x.org/"), k, F.lit("/. and https://x.org/"), text(e % 5), F.lit(", https://X.org/a"))
@@ -47,7 +50,7 @@ def cases(table):
     facts = F.when(e % 5 == 0, none).otherwise(F.array(F.array(F.lit("6000"), F.lit("free")), F.array(F.lit("july 2")), F.array(F.lit("view")), F.array(text(e % 9))))
     forbidden = F.when(e % 2 == 0, none).otherwise(F.array(F.array(F.lit("click"), F.lit("no fee")), F.array(F.lit("600"))))
     retrieved = F.array(url(text(e % 4)), F.lit(" https://x.org/A/ "), F.lit(None).cast("string"), url(text(e % 4)), F.concat(url(k), F.lit("/")))
-    return table("events").select("event_id", answer.alias("answer"), retrieved.alias("retrieved"), expected.alias("expected"), facts.alias("facts"), forbidden.alias("forbidden"))
+    return events.select("event_id", answer.alias("answer"), retrieved.alias("retrieved"), expected.alias("expected"), facts.alias("facts"), forbidden.alias("forbidden"))
 
 
 SCORED_SQL = f"""c AS (SELECT event_id, event_type AS k, {ANSWER_SQL} AS answer, event_id % 3 AS e3, event_id % 4 AS e4, event_id % 5 AS e5, event_id % 7 AS e7, event_id % 9 AS e9, event_id % 2 AS odd FROM events),
@@ -61,10 +64,9 @@ SELECT event_id, CASE WHEN e7 = 0 THEN NULL ELSE 1.0::DOUBLE END AS url_hit_frac
   1 - (b1::INT + 0) / 2 AS avoidance, CASE WHEN b1 THEN 'click' ELSE '' END AS forbidden_present, 3 AS n_cited, round((CASE WHEN e5 = e4 THEN 1 ELSE 0 END) / 3, 6) AS citation_precision,
   'https://x.org/' || e4 || '|https://x.org/a|https://x.org/' || k AS retrieved_urls FROM h""")
 def score_cases(table, spark):
-    found = runs.scores(*(F.col(c) for c in ("answer", "retrieved", "expected", "facts", "forbidden")))
-    joined = {c: F.array_join(found[c], "|") for c in ("urls_missed", "facts_missed", "forbidden_present", "retrieved_urls")}
-    rounded = {"citation_precision": F.round(found["citation_precision"], 6), "n_cited": found["n_cited"].cast("long")}
-    return cases(table).select("event_id", *(x.alias(c) for c, x in (found | joined | rounded).items()))
+    rows = cases(table).select("event_id", runs.scores(*(F.col(c) for c in ("answer", "retrieved", "expected", "facts", "forbidden"))).alias("s")).select("event_id", "s.*")
+    joined = {c: F.array_join(c, "|") for c in ("urls_missed", "facts_missed", "forbidden_present", "retrieved_urls")}
+    return rows.withColumns(joined | {"citation_precision": F.round("citation_precision", 6), "n_cited": F.col("n_cited").cast("long")})
 
 
 #: A run: a case for each event, with all that its metrics need.

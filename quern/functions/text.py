@@ -34,7 +34,9 @@ def normalise_question(text: Column) -> Column:
 def normalise_answer(text: Column) -> Column:
     """For matching facts: lower case, one kind of dash for three, no commas, a hyphen between digit and
     letter is a space, single spaces (also at the ends)."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "–—‑,", "---")
+    plain = F.lower(F.coalesce(text, F.lit("")))
+    for mark, by in (("–", "-"), ("—", "-"), ("‑", "-"), (",", "")):  # translate() looks every character up
+        plain = F.replace(plain, F.lit(mark), F.lit(by))
     return F.regexp_replace(F.regexp_replace(plain, "(?<=[0-9])-(?=[a-z])", " "), r"(?U)\s+", " ")
 
 

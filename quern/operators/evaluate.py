@@ -16,7 +16,12 @@ def groups(value: Column) -> Column:
 
 def facts_found(facts: Column, answer: Column) -> Column:
     """array<boolean>: for each group, whether any alternative is in the answer."""
-    return once(normalise_answer(answer), lambda text: F.transform(facts, lambda g: F.exists(g, lambda a: once(normalise_answer(a), lambda needle: at_bounds(needle, text)))))
+    return once(normalise_answer(answer), lambda text: groups_found(facts, text))
+
+
+def groups_found(facts: Column, text: Column) -> Column:
+    """facts_found() in a text that is normalised already."""
+    return F.transform(facts, lambda g: F.exists(g, lambda a: once(normalise_answer(a), lambda needle: at_bounds(needle, text))))
 
 
 #: The runs of a normalised text that are looked up.

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quern.functions.text import cited_urls, normalise_url, once
-from quern.operators.evaluate import exact_percentiles, facts_found, share, urls_found
+from quern.functions.text import cited_urls, normalise_answer, normalise_url, once
+from quern.operators.evaluate import exact_percentiles, groups_found, share, urls_found
 
 #: A stored answer is cut to so many characters, a mined one to fewer.
 EXCERPT, MINED_EXCERPT = 1500, 400
@@ -35,26 +35,27 @@ def _missed(groups: Column, hits: Column, wanted: bool = False) -> Column:
     return F.transform(F.filter(F.arrays_zip(groups.alias("g"), hits.alias("h")), lambda x: x["h"] == F.lit(wanted)), lambda x: x["g"][0])
 
 
-def scores(answer: Column, retrieved: Column, expected: Column, facts: Column, forbidden: Column) -> dict[str, Column]:
-    """Columns of a case by name; the last three arguments are groups of alternatives. retrieved: addresses
-    of the answer's context, in their order."""
-    answer = F.coalesce(answer, F.lit(""))
+def scores(answer: Column, retrieved: Column, expected: Column, facts: Column, forbidden: Column) -> Column:
+    """A struct of what a case scores; the last three arguments are groups of alternatives. retrieved: addresses
+    of the answer's context, in their order. Make it a column and take its fields from there: hits and addresses are
+    made once for a row."""
     empty = F.array().cast("array<array<string>>")
     expected, facts, forbidden = (F.coalesce(g, empty) for g in (expected, facts, forbidden))
     have = distinct_urls(F.coalesce(retrieved, F.array().cast("array<string>")))
-    url_hits, fact_hits, bad_hits, cited = urls_found(expected, have), facts_found(facts, answer), facts_found(forbidden, answer), cited_urls(answer)
-    return {
-        "retrieved_urls": have,
-        "url_hit_fraction": share(url_hits),
-        "url_full_hit": F.when(F.size(url_hits) > 0, F.forall(url_hits, lambda x: x)),
-        "urls_missed": _missed(expected, url_hits),
-        "fact_recall": share(fact_hits),
-        "facts_missed": _missed(facts, fact_hits),
-        "avoidance": 1 - share(bad_hits),
-        "forbidden_present": _missed(forbidden, bad_hits, True),
-        "n_cited": F.size(cited),
-        "citation_precision": share(once(have, lambda own: F.transform(cited, lambda u: F.array_contains(own, u)))),
-    }
+    text = F.coalesce(answer, F.lit(""))
+    read = F.struct(have.alias("have"), cited_urls(text).alias("cited"), normalise_answer(text).alias("text"))
+    found = once(read, lambda x: F.struct(x["have"].alias("have"), x["cited"].alias("cited"), urls_found(expected, x["have"]).alias("urls"), groups_found(facts, x["text"]).alias("facts"), groups_found(forbidden, x["text"]).alias("bad")))
+    return once(found, lambda x: F.struct(
+        x["have"].alias("retrieved_urls"),
+        share(x["urls"]).alias("url_hit_fraction"),
+        F.when(F.size(x["urls"]) > 0, F.forall(x["urls"], lambda h: h)).alias("url_full_hit"),
+        _missed(expected, x["urls"]).alias("urls_missed"),
+        share(x["facts"]).alias("fact_recall"),
+        _missed(facts, x["facts"]).alias("facts_missed"),
+        (1 - share(x["bad"])).alias("avoidance"),
+        _missed(forbidden, x["bad"], True).alias("forbidden_present"),
+        F.size(x["cited"]).alias("n_cited"),
+        share(F.transform(x["cited"], lambda u: F.array_contains(x["have"], u))).alias("citation_precision")))
 
 
 def route_ok(expected: Column, actual: Column) -> Column:
@@ -68,13 +69,13 @@ def rescored(cases: DataFrame, golden: DataFrame) -> DataFrame:
     old_urls. A case without a golden one or with an error keeps its scores; what hangs on addresses is
     made anew only where they were stored."""
     both = cases.join(golden.withColumn("known", F.lit(True)).select("id", "known", "expected", "facts", "forbidden"), "id", "left")
-    new = scores(F.col("answer_excerpt"), F.col("retrieved_urls"), F.col("expected"), F.col("facts"), F.col("forbidden"))
+    both = both.withColumn("_new", scores(F.col("answer_excerpt"), F.col("retrieved_urls"), F.col("expected"), F.col("facts"), F.col("forbidden")))
     again = F.col("known") & F.col("error").isNull()
     stored = F.col("retrieved_urls").isNotNull()
     by_url = {"url_hit_fraction", "url_full_hit", "urls_missed"}
     asks = lambda c: again & stored & (F.size("expected") > 0) if c in by_url else again & stored if c in ("n_cited", "citation_precision") else again & (F.size("forbidden") > 0) if c in ("avoidance", "forbidden_present") else again
     kept = [c for c in cases.columns if c not in SCORED]
-    return both.select(*kept, F.coalesce("known", F.lit(False)).alias("known"), (F.length(F.coalesce("answer_excerpt", F.lit(""))) >= EXCERPT).alias("truncated"), F.col("fact_recall").alias("old_facts"), F.col("url_hit_fraction").alias("old_urls"), *(F.when(asks(c), new[c]).otherwise(F.col(c)).alias(c) for c in SCORED))
+    return both.select(*kept, F.coalesce("known", F.lit(False)).alias("known"), (F.length(F.coalesce("answer_excerpt", F.lit(""))) >= EXCERPT).alias("truncated"), F.col("fact_recall").alias("old_facts"), F.col("url_hit_fraction").alias("old_urls"), *(F.when(asks(c), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in SCORED))
 
 
 def rescore_changes(rescored_: DataFrame, tolerance: float = 1e-9) -> DataFrame:

@@ -421,7 +421,7 @@ def test_prompts_and_settings(spark):
 
 
 def test_written_runs(spark, tmp_path):
-    from quern.catalogue import evaluation
+    from quern import catalogue
     from quern.operators import runs
 
     cases = evaluation.run_cases(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")).limit(50)
@@ -546,3 +546,15 @@ def test_segments_give_what_a_rebuilt_index_gives(spark, small, tmp_path):
     scopes = spark.createDataFrame([(r["query_id"], s) for r in queries.collect() for s in ("src1", "src2")], "query_id long, source string")
     both = [lexical.scoped(i, queries, scopes, F.col("text"), 3).select("query_id", "scoped_rank", "source", "doc_id", "score") for i in (index, whole)]
     assert sorted(map(tuple, both[0].collect())) == sorted(map(tuple, both[1].collect())) != []
+
+
+def test_a_case_is_scored_once_and_anywhere(spark, tmp_path):
+    """Each hit is looked for once a row, however many scores hang on it, and a table of one part goes to all cores."""
+    from quern import catalogue
+
+    spark.range(50).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    scored = catalogue.QUERIES["score_cases"](spark, str(tmp_path))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<![a-z0-9])") == 2  # the facts' and the forbidden ones'
+    assert scored.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert scored.count() == 50
