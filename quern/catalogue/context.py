@@ -15,8 +15,17 @@ CHUNKS_SQL = "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDE
 HITS_SQL = bm25_sql() + f", chunks AS ({CHUNKS_SQL}), hits AS (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 5)"
 
 
+def contents(table):
+    return table("documents").select("doc_id", "source", F.col("text").alias("page_content"))
+
+
 def chunks(table):
-    return chunk.with_ordinal(table("documents").select("doc_id", "source", F.col("text").alias("page_content")), "source", "doc_id")
+    return chunk.with_ordinal(contents(table), "source", "doc_id")
+
+
+def places(table):
+    """chunks() without their texts, which numbering would shuffle, hand to Python and write."""
+    return chunk.with_ordinal(table("documents").select("doc_id", "source"), "source", "doc_id")
 
 
 def hits(table):
@@ -24,7 +33,7 @@ def hits(table):
 
 
 def ordinals(table):
-    docs = chunks(table).select("doc_id", "source", "chunk_index")
+    docs = places(table)
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     return context.neighbours(docs.join(F.broadcast(hits(table)), "doc_id").select("query_id", "source", "chunk_index"), sizes, DEFAULTS.radius)
 
@@ -40,7 +49,7 @@ def split_chunks(table, spark):
 @query("""SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
 FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('corpus:' || source || '#' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1))) AS h FROM documents)""")
 def chunk_ids(table, spark):
-    return chunks(table).select("doc_id", chunk.chunk_id("corpus", F.col("source"), F.col("chunk_index")).alias("id"))
+    return places(table).select("doc_id", chunk.chunk_id("corpus", F.col("source"), F.col("chunk_index")).alias("id"))
 
 
 @query("SELECT count(*) AS chunks, floor(avg(length(text)))::BIGINT AS avg_size, min(length(text)) AS min_size, max(length(text)) AS max_size FROM documents")
@@ -70,7 +79,7 @@ def context_budget(table, spark):
 
 
 def chosen(table):
-    rows = chunks(table).join(lexical.bounded(hits(table)), "doc_id")
+    rows = contents(table).join(lexical.bounded(hits(table)), "doc_id")
     return rows.select("query_id", "rank", "source", "page_content", F.concat(F.lit("https://x.org/"), "source").alias("url"), F.lit("a title").alias("title"), F.concat(F.lit("file"), F.regexp_extract("source", "([0-9]+)", 1)).alias("filename"), F.lit("page").alias("category"))
 
 
@@ -122,7 +131,7 @@ g AS (SELECT query_id, source, string_agg(field, '; ' ORDER BY pos) AS fields FR
 SELECT query_id, source, place, chunks, left(trim(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), {DEFAULTS.digest_chars}) AS head, fields FROM p JOIN g USING (query_id, source) WHERE place <= {DEFAULTS.digest_sources}""")
 def evidence_digest(table, spark):
     d = F.col("doc_id")
-    rows = chunks(table).join(lexical.bounded(hits(table)), "doc_id")
+    rows = contents(table).join(lexical.bounded(hits(table)), "doc_id")
     text = F.concat(F.lit("Course Credits | "), (d % 5).cast("string"), F.lit("\nName |  A  B"), (d % 2).cast("string"), F.lit("\nOther | x\n"), "page_content")
     return context.digest(rows, text)
 

@@ -558,3 +558,15 @@ def test_a_case_is_scored_once_and_anywhere(spark, tmp_path):
     assert plan.count("(?<![a-z0-9])") == 2  # the facts' and the forbidden ones'
     assert scored.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert scored.count() == 50
+
+
+def test_ordinals_of_documents_carry_no_text(spark, small, monkeypatch):
+    """Neighbours, runs and ids of chunks need places only; a digest of the evidence needs none."""
+    from quern import catalogue
+
+    written = []
+    monkeypatch.setattr(numbering, "materialise", lambda df, name, own=numbering.materialise: written.append(df.columns) or own(df, name))
+    for name in ("neighbor_expand", "ordinal_runs", "chunk_ids"):
+        assert catalogue.QUERIES[name](spark, small).count()
+    assert len(written) == 3 and not any("page_content" in columns for columns in written)
+    assert catalogue.QUERIES["evidence_digest"](spark, small).count() and len(written) == 3
