@@ -19,15 +19,16 @@ def contents(table):
     return table("documents").select("doc_id", "source", F.col("text").alias("page_content"))
 
 
-def chunks(table):
-    return chunk.with_ordinal(contents(table), "source", "doc_id")
-
-
 def places(table):
-    """chunks() without their texts, which numbering would shuffle, hand to Python and write."""
+    """Chunks without their texts, which numbering would shuffle, hand to Python and write."""
     return chunk.with_ordinal(table("documents").select("doc_id", "source"), "source", "doc_id")
 
 
+def digested(rows):
+    """places() of rows (doc_id, source, page_content) with a digest of each text."""
+    return chunk.with_ordinal(rows.select("doc_id", "source", F.md5("page_content").alias("digest")), "source", "doc_id")
+
+
 def hits(table):
     return lexical.search(indexed(table), questions(table), F.col("text"), 5).select("query_id", "doc_id", "rank")
 
@@ -59,7 +60,7 @@ def chunk_size_stats(table, spark):
 
 @query(f"WITH c AS ({CHUNKS_SQL}) SELECT source, md5(page_content) AS digest, min(chunk_index) AS chunk_index FROM c GROUP BY ALL")
 def first_ordinals(table, spark):
-    return context.first_ordinal(chunks(table))
+    return context.first_ordinal(digested(contents(table)))
 
 
 @query(HITS_SQL + NEAR_SQL + "SELECT query_id, source, chunk_index FROM near")
@@ -85,7 +86,7 @@ def chosen(table):
 
 @query()
 def context_render(table, spark):
-    return context.render(chosen(table), chunks(table))
+    return context.render(chosen(table), digested(contents(table)), texts=contents(table))
 
 
 #: Without a limit that binds: blocks of sources in the order in which they are first chosen, runs of neighbours in each.
@@ -101,10 +102,10 @@ SELECT query_id, md5(chr(10) || chr(10) || string_agg('Document ' || i || ': [UR
 @query(RENDER_SQL)
 def context_render_whole(table, spark):
     own = F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit(">"))
-    rows = chunks(table).withColumn("page_content", F.concat(own, "page_content", own))
+    rows = contents(table).withColumn("page_content", F.concat(own, "page_content", own))
     names = [F.concat(F.lit("https://x.org/"), "source").alias("url"), F.concat(F.lit("file"), F.regexp_extract("source", "([0-9]+)", 1)).alias("filename"), F.lit("page").alias("category")]
     picked = rows.join(lexical.bounded(hits(table)), "doc_id").select("query_id", "rank", "source", "page_content", *names)
-    found = context.render(picked, rows, limit=1 << 30)
+    found = context.render(picked, digested(rows), limit=1 << 30, texts=rows)
     return found.select("query_id", F.md5("context").alias("digest"), F.col("sources").cast("long").alias("sources"))
 
 

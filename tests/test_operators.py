@@ -570,3 +570,27 @@ def test_ordinals_of_documents_carry_no_text(spark, small, monkeypatch):
         assert catalogue.QUERIES[name](spark, small).count()
     assert len(written) == 3 and not any("page_content" in columns for columns in written)
     assert catalogue.QUERIES["evidence_digest"](spark, small).count() and len(written) == 3
+
+
+def small_table(spark):
+    return lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+
+
+@pytest.mark.parametrize("name", ["first_ordinals", "context_render", "context_render_whole"])
+def test_chunks_are_numbered_without_texts(spark, monkeypatch, name):
+    from quern.catalogue import context as queries
+    from quern.operators import chunk
+
+    seen, real = [], chunk.with_ordinal
+    monkeypatch.setattr(chunk, "with_ordinal", lambda rows, *a: seen.append(rows.columns) or real(rows, *a))
+    monkeypatch.setattr(queries, "hits", lambda table: spark.createDataFrame([(1, 3, 1), (1, 4, 2), (2, 3, 1)], "query_id long, doc_id long, rank int"))
+    assert getattr(queries, name)(small_table(spark), spark).count() >= 2
+    assert seen == [["doc_id", "source", "digest"]]
+
+
+def test_render_looks_neighbours_texts_up(spark):
+    rows = spark.createDataFrame([(i, f"s{i % 2}", i // 2, f"text {i // 6} of {i % 2}") for i in range(20)], "doc_id long, source string, chunk_index int, page_content string")
+    chosen = spark.createDataFrame([(1, 1, "s0", "text 1 of 0"), (1, 2, "s1", "text 0 of 1"), (1, 3, "s1", "nowhere"), (2, 1, "s0", "text 3 of 0")], "query_id long, rank int, source string, page_content string")
+    digests = rows.select("doc_id", "source", "chunk_index", F.md5("page_content").alias("digest"))
+    got = context.render(chosen, digests, texts=rows.select("doc_id", "source", "page_content")).orderBy("query_id").collect()
+    assert got == context.render(chosen, rows).orderBy("query_id").collect() and got[0]["misses"] == 1
