@@ -9,6 +9,7 @@ from quern.catalogue.retrieval import bm25_sql, indexed, questions
 from quern.config import DEFAULTS
 from quern.functions import text as tx
 from quern.operators import chunk, context, control, lexical
+from quern.sources.tables import materialise
 
 #: A document is a chunk: its source is the page, its place in it by doc_id.
 CHUNKS_SQL = "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index, text AS page_content FROM documents"
@@ -199,6 +200,14 @@ def missing_is_concrete(table, spark):
     return rows.select("conv_id", "turn", "i", "x", tx.is_concrete(F.array("x")).alias("concrete"))
 
 
+def evidence_of(table, held):
+    """What is held as one text for each question. The documents are read for it once."""
+    rows = table("documents").withColumnRenamed("doc_id", "key").join(lexical.bounded(held), "key").select("query_id", F.col("merged_rank").alias("rank"), "source", "text")
+    rows = materialise(rows, "evidence")
+    totals = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("source").alias("sources")).withColumn("sub_queries", F.array().cast("array<string>"))
+    return context.evidence(context.digest(rows, F.col("text")), totals)
+
+
 @query()
 def controller_loop(table, spark):
     """All passages as questions that name two codes, one of them nowhere, and some greetings: which way they
@@ -210,12 +219,7 @@ def controller_loop(table, spark):
         what = going.select("query_id", F.when(F.size("queries") > 0, F.array_join("queries", " ")).otherwise(F.col("text")).alias("text"))
         return lexical.search(index, what, F.col("text"), DEFAULTS.top_k).withColumnRenamed("doc_id", "key")
 
-    def evidence(held):
-        rows = table("documents").withColumnRenamed("doc_id", "key").join(lexical.bounded(held), "key").select("query_id", F.col("merged_rank").alias("rank"), "source", "text")
-        totals = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("source").alias("sources")).withColumn("sub_queries", F.array().cast("array<string>"))
-        return context.evidence(context.digest(rows, F.col("text")), totals)
-
-    return control.run(asked, control.lexical_controller, search, evidence).routes
+    return control.run(asked, control.lexical_controller, search, lambda held: evidence_of(table, held)).routes
 
 
 @query()

@@ -594,3 +594,16 @@ def test_render_looks_neighbours_texts_up(spark):
     digests = rows.select("doc_id", "source", "chunk_index", F.md5("page_content").alias("digest"))
     got = context.render(chosen, digests, texts=rows.select("doc_id", "source", "page_content")).orderBy("query_id").collect()
     assert got == context.render(chosen, rows).orderBy("query_id").collect() and got[0]["misses"] == 1
+
+
+def test_evidence_reads_documents_once(spark, monkeypatch):
+    """Heads, fields and totals come from what was written once, not from a pass over all documents each."""
+    from types import SimpleNamespace
+
+    from quern.catalogue import context as queries
+
+    monkeypatch.setattr(queries.lexical, "build", lambda *a: None)
+    monkeypatch.setattr(queries.control, "run", lambda asked, decide, search, evidence: SimpleNamespace(routes=evidence))
+    held = spark.createDataFrame([(1, 3, 1), (1, 4, 2), (2, 3, 1)], "query_id long, key long, merged_rank int")
+    found = queries.controller_loop(small_table(spark), spark)(held)
+    assert found.count() == 2 and not any("documents.parquet" in f for f in found.inputFiles())
