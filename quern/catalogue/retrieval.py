@@ -245,11 +245,16 @@ def coverage_quota(table, spark):
     return select.coverage_quota(pooled(lists(table)))
 
 
+def with_texts(table, found):
+    """found (key, ...) with the source and text of its documents, which stay where they are unless it is large."""
+    docs = table("documents").select(F.col("doc_id").alias("key"), "source", "text")
+    return docs.join(lexical.bounded(found), "key")
+
+
 @query()
 def fanin_retain(table, spark):
-    docs = table("documents").select(F.col("doc_id").alias("key"), "source", "text")
     keys = questions(table).select("query_id", select.fan_in_key(text()).alias("mention"))
-    rows = pooled(lists(table)).join(docs, "key").join(F.broadcast(keys), "query_id")
+    rows = with_texts(table, materialise(pooled(lists(table)), "pooled")).join(lexical.bounded(keys), "query_id")
     rows = rows.withColumn("mentions", F.coalesce(F.contains(F.lower("text"), F.lower("mention")), F.lit(False)))
     return select.fan_in(rows.select("query_id", "key", "pool_rank", "score", "source", "mentions"))
 

@@ -607,3 +607,17 @@ def test_evidence_reads_documents_once(spark, monkeypatch):
     held = spark.createDataFrame([(1, 3, 1), (1, 4, 2), (2, 3, 1)], "query_id long, key long, merged_rank int")
     found = queries.controller_loop(small_table(spark), spark)(held)
     assert found.count() == 2 and not any("documents.parquet" in f for f in found.inputFiles())
+
+
+def test_fanin_leaves_texts_where_they_are(spark, monkeypatch):
+    from quern.catalogue import retrieval as queries
+
+    rows = spark.createDataFrame([(1, 0, 3, 1, 5.0, 0.1), (1, 1, 4, 1, 4.0, 0.2), (2, 0, 3, 2, 3.0, 0.3)], "query_id long, sub_idx int, key long, rank int, score double, fusion_score double")
+    monkeypatch.setattr(queries, "lists", lambda table: rows)
+    monkeypatch.setattr(queries.select, "fan_in", lambda rows: rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = queries.fanin_retain(small_table(spark), spark)
+        assert found.count() == 3 and "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
